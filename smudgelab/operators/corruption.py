@@ -18,7 +18,7 @@ from smudgelab.functions import sizes
 from smudgelab.functions.hashing import digest, text_digest
 from smudgelab.operators.lookup import lookup_join
 from smudgelab.operators.ranking import DigestCuts, digest_rank
-from smudgelab.operators.sampling import Prepared, choose_columns
+from smudgelab.operators.sampling import Prepared, choose_columns, row_digest
 
 CLEAN_PREFIX = "clean_"
 LITERAL_DOMAIN = 200
@@ -165,11 +165,13 @@ def corrupt(
     spec: S.CorruptionSpec,
     side: str = "all",
     where: Column | None = None,
+    cuts: DigestCuts | None = None,
 ) -> Corrupted:
     """Damage a share of the rows (those meeting ``where``) in a share of the columns.
 
     Which rows are hit depends on the seed, side and share only, not on the error
-    type, and the rows of a smaller share are among those of a larger one.
+    type, and the rows of a smaller share are among those of a larger one. ``cuts``
+    may be handed in where the rows were counted before.
     """
     unchanged = Corrupted(df.withColumn("is_corrupted", F.lit(False)), dataset.key, ())
     if spec.is_identity:
@@ -182,8 +184,8 @@ def corrupt(
     )
     if not columns:
         return unchanged
-    h = digest(spec.seed, f"row:{side}", dataset.key)
-    cuts = DigestCuts(df if where is None else df.where(where), h)
+    h = row_digest(spec.seed, side, dataset.key)
+    cuts = cuts or DigestCuts(df if where is None else df.where(where), h)
     if cuts.total == 0:
         raise ValueError("data must not be empty")
     chosen = h <= cuts.cut(sizes.sample_size(spec.row_percent, cuts.total))
@@ -235,7 +237,8 @@ def corrupt_by_mode(prepared: Prepared, mode: str, spec: S.CorruptionSpec) -> Mo
     data = prepared.data
     sides: dict[str, Corrupted] = {}
     for side in S.DIRTY_SIDES[mode]:
-        done = corrupt(data, prepared.dataset, spec, side, F.col("split") == side)
+        cuts = None if spec.is_identity else prepared.row_cuts(side, spec.seed)
+        done = corrupt(data, prepared.dataset, spec, side, F.col("split") == side, cuts)
         sides[side] = done
         data = done.data
     return ModeResult(data, sides)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +85,19 @@ class Prepared:
 
     data: DataFrame
     dataset: S.DatasetSpec
+    _side_cuts: dict[tuple[str, int], DigestCuts] = field(default_factory=dict)
+
+    def row_cuts(self, side: str, seed: int) -> DigestCuts:
+        """Where to cut the rows of a side; counted once for all shares and types."""
+        if (side, seed) not in self._side_cuts:
+            rows = self.data.where(F.col("split") == side)
+            self._side_cuts[side, seed] = DigestCuts(rows, row_digest(seed, side, self.dataset.key))
+        return self._side_cuts[side, seed]
+
+
+def row_digest(seed: int, side: str, key: str) -> Column:
+    """Order in which rows of a side are picked for damage."""
+    return digest(seed, f"row:{side}", key)
 
 
 def prepare(
