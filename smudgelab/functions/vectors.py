@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,10 +24,17 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once per row.
+
+    A column used inside a lambda would be computed again for every element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(a: Column) -> Column:
     """Vector of length one; null for a zero vector."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x / length))
+    return let(norm(a), lambda length: F.when(length > 0, F.transform(a, lambda x: x / length)))
 
 
 def mean(a: Column) -> Column:
@@ -37,10 +46,15 @@ def z_normalize(a: Column) -> Column:
 
     A constant vector becomes zeros.
     """
-    centre = mean(a)
-    shifted = F.transform(a, lambda x: x - centre)
-    deviation = norm(shifted) / F.sqrt(F.size(a).cast("double"))
-    return F.transform(shifted, lambda x: F.when(deviation > 0, x / deviation).otherwise(F.lit(0.0)))
+
+    def scaled(shifted: Column) -> Column:
+        deviation = norm(shifted) / F.sqrt(F.size(shifted).cast("double"))
+        return let(
+            deviation,
+            lambda d: F.transform(shifted, lambda x: F.when(d > 0, x / d).otherwise(F.lit(0.0))),
+        )
+
+    return let(let(mean(a), lambda centre: F.transform(a, lambda x: x - centre)), scaled)
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -49,15 +63,13 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """One minus the cosine; null when a vector is all zeros."""
-    lengths = norm(a) * norm(b)
-    return F.when(lengths > 0, F.lit(1.0) - dot(a, b) / lengths)
+    return let(norm(a) * norm(b), lambda length: F.when(length > 0, F.lit(1.0) - dot(a, b) / length))
 
 
 def softmax(scores: Column) -> Column:
     """Exponentials of a row, shifted by its largest score, over their sum."""
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda p: p / total(powers))
+    powers = let(F.array_max(scores), lambda top: F.transform(scores, lambda x: F.exp(x - top)))
+    return let(powers, lambda p: let(total(p), lambda whole: F.transform(p, lambda x: x / whole)))
 
 
 def argmax(scores: Column) -> Column:

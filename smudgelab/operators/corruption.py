@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -251,22 +252,37 @@ def is_meaningful(mode: str, corrupted_rows: int, corrupted_columns: int) -> boo
     return corrupted_rows > 0 and corrupted_columns > 0
 
 
-def audit(done: Corrupted) -> DataFrame:
+def meaningful(mode: str = "tag", rows: str = "corrupted_rows", columns: str = "corrupted_columns") -> Column:
+    """The same test on columns of an experiment table."""
+    clean = F.col(mode) == S.CLEAN_CLEAN
+    none, both = (F.col(rows) == 0) & (F.col(columns) == 0), (F.col(rows) > 0) & (F.col(columns) > 0)
+    return F.when(clean, none).otherwise(both)
+
+
+def audit(done: Corrupted, where: Column | None = None) -> DataFrame:
     """Rows, rows changed and the changed share per damaged column; one aggregation."""
-    counted = done.flagged.agg(
-        F.count("*").alias("rows"),
-        *[F.count_if(~F.col(c).eqNullSafe(F.col(CLEAN_PREFIX + c))).alias(c) for c in done.columns],
-    )
-    return counted.unpivot(["rows"], list(done.columns), "column", "changed").select(
-        "column", "rows", "changed", (F.col("changed") / F.col("rows")).alias("rate")
-    )
+    flagged = done.flagged if where is None else done.flagged.where(where)
+    return _changes(flagged, done.columns)
+
+
+def audit_mode(result: ModeResult) -> DataFrame | None:
+    """The audit of every damaged side, over the rows of that side."""
+    parts = [
+        audit(done, F.col("split") == side).select(F.lit(side).alias("side"), "*")
+        for side, done in result.sides.items()
+        if done.columns
+    ]
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def audit_tables(clean: DataFrame, dirty: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """The same audit for two stored versions of a table, matched on the key."""
     before = clean.select(key, *[F.col(c).alias(CLEAN_PREFIX + c) for c in columns])
-    joined = before.join(dirty.select(key, *columns), key)
-    counted = joined.agg(
+    return _changes(before.join(dirty.select(key, *columns), key), columns)
+
+
+def _changes(both: DataFrame, columns: Sequence[str]) -> DataFrame:
+    counted = both.agg(
         F.count("*").alias("rows"),
         *[F.count_if(~F.col(c).eqNullSafe(F.col(CLEAN_PREFIX + c))).alias(c) for c in columns],
     )
