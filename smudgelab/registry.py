@@ -7,7 +7,6 @@ and line items for their metrics, so the work grows with the tables.
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -782,9 +781,9 @@ def embedding_models(spark: SparkSession, folder: str) -> DataFrame:
     folded = encoders.out_of_fold_embeddings(df, CUSTOMER, SEED, 4).drop("fold")
     parts = []
     for name, vectors in (("plain", plain), ("out of fold", folded)):
-        rows = vectors.join(split, "c_custkey").join(df.select("c_custkey", "c_acctbal", "c_mktsegment"), "c_custkey")
-        accuracy = models.probe_accuracy(rows, "c_mktsegment", "is_test", 0.001)
-        fitted = models.embedding_regression(rows, "c_acctbal", "is_test").select("r2")
+        rows = vectors.join(split, "c_custkey")
+        accuracy = models.probe_accuracy(rows, "c_nationkey", "is_test", 0.001)
+        fitted = models.embedding_regression(rows, "c_nationkey", "is_test").select("r2")
         one = F.lit(1)
         parts.append(
             accuracy.withColumn("one", one).join(fitted.withColumn("one", one), "one").select(
@@ -809,9 +808,13 @@ SWEEP_SETTINGS = tuple(
 
 
 def sweep_folder(spark: SparkSession, folder: str) -> str:
-    """Runs the sweep over customers into a new folder of the shared work place."""
+    """Sweep over customers, stored in the shared work place of this application.
+
+    A second call finds every setting stored and does nothing.
+    """
     base = work_folder(spark, tempfile.gettempdir())
-    target = f"{base}/smudgelab-{uuid.uuid4().hex}"
+    scale = folder.rstrip("/").rsplit("/", 1)[-1]
+    target = f"{base}/smudgelab-{spark.sparkContext.applicationId}/{scale}"
     sweep.run_sweep(
         spark, table(spark, folder, "customer"), CUSTOMER_SEGMENT, target, seeds=(SEED,), settings=SWEEP_SETTINGS
     )
@@ -831,32 +834,35 @@ def sweep_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def sweep_evaluation(spark: SparkSession, folder: str, older: bool) -> DataFrame:
-    target = sweep_folder(spark, folder)
-    evaluation.run_evaluation(spark, target, older)
-    found = tables.read_table(spark, target, "embedding_evaluation_metrics")
-    runs = tables.read_table(
-        spark, target, "embeddings_experiments", ["experiment_id", "tag", "error_type"]
-    )
-    return found.join(runs, "experiment_id").select(
+SWEEP_TABLES = ("embeddings_experiments", "embeddings", "corrupted_rows")
+
+
+def with_settings(found: DataFrame, runs: DataFrame) -> DataFrame:
+    return found.join(runs.select("experiment_id", "tag", "error_type"), "experiment_id").select(
         "tag", "error_type", "row_corruption_percent", "evaluation_type", "metric_name", "metric_value"
     )
 
 
 @query
 def evaluate_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    return sweep_evaluation(spark, folder, older=False)
+    """Metrics of the sweep, stored and read back."""
+    target = sweep_folder(spark, folder)
+    evaluation.run_evaluation(spark, target)
+    runs = tables.read_table(spark, target, "embeddings_experiments")
+    return with_settings(tables.read_table(spark, target, "embedding_evaluation_metrics"), runs)
 
 
 @query
 def evaluate_sweep_older(spark: SparkSession, folder: str) -> DataFrame:
-    return sweep_evaluation(spark, folder, older=True)
+    """The older set of metrics over the same runs."""
+    stored = [tables.read_table(spark, sweep_folder(spark, folder), t) for t in SWEEP_TABLES]
+    return with_settings(evaluation.evaluate_older(*stored), stored[0])
 
 
 @query
 def planar_views(spark: SparkSession, folder: str) -> DataFrame:
     target = sweep_folder(spark, folder)
-    stored = [tables.read_table(spark, target, t) for t in ("embeddings_experiments", "embeddings", "corrupted_rows")]
+    stored = [tables.read_table(spark, target, t) for t in SWEEP_TABLES]
     chosen = stored[0].where((F.col("tag") == S.DIRTY_DIRTY) & (F.col("error_type") == S.MCAR)).agg(
         F.min("experiment_id")
     ).first()[0]
