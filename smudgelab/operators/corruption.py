@@ -125,12 +125,10 @@ def _shift_categories(df: DataFrame, damage: Damage) -> DataFrame:
             shifted = F.try_element_at(F.create_map(*pairs), F.col(column))
             df = df.withColumn(column, F.when(F.col("chosen"), shifted).otherwise(F.col(column)))
         else:
+            names = df.columns
             domain = _shift_domain(df, damage, column).withColumnRenamed("old", column)
-            df = (
-                lookup_join(df, domain, [column])
-                .withColumn(column, F.when(F.col("chosen"), F.col("new")).otherwise(F.col(column)))
-                .drop("new")
-            )
+            shifted = F.when(F.col("chosen"), F.col("new")).otherwise(F.col(column))
+            df = lookup_join(df, domain, [column]).withColumn(column, shifted).select(*names)
     return df
 
 

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from smudgelab.operators.lookup import join_pinned
 
 LEVEL_DIGITS = 4  # at most 65,536 counts per level reach the driver
+PAST_LAST_DIGIT = "g"
 SMALL_BUCKET = 5_000
 CUT_GROUPS = 2_000
 
 
 class DigestCuts:
-    """Finds the digest below or at which exactly n rows lie.
+    """Finds the digest at or below which exactly n rows lie.
 
     The answer is one literal, so picking the sample is a row-wise filter with
     no shuffle and no join.
@@ -28,42 +29,43 @@ class DigestCuts:
 
     def __init__(self, df: DataFrame, digest_column: Column):
         self._rows = df.select(digest_column.alias("d"))
-        self._levels: dict[str, list] = {}
-        self.total = sum(count for _, count, _ in self._level(""))
+        self._levels: dict[str, list[tuple[str, int]]] = {}
+        self.total = sum(count for _, count in self._level(""))
 
-    def _level(self, prefix: str) -> list:
+    def _level(self, prefix: str) -> list[tuple[str, int]]:
         if prefix not in self._levels:
             rows = self._rows.where(F.col("d").startswith(prefix)) if prefix else self._rows
-            counts = (
-                rows.groupBy(F.substring("d", 1, len(prefix) + LEVEL_DIGITS).alias("p"))
-                .agg(F.count("*").alias("n"), F.max("d").alias("top"))
-                .toPandas()
-                .sort_values("p")
-            )
+            bucket = F.substring("d", 1, len(prefix) + LEVEL_DIGITS).alias("p")
+            counts = rows.groupBy(bucket).agg(F.count("*").alias("n")).toPandas().sort_values("p")
             self._levels[prefix] = list(counts.itertuples(index=False, name=None))
         return self._levels[prefix]
 
     def cut(self, n: int) -> str:
-        """Digest of the n-th smallest row; '' when n is 0."""
+        """Digest of the n-th smallest row, or a bound just above it; '' when n is 0."""
         if n <= 0:
             return ""
         if n > self.total:
             raise ValueError(f"cannot take {n} of {self.total} rows")
         prefix, wanted = "", n
         while True:
-            for bucket, count, top in self._level(prefix):
-                if wanted < count:
-                    break
-                wanted -= count
-                if wanted == 0:
-                    return top
+            bucket, count = self._locate(prefix, wanted)
+            wanted -= sum(c for b, c in self._level(prefix) if b < bucket)
+            if wanted == count:
+                return bucket + PAST_LAST_DIGIT
             if count <= SMALL_BUCKET:
-                ordered = (
-                    self._rows.where(F.col("d").startswith(bucket)).orderBy("d").limit(wanted).collect()
-                )
-                return ordered[-1]["d"]
+                inside = self._rows.where(F.col("d").startswith(bucket))
+                return inside.orderBy("d").limit(wanted).collect()[-1]["d"]
             prefix = bucket
 
+    def _locate(self, prefix: str, wanted: int) -> tuple[str, int]:
+        """The bucket that holds the wanted rank."""
+        seen = 0
+        for bucket, count in self._level(prefix):
+            seen += count
+            if seen >= wanted:
+                return bucket, count
+        raise AssertionError("rank beyond the counted rows")
+
 
 def running_offsets(counts: DataFrame, group: Sequence[str], bucket: str, value: str) -> DataFrame:
     """Sum of ``value`` over earlier buckets of the same group."""
@@ -91,20 +93,36 @@ def digest_rank(
     )
 
 
+def _place(order: Column, cuts: Column, low: int, high: int) -> Column:
+    """Number of cuts below ``order`` by halving: few comparisons per row."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(order > cuts[middle], _place(order, cuts, middle + 1, high)).otherwise(
+        _place(order, cuts, low, middle)
+    )
+
+
 def cumulative_before(
-    df: DataFrame, group: Sequence[str], order: str, values: Sequence[str], pieces: int = 64
+    df: DataFrame,
+    group: Sequence[str],
+    order: str,
+    values: Sequence[str],
+    pieces: int = 64,
+    cuts_from: DataFrame | None = None,
 ) -> DataFrame:
     """For each row the totals of ``values`` over rows of its group that sort earlier.
 
     ``order`` must be distinct inside a group (aggregate first). A group is cut
     at approximate quantiles into ``pieces`` windows, so no task sorts a whole
-    group; the cut points steer balance only, the totals are exact.
+    group; the cut points (of ``cuts_from``, if given) steer balance only, the
+    totals are exact.
     """
     share = [i / pieces for i in range(1, pieces)]
-    cuts = df.groupBy(*group).agg(F.percentile_approx(order, share, 1000).alias("cuts"))
-    located = join_pinned(df, cuts, group, CUT_GROUPS).withColumn(
-        "piece", F.aggregate("cuts", F.lit(0), lambda n, c: n + (c < F.col(order)).cast("int"))
-    ).drop("cuts")
+    source = df if cuts_from is None else cuts_from
+    cuts = source.groupBy(*group).agg(F.percentile_approx(order, share, 1000).alias("cuts"))
+    place = F.coalesce(_place(F.col(order), F.col("cuts"), 0, pieces - 1), F.lit(0))
+    located = join_pinned(df, cuts, group, CUT_GROUPS).withColumn("piece", place).drop("cuts")
     keys = [*group, "piece"]
     sums = located.groupBy(*keys).agg(*[F.sum(v).alias(f"{v}_piece") for v in values])
     earlier = Window.partitionBy(*group).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)

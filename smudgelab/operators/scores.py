@@ -22,15 +22,13 @@ def roc_auc(df: DataFrame, group: Sequence[str], label: str, score: str) -> Data
     only gives no row.
     """
     group = list(group)
-    merged = (
-        df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-        .groupBy(*group, F.col(score).cast("double").alias("auc_score"))
-        .agg(
-            F.count_if(F.col(label) == 1).alias("hits"),
-            F.count_if(F.col(label) == 0).alias("misses"),
-        )
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
+        *group, F.col(score).cast("double").alias("auc_score"), F.col(label).alias("auc_label")
     )
-    ordered = cumulative_before(merged, group, "auc_score", ["misses"])
+    merged = rows.groupBy(*group, "auc_score").agg(
+        F.count_if(F.col("auc_label") == 1).alias("hits"), F.count_if(F.col("auc_label") == 0).alias("misses")
+    )
+    ordered = cumulative_before(merged, group, "auc_score", ["misses"], cuts_from=rows)
     won = F.col("hits") * (F.col("misses_before") + F.col("misses") / 2)
     return (
         ordered.groupBy(*group)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -34,6 +36,16 @@ from smudgelab.sources.tables import append, with_experiment_id
 ALPHAS = (0.00001, 0.00003, 0.0001, 0.0003, 0.001, 0.003, 0.01, 0.03)
 
 
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """Keeps a frame for the many passes of a fit; lost parts are computed again."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def class_probabilities(
     data: DataFrame, dataset: S.DatasetSpec, regularization: float = 0.01
 ) -> tuple[DataFrame, list[str]]:
@@ -48,7 +60,8 @@ def class_probabilities(
     learner = LogisticRegression(
         featuresCol="features", labelCol="label_index", regParam=regularization, maxIter=100
     )
-    model = Pipeline(stages=[*feature_stages(dataset).getStages(), learner]).fit(indexer.transform(train))
+    with held(indexer.transform(train)) as indexed:
+        model = Pipeline(stages=[*feature_stages(dataset).getStages(), learner]).fit(indexed)
     scored = model.transform(test).select(
         dataset.key, "label", vector_to_array("probability").alias("probabilities")
     )
@@ -110,7 +123,8 @@ def probe_accuracy(embeddings: DataFrame, label: str, is_test: str, regularizati
     )
     train, test = rows.where("NOT is_test"), rows.where("is_test")
     indexer = StringIndexer(inputCol="label", outputCol="label_index", handleInvalid="keep").fit(train)
-    model = LogisticRegression(labelCol="label_index", regParam=regularization).fit(indexer.transform(train))
+    with held(indexer.transform(train)) as indexed:
+        model = LogisticRegression(labelCol="label_index", regParam=regularization).fit(indexed)
     predicted = model.transform(indexer.transform(test))
     return predicted.agg(F.avg((F.col("prediction") == F.col("label_index")).cast("double")).alias("accuracy"))
 
@@ -121,7 +135,8 @@ def regression_run(data: DataFrame, dataset: S.DatasetSpec) -> DataFrame:
         "truth", F.col(dataset.target).cast("double")
     )
     learner = LinearRegression(featuresCol="features", labelCol="truth", solver="normal")
-    model = Pipeline(stages=[*feature_stages(dataset).getStages(), learner]).fit(ready.where("split = 'train'"))
+    with held(ready.where("split = 'train'")) as train:
+        model = Pipeline(stages=[*feature_stages(dataset).getStages(), learner]).fit(train)
     predicted = model.transform(ready.where("split = 'test'")).withColumn("one", F.lit(1))
     return regression_scores(predicted, ["one"], "truth", "prediction").drop("one")
 
@@ -153,6 +168,18 @@ def search_binary_model(
     evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
     prepared = feature_stages(dataset)
     folded = assign_folds(train, dataset.key, seed, folds)
+    with held(folded):
+        return _best_model(folded, prepared, evaluator, alphas, folds, parallelism)
+
+
+def _best_model(
+    folded: DataFrame,
+    prepared: Pipeline,
+    evaluator: BinaryClassificationEvaluator,
+    alphas: Sequence[float],
+    folds: int,
+    parallelism: int,
+) -> tuple[CrossValidatorModel, str]:
     best: tuple[CrossValidatorModel, str] | None = None
     for name, learner in (
         ("logistic", LogisticRegression(labelCol="label", maxIter=50)),

@@ -66,7 +66,7 @@ PART = S.DatasetSpec("part", "p_partkey", "p_brand", ("p_size", "p_retailprice")
 
 def keyed_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with a key over the columns that tell them apart."""
-    df = table(spark, folder, "lineitem").withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+    df = table(spark, folder, "lineitem").withColumn("cents", F.rint(F.col("l_extendedprice") * 100).cast("bigint"))
     return df.withColumn("row_id", row_key("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "cents"))
 
 
@@ -137,15 +137,14 @@ def mcar_customer(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def scar_lineitem(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals and changed cells per column after scaling, one pass over the table."""
     done = corruption.corrupt(keyed_lineitem(spark, folder), LINEITEM, S.CorruptionSpec(S.SCAR, SEED, 10, 50))
-    numeric = list(LINEITEM.numeric)
-    sums = done.flagged.agg(
-        *[F.sum(F.round(F.col(c) * 100).cast("bigint")).alias(c) for c in numeric]
-    ).unpivot([], numeric, "column", "total_cents")
-    changed = corruption.audit(done).select("column", "changed")
-    return sums.join(changed, "column", "left").select(
-        "column", "total_cents", F.coalesce("changed", F.lit(0)).alias("changed")
-    )
+    facts = []
+    for c in LINEITEM.numeric:
+        differs = ~F.col(c).eqNullSafe(F.col(corruption.CLEAN_PREFIX + c)) if c in done.columns else F.lit(False)
+        total = F.sum(F.rint(F.col(c) * 100).cast("bigint"))
+        facts.append(F.struct(F.lit(c).alias("column"), total.alias("total_cents"), F.count_if(differs).alias("changed")))
+    return done.flagged.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
 
 
 @query
