@@ -407,7 +407,7 @@ SELECT vec_id, round(list_max(p) / list_sum(p), 6) AS top,
   (list_position(p, list_max(p)) - 1)::INT AS place FROM powers"""
 
 EXPECTED["matrix_round_trip"] = f"""
-WITH {PAIRS} SELECT label, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS pos,
+WITH {PAIRS} SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5('42:place:' || vec_id)) - 1 AS pos,
   round(list_sum(embedding), 6) AS component_sum FROM pairs"""
 
 EXPECTED["knn_similarity"] = f"""

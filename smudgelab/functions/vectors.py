@@ -75,9 +75,3 @@ def softmax(scores: Column) -> Column:
 def argmax(scores: Column) -> Column:
     """Zero-based position of the largest score, the first one on ties."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
-
-
-def rows_to_matrix(position: Column, vector: Column) -> Column:
-    """Aggregate: vectors of a group as one matrix in position order."""
-    pairs = F.array_sort(F.collect_list(F.struct(position.alias("p"), vector.alias("v"))))
-    return F.transform(pairs, lambda s: s["v"])

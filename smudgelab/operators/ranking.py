@@ -18,6 +18,10 @@ LEVEL_DIGITS = 4  # at most 65,536 counts per level reach the driver
 PAST_LAST_DIGIT = "g"
 SMALL_BUCKET = 5_000
 CUT_GROUPS = 2_000
+WINDOW_ROWS = 2_000_000  # rows one window task sorts
+PIECES = 64
+MOST_LEVELS = 4
+ONE_GROUP = "every_row"
 
 
 class DigestCuts:
@@ -67,29 +71,49 @@ class DigestCuts:
         raise AssertionError("rank beyond the counted rows")
 
 
-def running_offsets(counts: DataFrame, group: Sequence[str], bucket: str, value: str) -> DataFrame:
-    """Sum of ``value`` over earlier buckets of the same group."""
+def biggest_group(df: DataFrame, group: Sequence[str]) -> int:
+    """Rows of the largest group; counts with map-side combine."""
+    sizes = df.groupBy(*group).agg(F.count("*").alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def running_offsets(
+    counts: DataFrame, group: Sequence[str], bucket: str, values: Sequence[str]
+) -> DataFrame:
+    """(group.., bucket, <value>_offset): sums of the values over earlier buckets of the group."""
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("offset", F.coalesce(F.sum(value).over(before), F.lit(0)))
+    return counts.select(
+        *group, bucket, *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_offset") for v in values]
+    )
 
 
 def digest_rank(
-    df: DataFrame, digest_column: str, group: Sequence[str] = (), rank_column: str = "pos", digits: int = 3
+    df: DataFrame, digest_column: str, group: Sequence[str] = (), rank_column: str = "pos"
 ) -> DataFrame:
     """Zero-based rank of a row in digest order inside its group.
 
-    Rows are windowed per (group, leading digits); a group of any size is spread
-    over ``16 ** digits`` windows. The offsets of a group are at most that many.
+    Groups of up to ``WINDOW_ROWS`` rows are one window each. With a larger group
+    the windows are (group, leading digits), as many digits as it takes, and the
+    rows of earlier buckets are added.
     """
-    keys = [*group, "bucket"]
+    group = list(group) or [ONE_GROUP]
+    if group == [ONE_GROUP]:
+        df = df.withColumn(ONE_GROUP, F.lit(0))
+    biggest = biggest_group(df, group)
+    digits = 0
+    while biggest > WINDOW_ROWS * 16**digits:
+        digits += 1
+    keys = [*group, "bucket"] if digits else group
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(digest_column)) - 1
+    if not digits:
+        return df.withColumn(rank_column, inside.cast("bigint")).drop(ONE_GROUP)
     bucketed = df.withColumn("bucket", F.substring(digest_column, 1, digits))
-    counts = bucketed.groupBy(*keys).agg(F.count("*").alias("bucket_rows"))
-    offsets = running_offsets(counts, group or [F.lit(0)], "bucket", "bucket_rows").drop("bucket_rows")
-    inside = Window.partitionBy(*keys).orderBy(digest_column)
+    counts = bucketed.groupBy(*keys).agg(F.count("*").alias("rows"))
+    offsets = running_offsets(counts, group, "bucket", ["rows"])
     return (
         bucketed.join(offsets, keys)
-        .withColumn(rank_column, F.row_number().over(inside) - 1 + F.col("offset"))
-        .drop("bucket", "offset")
+        .withColumn(rank_column, inside + F.col("rows_offset"))
+        .drop("bucket", "rows_offset", ONE_GROUP)
     )
 
 
@@ -104,35 +128,37 @@ def _place(order: Column, cuts: Column, low: int, high: int) -> Column:
 
 
 def cumulative_before(
-    df: DataFrame,
-    group: Sequence[str],
-    order: str,
-    values: Sequence[str],
-    pieces: int = 64,
-    cuts_from: DataFrame | None = None,
+    df: DataFrame, group: Sequence[str], order: str, values: Sequence[str], size_from: DataFrame | None = None
 ) -> DataFrame:
     """For each row the totals of ``values`` over rows of its group that sort earlier.
 
-    ``order`` must be distinct inside a group (aggregate first). A group is cut
-    at approximate quantiles into ``pieces`` windows, so no task sorts a whole
-    group; the cut points (of ``cuts_from``, if given) steer balance only, the
-    totals are exact.
+    ``order`` must be distinct inside a group (aggregate first). While a group is
+    larger than ``WINDOW_ROWS`` it is cut at approximate quantiles into pieces
+    that are ranked on their own; the cut points steer balance only, the totals
+    are exact. Sizes and quantiles may be taken ``size_from`` rows that are cheaper
+    to read.
     """
-    share = [i / pieces for i in range(1, pieces)]
-    source = df if cuts_from is None else cuts_from
+    source = df if size_from is None else size_from
+    return _cumulative(df, list(group), order, list(values), source, biggest_group(source, group), 0)
+
+
+def _cumulative(
+    df: DataFrame, group: list[str], order: str, values: list[str], source: DataFrame, biggest: int, level: int
+) -> DataFrame:
+    if biggest <= WINDOW_ROWS or level == MOST_LEVELS:
+        earlier = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(earlier), F.lit(0)) for v in values})
+    share = [i / PIECES for i in range(1, PIECES)]
     cuts = source.groupBy(*group).agg(F.percentile_approx(order, share, 1000).alias("cuts"))
-    place = F.coalesce(_place(F.col(order), F.col("cuts"), 0, pieces - 1), F.lit(0))
-    located = join_pinned(df, cuts, group, CUT_GROUPS).withColumn("piece", place).drop("cuts")
-    keys = [*group, "piece"]
-    sums = located.groupBy(*keys).agg(*[F.sum(v).alias(f"{v}_piece") for v in values])
-    earlier = Window.partitionBy(*group).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *keys, *[F.coalesce(F.sum(f"{v}_piece").over(earlier), F.lit(0)).alias(f"{v}_offset") for v in values]
+    name = f"piece{level}"
+    place = F.coalesce(_place(F.col(order), F.col("cuts"), 0, PIECES - 1), F.lit(0))
+    located = join_pinned(df, cuts, group, CUT_GROUPS).withColumn(name, place).drop("cuts")
+    keys = [*group, name]
+    totals = located.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+    offsets = running_offsets(totals, group, name, values)
+    ranked = _cumulative(located, keys, order, values, located, biggest_group(located, keys), level + 1)
+    return (
+        ranked.join(offsets, keys)
+        .withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"{v}_offset") for v in values})
+        .drop(name, *[f"{v}_offset" for v in values])
     )
-    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    result = located.join(offsets, keys)
-    for v in values:
-        result = result.withColumn(
-            f"{v}_before", F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"{v}_offset")
-        )
-    return result.drop("piece", *[f"{v}_offset" for v in values])

@@ -28,7 +28,7 @@ def roc_auc(df: DataFrame, group: Sequence[str], label: str, score: str) -> Data
     merged = rows.groupBy(*group, "auc_score").agg(
         F.count_if(F.col("auc_label") == 1).alias("hits"), F.count_if(F.col("auc_label") == 0).alias("misses")
     )
-    ordered = cumulative_before(merged, group, "auc_score", ["misses"], cuts_from=rows)
+    ordered = cumulative_before(merged, group, "auc_score", ["misses"], size_from=rows)
     won = F.col("hits") * (F.col("misses_before") + F.col("misses") / 2)
     return (
         ordered.groupBy(*group)

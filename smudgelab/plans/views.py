@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from smudgelab import spec as S
+from smudgelab.operators.lookup import lookup_join
 from smudgelab.operators.columns import column_modes, label_codes, one_hot
 from smudgelab.operators.planar import mirror, project_2d
 from smudgelab.operators.subsets import flag_corrupted, keep_first, test_side
@@ -83,5 +84,5 @@ def planar_view(
         horizontally, vertically = FLIPS.get((flips or {}).get(panel, ""), (False, False))
         flat = mirror(flat, ["panel"], horizontally, vertically)
         result = flat if result is None else result.unionByName(flat)
-    coded = flagged.join(F.broadcast(label_codes(flagged, "label", "label_code")), "label", "left")
+    coded = lookup_join(flagged, label_codes(flagged, "label", "label_code"), ["label"])
     return result.join(coded, "row_id").select("panel", "row_id", "x", "y", "label", "label_code", "is_corrupted")

@@ -22,6 +22,7 @@ from smudgelab.operators import (
     columns,
     corruption,
     distances,
+    documents,
     encoders,
     neighbours,
     planar,
@@ -33,6 +34,7 @@ from smudgelab.operators import (
     synthesis,
 )
 from smudgelab.operators.lookup import lookup_join
+from smudgelab.operators.ranking import digest_rank
 from smudgelab.plans import evaluate as evaluation
 from smudgelab.plans import grid, models, report, sweep, views
 from smudgelab.session import work_folder
@@ -390,22 +392,12 @@ def unrepeatable_datasets(spark: SparkSession, folder: str) -> DataFrame:
 def manifest_json(spark: SparkSession, folder: str) -> DataFrame:
     """Line numbers as JSON lists, flat or [train, test], read back as test rows."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    runs = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
-    number = F.col("l_linenumber").cast("bigint")
-    is_train = F.col("l_returnflag") == "N"
-    lists = (
-        lines.join(runs, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("l_orderkey", "o_orderstatus")
-        .agg(
-            F.array_sort(F.collect_list(number)).alias("flat"),
-            F.array_sort(F.collect_list(F.when(is_train, number))).alias("train"),
-            F.array_sort(F.collect_list(F.when(~is_train, number))).alias("test"),
-        )
-    )
-    document = F.when(F.col("o_orderstatus") == "O", text.encode_list(F.array("train", "test"))).otherwise(
-        text.encode_list(F.col("flat"))
+    runs = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    stored = documents.row_documents(
+        lines.join(runs, "l_orderkey"), ["l_orderkey"], "l_linenumber",
+        nested=F.col("o_orderstatus") == "O", is_train=F.col("l_returnflag") == "N",
     )
-    decoded = lists.select("l_orderkey", text.test_side_rows(document).alias("rows"))
+    decoded = stored.select("l_orderkey", text.test_side_rows(F.col("document")).alias("rows"))
     return decoded.select(F.col("l_orderkey").alias("experiment_id"), F.explode("rows").alias("row_id"))
 
 
@@ -500,12 +492,12 @@ def vector_scalars(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def matrix_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors of a label as one matrix and back to rows."""
-    stored = vector_pairs(spark, folder).groupBy("label").agg(
-        V.rows_to_matrix(F.col("vec_id"), F.col("embedding")).alias("matrix")
-    )
-    rows = stored.select("label", F.posexplode("matrix").alias("pos", "v"))
-    return rows.select("label", "pos", F.round(V.total(F.col("v")), 6).alias("component_sum"))
+    """Vectors of a label as matrices of bounded size and back to rows."""
+    rows = vector_pairs(spark, folder)
+    ranked = digest_rank(rows.withColumn("d", digest(SEED, "place", "vec_id")), "d", ["label"])
+    stored = documents.matrices(ranked, ["label"], "pos", "embedding", 100)
+    back = documents.matrix_rows(stored, ["label"], 100)
+    return back.select("label", "pos", F.round(V.total(F.col("embedding")), 6).alias("component_sum"))
 
 
 @query

@@ -109,23 +109,47 @@ def test_inference_limit(spark, rows, features, classes, limit):
     assert got.first()["l"] == limit
 
 
-def test_rank_of_one_hot_group(spark):
+@pytest.mark.parametrize("window_rows", [7, 100, 10**6])
+def test_rank_of_one_hot_group(spark, monkeypatch, window_rows):
+    monkeypatch.setattr(ranking, "WINDOW_ROWS", window_rows)
     df = spark.range(2000).withColumn("g", F.when(F.col("id") < 1800, "hot").otherwise("cold"))
     df = df.withColumn("d", digest(0, "x", "id"))
-    ranked = ranking.digest_rank(df, "d", ["g"], digits=2)
+    ranked = ranking.digest_rank(df, "d", ["g"])
     got = {g: sorted((r["pos"], r["d"]) for r in ranked.where(F.col("g") == g).collect()) for g in ("hot", "cold")}
     for rows in got.values():
         assert [p for p, _ in rows] == list(range(len(rows)))
         assert [d for _, d in rows] == sorted(d for _, d in rows)
 
 
-def test_running_totals_are_exact(spark):
+def test_rank_without_groups(spark, monkeypatch):
+    for window_rows in (10, 1000):
+        monkeypatch.setattr(ranking, "WINDOW_ROWS", window_rows)
+        ranked = ranking.digest_rank(spark.range(60).withColumn("d", digest(0, "x", "id")), "d")
+        assert ranked.columns == ["id", "d", "pos"]
+        assert [r["pos"] for r in ranked.orderBy("d").collect()] == list(range(60))
+
+
+@pytest.mark.parametrize("window_rows", [5, 60, 10**6])
+def test_running_totals_are_exact(spark, monkeypatch, window_rows):
+    monkeypatch.setattr(ranking, "WINDOW_ROWS", window_rows)
+    monkeypatch.setattr(ranking, "PIECES", 4)
     df = spark.range(500).select(
         (F.col("id") % 3).alias("g"), F.sin("id").alias("s"), (F.col("id") % 7).alias("v")
     )
-    rows = ranking.cumulative_before(df, ["g"], "s", ["v"], pieces=8).collect()
+    rows = ranking.cumulative_before(df, ["g"], "s", ["v"]).collect()
     for g in range(3):
         total = 0
         for r in sorted((r for r in rows if r["g"] == g), key=lambda r: r["s"]):
             assert r["v_before"] == total
             total += r["v"]
+
+
+def test_lists_are_stored_in_bounded_parts(spark):
+    from smudgelab.functions import text
+    from smudgelab.operators import documents
+
+    df = spark.range(95).withColumn("g", F.when(F.col("id") < 80, "hot").otherwise("cold"))
+    stored = documents.row_documents(df, ["g"], "id", F.col("g") == "hot", F.col("id") % 2 == 0, rows=10)
+    assert {r["g"]: r["n"] for r in stored.groupBy("g").agg(F.count("*").alias("n")).collect()} == {"hot": 8, "cold": 2}
+    back = stored.select("g", F.explode(text.test_side_rows(F.col("document"))).alias("id"))
+    assert keys(back.where("g = 'hot'")) == list(range(1, 80, 2)) and keys(back.where("g = 'cold'")) == list(range(80, 95))
