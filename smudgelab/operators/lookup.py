@@ -38,10 +38,9 @@ def join_pinned(
     Up to ``rows`` rows pass through the driver; beyond that the lookup stays a
     distributed frame and is joined under salts.
     """
-    held = lookup.limit(rows + 1).collect()
-    if len(held) <= rows:
-        pinned = df.sparkSession.createDataFrame(held, lookup.schema)
-        return df.join(F.broadcast(pinned), list(on), how)
+    held = lookup.limit(rows + 1).toArrow()
+    if held.num_rows <= rows:
+        return df.join(F.broadcast(df.sparkSession.createDataFrame(held)), list(on), how)
     return _salted_join(df, lookup, list(on), how)
 
 

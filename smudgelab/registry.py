@@ -503,7 +503,7 @@ def matrix_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def knn_similarity(spark: SparkSession, folder: str) -> DataFrame:
     typed = subsets.with_samples_type(vector_pairs(spark, folder))
-    near = neighbours.neighbour_similarity(typed, ["samples_type"], "vec_id", "embedding", block_rows=1_024)
+    near = neighbours.neighbour_similarity(typed, ["samples_type"], "vec_id", "embedding")
     return near.select("samples_type", "k", F.round("similarity", 6).alias("similarity"))
 
 
@@ -517,7 +517,7 @@ def cluster_purity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def cluster_silhouette(spark: SparkSession, folder: str) -> DataFrame:
     typed = subsets.with_samples_type(vector_pairs(spark, folder))
-    shaped = clusters.silhouette(typed, ["samples_type"], "vec_id", "embedding", "label", block_rows=1_024)
+    shaped = clusters.silhouette(typed, ["samples_type"], "vec_id", "embedding", "label")
     return shaped.select("samples_type", F.round("silhouette", 6).alias("silhouette"))
 
 
