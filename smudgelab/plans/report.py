@@ -62,7 +62,9 @@ def size_bounds(
 
 
 def in_panels(panels: Sequence[tuple[str, str]]) -> Column:
-    return F.struct(*PANEL).isin([F.struct(F.lit(a), F.lit(b)) for a, b in panels])
+    """The listed pairs; the plain lists reach the scan and prune its folders."""
+    plain = [F.col(c).isin(sorted({p[i] for p in panels})) for i, c in enumerate(PANEL)]
+    return plain[0] & plain[1] & F.struct(*PANEL).isin([F.struct(F.lit(a), F.lit(b)) for a, b in panels])
 
 
 def joined_metrics(experiments: DataFrame, metrics: DataFrame) -> DataFrame:
