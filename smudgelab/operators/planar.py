@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import sqrt
 
 import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler
@@ -46,8 +45,3 @@ def mirror(
     tops = df.groupBy(*group).agg(*[F.max(c).alias(f"{c}_top") for c in flips])
     joined = join_pinned(df, tops, list(group), MIRROR_GROUPS)
     return joined.withColumns({c: F.col(f"{c}_top") - F.col(c) for c in flips}).drop(*[f"{c}_top" for c in flips])
-
-
-def population_scale(rows: int) -> float:
-    """Factor from sample-scaled to population-scaled values."""
-    return sqrt(rows / (rows - 1)) if rows > 1 else 1.0
