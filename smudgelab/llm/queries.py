@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smudgelab.llm import bpe
-from smudgelab.llm.common import sha256_hex, table
+from smudgelab.llm import bpe, simhash
+from smudgelab.llm.common import sha256_hex, stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -24,6 +24,15 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = simhash.fingerprints(docs.select("doc_id", "text")).drop("text")
+    return simhash.near_duplicates(stored(found, "op8-fingerprints")).select(
+        "doc_id", simhash.hex16(F.col("fingerprint")).alias("fingerprint"), "component_id"
+    )
+
+
 QUERIES = {
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
 }
