@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from smudgelab.llm.common import bounded_batches, whole_texts, without
 
 #: New pre-tokens that are merged together, and pre-tokens a worker remembers.
-MERGED_TOGETHER = 200_000
-KEPT = 400_000
+MERGED_TOGETHER = 100_000
+KEPT = 250_000
 #: Bytes of pre-tokens merged together, and bytes of text that wait for their ids.
-MERGED_BYTES = 4_000_000
-WAITING_BYTES = 24_000_000
+MERGED_BYTES = 2_000_000
+WAITING_BYTES = 8_000_000
 #: Pre-tokens above this length are not remembered after their merge.
 REMEMBERED_CHARS = 64
 
@@ -57,7 +57,8 @@ class RankQueue:
         self.middle = [0] * (n_ranks // 4096 + 1)
         self.top = 0
 
-    def push(self, rank: int, position: int) -> None:
+    def push(self, rank: int, position: int | np.ndarray) -> None:
+        """Adds a position, or an array of them as the first entry of its bucket."""
         bucket = self.buckets[rank]
         if not bucket:
             word = rank >> 6
@@ -108,7 +109,7 @@ class ByteBpe:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.size = max(ranks.values(), default=0) + 1
         self.queue = RankQueue(self.size)
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         # Every way to put a token together from two others, as one sorted key.
         keys, found = [], []
         for token, rank in ranks.items():
@@ -119,7 +120,7 @@ class ByteBpe:
                     found.append(rank)
         order = np.argsort(np.array(keys, dtype=np.int64))
         self.pair_keys = np.append(np.array(keys, dtype=np.int64)[order], np.iinfo(np.int64).max)
-        self.pair_ranks = np.append(np.array(found, dtype=np.int64)[order], -1)
+        self.pair_ranks = np.append(np.array(found, dtype=np.int32)[order], np.int32(-1))
         self.forget()
 
     def forget(self) -> None:
@@ -129,9 +130,9 @@ class ByteBpe:
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of tokens; -1 where they don't merge (or right is no token)."""
-        keys = left * self.size + right
+        keys = left.astype(np.int64) * self.size + right
         at = np.searchsorted(self.pair_keys, keys)
-        return np.where((self.pair_keys[at] == keys) & (right >= 0), self.pair_ranks[at], -1)
+        return np.where((self.pair_keys[at] == keys) & (right >= 0), self.pair_ranks[at], np.int32(-1))
 
     def merge_one(self, piece: bytes) -> list[int]:
         """Ids of one pre-token, strictly one merge at a time."""
@@ -186,11 +187,11 @@ class ByteBpe:
         n = len(raw)
         ends = np.cumsum([len(pieces[k]) for k in open_])
         starts = np.concatenate(([0], ends[:-1]))
-        token = np.append(self.byte_ids[raw], -1)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        token = np.append(self.byte_ids[raw], np.int32(-1))
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends - 1] = n
         before[starts] = n
-        pair = np.full(n + 1, -1, dtype=np.int64)
+        pair = np.full(n + 1, -1, dtype=np.int32)
         pair[:n] = self.lookup(token[:n], token[after[:n]])
         alive = np.ones(n, dtype=bool)
         queue, lower = self.queue, []
@@ -199,10 +200,17 @@ class ByteBpe:
             for rank, position in zip(ranks.tolist(), positions.tolist(), strict=True):
                 queue.push(rank, position)
 
-        first = np.flatnonzero(pair[:n] >= 0)
-        push(pair[first], first)
+        order = np.argsort(pair[:n], kind="stable").astype(np.int32)
+        order = order[np.searchsorted(pair[order], 0) :]
+        cuts = np.flatnonzero(np.diff(pair[order])) + 1
+        for same in np.split(order, cuts) if len(order) else []:
+            queue.push(int(pair[same[0]]), same)
         while (rank := queue.first()) >= 0:
-            at = np.array(queue.take(rank))
+            bucket = queue.take(rank)
+            if isinstance(bucket[0], np.ndarray):
+                at = np.concatenate((bucket[0], np.array(bucket[1:], dtype=np.int32)))
+            else:
+                at = np.array(bucket, dtype=np.int32)
             at = at[pair[at] == rank]  # others are stale
             if not len(at):
                 continue
@@ -282,7 +290,7 @@ class ByteBpe:
             get = numbers.get
             pieces = self.find(text)
             at = [got if (got := get(p)) is not None else number(p) for p in pieces]
-            waiting.append(np.array(at, dtype=np.int64))
+            waiting.append(np.array(at, dtype=np.int32))
             bytes_waiting += len(text)
             if (
                 len(fresh) >= MERGED_TOGETHER
