@@ -2,4 +2,45 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+MIX = r"""
+WITH d AS (
+  SELECT doc_id, source,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5)
+      / 4503599627370496.0::DOUBLE AS u
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS most,
+    ([5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)])::DOUBLE AS w
+  FROM d GROUP BY source),
+l AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER below, 0))
+    / (sum(w) OVER () - coalesce(sum(w) OVER below, 0)) AS level
+  FROM s
+  WINDOW below AS (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (
+  SELECT level FROM l WHERE level * w <= most ORDER BY most / w, source NULLS LAST LIMIT 1),
+t AS (
+  SELECT source, source_size, least(most, coalesce((SELECT level FROM f) * w, most))::DOUBLE AS target FROM l),
+r AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM t),
+j AS (
+  SELECT d.doc_id, d.source, d.size, d.u, r.source_size, r.target, floor(ratio) AS certain,
+    ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS open_words
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+k AS (
+  SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM j),
+c AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size) AS reached,
+    sum(size) OVER (PARTITION BY source, rank, doc_id, size) AS same
+  FROM k)
+SELECT doc_id, size, source_size, target,
+  (size * (certain + CASE WHEN rank IS NOT NULL AND open_words > 0 AND (reached < open_words
+    OR (reached - same < open_words AND reached - open_words <= open_words - (reached - same)))
+    THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_pareto_mix": MIX,
+}

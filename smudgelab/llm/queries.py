@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smudgelab.llm import bpe, simhash
-from smudgelab.llm.common import sha256_hex, stored, table
+from smudgelab.llm import bpe, langid, mixing, simhash
+from smudgelab.llm.common import fold, sha256_hex, stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -32,7 +32,26 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, where=fold(F.col("doc_id")) != 0)
+    return langid.identify(docs, model).select(
+        "doc_id",
+        F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+        "rejected",
+    )
+
+
 QUERIES = {
+    "op4_pareto_mix": op4_pareto_mix,
+    "op10_language_id": op10_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
 }
