@@ -17,8 +17,10 @@ TABLES = (
 def database(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
-        if Path(f"{folder}/{t}.parquet").exists():
-            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+        path = Path(f"{folder}/{t}.parquet")
+        if path.exists():
+            files = f"{path}/*.parquet" if path.is_dir() else path
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{files}'")
     return con
 
 
