@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smudgelab.llm import bpe, langid, mixing, simhash
+from smudgelab.llm import bpe, langid, mixing, secret_scan, simhash
 from smudgelab.llm.common import fold, sha256_hex, stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,23 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.find(docs, secret_scan.train(docs))
+    kinds = list(secret_scan.KINDS)
+    base = F.filter("spans", lambda s: s["kind"] < len(kinds))
+    counts = [
+        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+        for k, name in enumerate(kinds)
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        sha256_hex(secret_scan.described(base)).alias("base_sha256"),
+        secret_scan.described(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = simhash.fingerprints(docs.select("doc_id", "text")).drop("text")
@@ -52,6 +69,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op4_pareto_mix": op4_pareto_mix,
     "op10_language_id": op10_language_id,
+    "op7_secret_scan": op7_secret_scan,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
 }

@@ -272,13 +272,15 @@ def near_duplicates(
     distance: int = 4,
     block: int = BLOCK,
 ) -> DataFrame:
-    """``df`` (ids and fingerprints, stored) with ``component_id``.
+    """``df`` (ids and fingerprints, stored) with ``component_id`` and ``component``.
+
+    ``component`` is the smallest (signed) fingerprint of the group.
 
     The smallest id that chains of fingerprints at ``distance`` or fewer differing bits
     reach. Rows of empty texts have fingerprint 0 and are linked like others. Null ids are
     members but never a component's id, unless it has no other (then it is null).
     """
-    df = without(df, "component_id")
+    df = without(df, "component_id", "component")
     nodes = stored(
         df.groupBy(F.col(fingerprint_col).alias("fingerprint")).agg(F.min(id_col).alias("least")),
         "fingerprints",
@@ -288,7 +290,40 @@ def near_duplicates(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = stored(placed.join(named, "root").select("fingerprint", "component_id"), "components")
+    ids = stored(placed.join(named, "root").select("fingerprint", "component_id", F.col("root").alias("component")), "components")
     ids = ids.withColumnRenamed("fingerprint", "_fingerprint")
     joined = df.join(ids, df[fingerprint_col] == ids["_fingerprint"], "left")
     return joined.drop("_fingerprint")
+
+
+def first_of_groups(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 4,
+    seed: int = 42,
+    distance: int = 4,
+) -> DataFrame:
+    """The row with the smallest id of each group of near-duplicates, with its own columns.
+
+    Ids of null come after all others. Of rows that share id and fingerprint, the
+    smallest by all columns stays.
+    """
+    texts = stored(fingerprints(df, text_col, "_fingerprint", words, seed), "with-fingerprints")
+    ids = texts.select(F.col(id_col).alias("id"), F.col("_fingerprint").alias("fingerprint"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "fingerprint")
+    grouped = near_duplicates(ids, "id", "fingerprint", distance)
+    counted = grouped.groupBy("component", "id", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("component").agg(F.min_by(F.struct("id", "fingerprint", "n"), rank).alias("f"))
+    first = stored(
+        first.select(F.col("f.id").alias("_id"), F.col("f.fingerprint").alias("_value"), F.col("f.n").alias("_n")),
+        "first-of-groups",
+    )
+    match = (texts["_fingerprint"] == first["_value"]) & texts[id_col].eqNullSafe(first["_id"])
+    kept = texts.join(first, match)
+    single = kept.where("_n = 1").select(*df.columns)
+    if first.where("_n > 1").isEmpty():
+        return single
+    row = F.struct(*df.columns)
+    repeated = kept.where("_n > 1").groupBy("_fingerprint", "_id").agg(F.min(row).alias("row"))
+    return single.unionByName(repeated.select("row.*"))
