@@ -2,6 +2,27 @@
 
 from __future__ import annotations
 
+CHAT = r"""
+WITH r AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM r),
+l AS (
+  SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
+      + len(regexp_extract_all(text, '</?s>|<</?(?:SYS|ROLE)|\[/?INST\]')) AS inside,
+    CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 17
+      ELSE 21 + length(role) END AS marks
+  FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(inside + marks)::BIGINT AS formatted_chars
+FROM l GROUP BY conv_id
+"""
+
 MIX = r"""
 WITH d AS (
   SELECT doc_id, source,
@@ -42,5 +63,6 @@ FROM c
 """
 
 ORACLES: dict[str, str] = {
+    "op3_chat_format": CHAT,
     "op4_pareto_mix": MIX,
 }
