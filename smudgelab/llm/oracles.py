@@ -62,7 +62,68 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
+QUALITY = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT i, unnest(l) AS w, generate_subscripts(l, 1) AS p
+  FROM (SELECT i, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS l FROM d)),
+x AS (
+  SELECT i, p, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY i ORDER BY p)),
+y AS (
+  SELECT i, p FROM x WHERE w3 IS NOT NULL QUALIFY count(*) OVER (PARTITION BY i, w, w2, w3) > 1),
+z AS (
+  SELECT i, count(DISTINCT q) AS n FROM (SELECT i, unnest([p, p + 1, p + 2]) AS q FROM y) GROUP BY i),
+ws AS (
+  SELECT i, count(*) AS n, sum(length(w)) AS chars FROM w GROUP BY i),
+ln AS (
+  SELECT i, count(*) AS n, count(DISTINCT line) AS differ
+  FROM (SELECT i, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY i),
+c AS (
+  SELECT d.i, doc_id, lang, source, coalesce(ws.n, 0)::BIGINT AS n_words,
+    coalesce(ws.chars, 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(ln.n, 0)::BIGINT AS n_lines, coalesce(ln.n - ln.differ, 0)::BIGINT AS n_dup_lines,
+    coalesce(z.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN ws ON d.i = ws.i LEFT JOIN ln ON d.i = ln.i LEFT JOIN z ON d.i = z.i),
+b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+r AS (
+  SELECT i, lang, source, base_failed, unnest(['symbols', 'lines', 'repeats', 'length']) AS rate,
+    unnest([1000 * n_symbols // greatest(word_chars, 1), 1000 * n_dup_lines // greatest(n_lines, 1),
+      1000 * n_repeat_words // greatest(n_words, 1),
+      least(20 * word_chars // greatest(n_words, 1), 2000)]) AS cell
+  FROM b),
+g AS (
+  SELECT 0 AS level, lang, source, rate, cell FROM r WHERE NOT base_failed
+  UNION ALL SELECT 1, lang, NULL, rate, cell FROM r WHERE NOT base_failed
+  UNION ALL SELECT 2, NULL, NULL, rate, cell FROM r WHERE NOT base_failed),
+q AS (
+  SELECT level, lang, source, rate, count(*) AS n,
+    quantile_disc(cell, 0.25) AS q1, quantile_disc(cell, 0.75) AS q3,
+    CASE rate WHEN 'symbols' THEN 20 WHEN 'lines' THEN 100 WHEN 'repeats' THEN 50 ELSE 20 END AS least
+  FROM g GROUP BY ALL),
+f AS (
+  SELECT level, lang, source, rate, n, CASE rate WHEN 'length' THEN q1 - 3 * greatest(q3 - q1, least) END AS low,
+    q3 + 3 * greatest(q3 - q1, least) AS high
+  FROM q),
+v AS (
+  SELECT r.i, bool_and(r.cell <= t.high AND coalesce(r.cell >= t.low, TRUE)) AS within
+  FROM r JOIN f o ON o.level = 0 AND r.lang IS NOT DISTINCT FROM o.lang AND r.source IS NOT DISTINCT FROM o.source AND r.rate = o.rate
+  JOIN f l ON l.level = 1 AND r.lang IS NOT DISTINCT FROM l.lang AND r.rate = l.rate
+  JOIN f t ON r.rate = t.rate AND CASE WHEN o.n >= 200
+      THEN t.level = 0 AND r.lang IS NOT DISTINCT FROM t.lang AND r.source IS NOT DISTINCT FROM t.source
+    WHEN l.n >= 200 THEN t.level = 1 AND r.lang IS NOT DISTINCT FROM t.lang
+    ELSE t.level = 2 END
+  GROUP BY r.i)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(within, TRUE) AS kept
+FROM b LEFT JOIN v ON b.i = v.i
+"""
+
 ORACLES: dict[str, str] = {
     "op3_chat_format": CHAT,
     "op4_pareto_mix": MIX,
+    "op6_quality_rules": QUALITY,
 }

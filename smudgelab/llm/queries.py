@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smudgelab.llm import bpe, chat, langid, mixing, neighbours, secret_scan, simhash
+from smudgelab.llm import bpe, chat, langid, mixing, neighbours, quality, secret_scan, simhash
 from smudgelab.llm.common import fold, sha256_hex, stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,12 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    counted = stored(quality.counted(docs).drop("text"), "op6-counts")
+    return quality.judged(counted).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = secret_scan.find(docs, secret_scan.train(docs))
@@ -101,6 +107,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_pareto_mix": op4_pareto_mix,
     "op10_language_id": op10_language_id,
+    "op6_quality_rules": op6_quality_rules,
     "op7_secret_scan": op7_secret_scan,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
