@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smudgelab.llm import bpe, chat, langid, mixing, neighbours, quality, secret_scan, simhash
+from smudgelab.llm import bpe, chat, langid, mixing, neighbours, quality, secret_scan, simhash, toxicity
 from smudgelab.llm.common import fold, sha256_hex, stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -90,6 +90,18 @@ def op4_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    taught = fold(F.col("doc_id")) != 0
+    model = toxicity.fit(docs, table(spark, folder, "labels"), where=taught)
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        "predicted",
+    )
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs, where=fold(F.col("doc_id")) != 0)
@@ -106,9 +118,10 @@ QUERIES = {
     "op2_cross_polytope": op2_cross_polytope,
     "op3_chat_format": op3_chat_format,
     "op4_pareto_mix": op4_pareto_mix,
-    "op10_language_id": op10_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scan": op7_secret_scan,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_language_id": op10_language_id,
     "op5_byte_bpe": op5_byte_bpe,
 }
