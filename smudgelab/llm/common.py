@@ -76,3 +76,17 @@ def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
 def whole_texts(column: Column) -> Column:
     """A text, empty where it is null."""
     return F.coalesce(column.cast("string"), F.lit(""))
+
+
+def sampled(df: DataFrame, keys: Sequence[str | Column], wanted: int, purpose: str) -> DataFrame:
+    """``wanted`` rows of ``df`` (all, if fewer): those with the smallest hashes of their keys.
+
+    Rows are thinned out by the hash first, to about twice as many as wanted, so that little
+    comes together wherever the input's partitions are many. Reruns agree.
+    """
+    total = df.count()
+    drawn = F.xxhash64(*keys, F.lit(purpose))
+    cells = 1 << 40
+    rate = min(1.0, (2.0 * wanted + 100) / max(1, total))
+    thinned = df.where(F.pmod(drawn, F.lit(cells)) < int(rate * cells))
+    return thinned.orderBy(F.pmod(drawn, F.lit(cells)), *keys).limit(wanted)

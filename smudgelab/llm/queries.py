@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smudgelab.llm import bpe, chat, langid, mixing, neighbours, quality, secret_scan, simhash, toxicity
+from smudgelab.llm import bpe, chat, langid, licences, mixing, neighbours, quality, secret_scan, simhash, toxicity
 from smudgelab.llm.common import fold, sha256_hex, stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -55,6 +55,20 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op1_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = licences.scan(docs, licences.train(docs))
+    notice = F.transform(
+        "licences", lambda x: F.concat_ws(":", x["paragraph"].cast("string"), x["family"])
+    )
+    return found.select(
+        "doc_id",
+        F.size("licences").cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct("licences.family")), ",").alias("families"),
+        F.array_join(notice, ",").alias("notices"),
+    )
+
+
 def op2_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
     found = neighbours.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
     return found.withColumnRenamed("id", "vec_id")
@@ -115,6 +129,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licence_scan": op1_licence_scan,
     "op2_cross_polytope": op2_cross_polytope,
     "op3_chat_format": op3_chat_format,
     "op4_pareto_mix": op4_pareto_mix,
