@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smudgelab.llm import bpe, chat, langid, licences, mixing, neighbours, quality, secret_scan, simhash, toxicity
@@ -35,10 +35,11 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.find(docs, secret_scan.train(docs))
     kinds = list(secret_scan.KINDS)
     base = F.filter("spans", lambda s: s["kind"] < len(kinds))
-    counts = [
-        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-        for k, name in enumerate(kinds)
-    ]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(kinds)]
     return found.select(
         "doc_id",
         *counts,
