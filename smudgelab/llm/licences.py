@@ -171,7 +171,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     spark = df.sparkSession
     notices = [(family, text) for family in FAMILIES for text in TEMPLATES[family]]
     known = _variants(spark, notices + [(NONE, text) for text in NO_NOTICES])
-    sample = sampled(df.where(F.col(text_col).isNotNull()), [id_col], SAMPLED_DOCUMENTS, "licence sample")
+    sample = sampled(df, [id_col], SAMPLED_DOCUMENTS, "licence sample").where(F.col(text_col).isNotNull())
     plain = (
         sample.select(F.explode(paragraphs(F.col(text_col))).alias("p"))
         .where(~F.col("p").rlike(LICENCE_WORDS))

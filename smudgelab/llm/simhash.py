@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from smudgelab.llm import components
-from smudgelab.llm.common import bounded_batches, stored, whole_texts, without
+from smudgelab.llm.common import bounded_batches, sampled, stored, whole_texts, without
 
 BITS = 64
 #: Members of a bucket that one task compares; a larger bucket is split.
@@ -232,9 +232,7 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
     Two fingerprints are connected by the returned links exactly if a chain of
     fingerprints leads from one to the other in steps of ``distance`` bits or fewer.
     """
-    sample = [
-        r[0] for r in nodes.orderBy(F.xxhash64("fingerprint")).limit(PLANNED_ON).collect()
-    ]
+    sample = [r[0] for r in sampled(nodes.select("fingerprint"), ["fingerprint"], PLANNED_ON, "plan").collect()]
     plan = plan_search(np.array(sample, dtype=np.int64).view(np.uint64), nodes.count(), distance)
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in plan.kept_bits()]
     masks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).cast("long").alias("m")) for k, m in enumerate(signed)])
