@@ -295,14 +295,10 @@ SELECT *, round(over_samples / tasks, 6) AS share_samples, round(over_train_samp
 FROM counted"""
 
 EXPECTED["run_profile"] = f"""
-WITH classes AS (
-  SELECT p_brand FROM (SELECT DISTINCT p_brand FROM part) ORDER BY md5('42:class:' || p_brand) LIMIT 10),
-kept AS (SELECT * FROM part WHERE p_brand IN (SELECT p_brand FROM classes)),
-sides AS ({split("kept", "p_partkey")}),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5('42:train:' || p_partkey)) AS n FROM sides)
+WITH sides AS ({split("part", "p_partkey")})
 SELECT count(*) FILTER (split = 'train') AS train_size, count(*) FILTER (split = 'test') AS test_size,
   count(DISTINCT p_brand) FILTER (split = 'train') AS number_of_classes, 4 AS number_of_features
-FROM ranked WHERE split = 'test' OR n <= 10000"""
+FROM sides"""
 
 EXPECTED["class_lists"] = """
 SELECT o_orderstatus, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS classes,
@@ -402,7 +398,7 @@ SELECT 'dirty' AS experiment_id, * FROM ({_means(("zed", "cos"))})"""
 EXPECTED["clean_row_labels"] = f"WITH {PAIRS} SELECT vec_id, label FROM pairs WHERE NOT is_corrupted"
 
 EXPECTED["vector_scalars"] = f"""
-WITH {PAIRS}, powers AS (SELECT vec_id, list_transform(reference[1:10], lambda x: exp(x)) AS p FROM pairs)
+WITH {PAIRS}, powers AS (SELECT vec_id, list_transform(reference, lambda x: exp(x)) AS p FROM pairs)
 SELECT vec_id, round(list_max(p) / list_sum(p), 6) AS top,
   (list_position(p, list_max(p)) - 1)::INT AS place FROM powers"""
 
@@ -464,9 +460,9 @@ EXPECTED["auc_lineitem"] = auc(
 )
 EXPECTED["auc_one_vs_rest"] = f"""
 WITH {PAIRS}, powers AS (
-  SELECT samples_type, label, list_transform(embedding[1:10], lambda x: exp(x)) AS p FROM typed),
+  SELECT samples_type, label, list_transform(embedding, lambda x: exp(x)) AS p FROM typed),
 long AS (SELECT samples_type, c, (label = c)::INT AS y, p[c + 1] / list_sum(p) AS s
-  FROM powers, (SELECT unnest(range(10))::INT AS c)),
+  FROM powers, (SELECT unnest(range(64))::INT AS c)),
 each AS (
   SELECT samples_type, c, (sum(r) FILTER (y = 1) - p * (p + 1) / 2) / (p * q) AS a
   FROM (SELECT samples_type, c, y,
@@ -553,11 +549,11 @@ train AS (SELECT * FROM sides WHERE split = 'train'), test AS (SELECT * FROM sid
 {embedded("test", "train")}"""
 
 _FOLDED = """folded AS (
-  SELECT *, ('0x' || substr(md5('42:fold:' || c_custkey), 1, 8))::BIGINT % 4 AS fold FROM customer)"""
+  SELECT *, ('0x' || substr(md5('42:fold:' || c_custkey), 1, 8))::BIGINT % 10 AS fold FROM customer)"""
 EXPECTED["oof_embedding"] = f"WITH {_FOLDED}, " + ", ".join(
     f"in{f} AS (SELECT * FROM folded WHERE fold = {f}), out{f} AS (SELECT * FROM folded WHERE fold <> {f})"
-    for f in range(4)
-) + " UNION ALL ".join(embedded(f"in{f}", f"out{f}") for f in range(4))
+    for f in range(10)
+) + " UNION ALL ".join(embedded(f"in{f}", f"out{f}") for f in range(10))
 
 # ---------------------------------------------------------------- reports
 

@@ -75,13 +75,16 @@ def scale_factor(damage: Damage, column: str) -> int:
     return factors[int(text_digest(damage.spec.seed, f"factor:{damage.side}", column)[:8], 16) % len(factors)]
 
 
-def _wider(kind: T.DataType) -> T.DataType:
-    """Whole numbers are kept as bigint so that a scaled value fits."""
+def _wider(kind: T.DataType, most: int = 1) -> T.DataType:
+    """Whole numbers are kept as bigint, decimals get the digits of the largest factor."""
+    if isinstance(kind, T.DecimalType):
+        return T.DecimalType(min(38, kind.precision + len(str(most))), kind.scale)
     return T.LongType() if isinstance(kind, T.IntegralType) else kind
 
 
 def _scale(df: DataFrame, damage: Damage) -> DataFrame:
-    types = {f.name: _wider(f.dataType) for f in df.schema.fields}
+    most = max(damage.spec.factors)
+    types = {f.name: _wider(f.dataType, most) for f in df.schema.fields}
     return df.withColumns(
         {
             c: F.when(F.col("chosen"), (F.col(c).cast(types[c]) * scale_factor(damage, c)).cast(types[c]))
@@ -106,22 +109,24 @@ def _shift_domain(df: DataFrame, damage: Damage, column: str) -> DataFrame:
 
 def _shift_categories(df: DataFrame, damage: Damage) -> DataFrame:
     for column in damage.columns:
-        values = [
-            row[0]
-            for row in df.where(F.col("chosen") & F.col(column).isNotNull())
-            .select(column)
+        # Spark makes both digests, so that a value has the same one on either path.
+        purpose = f"{damage.side}:{column}"
+        values = (
+            df.where(F.col("chosen") & F.col(column).isNotNull())
+            .select(F.col(column).alias("v"))
             .distinct()
             .limit(LITERAL_DOMAIN + 1)
+            .select("v", *[digest(damage.spec.seed, f"{end}:{purpose}", "v").alias(end) for end in ("old", "new")])
             .collect()
-        ]
+        )
         if not values:
             continue
+        kind = df.schema[column].dataType
         if len(values) <= LITERAL_DOMAIN:
             old, new = (
-                sorted(values, key=lambda v: text_digest(damage.spec.seed, f"{end}:{damage.side}:{column}", str(v)))
-                for end in ("old", "new")
+                [row["v"] for row in sorted(values, key=lambda row: row[end])] for end in ("old", "new")
             )
-            pairs = [F.lit(v) for pair in zip(old, new, strict=True) for v in pair]
+            pairs = [F.lit(v).cast(kind) for pair in zip(old, new, strict=True) for v in pair]
             shifted = F.try_element_at(F.create_map(*pairs), F.col(column))
             df = df.withColumn(column, F.when(F.col("chosen"), shifted).otherwise(F.col(column)))
         else:

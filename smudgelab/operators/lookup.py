@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,21 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def join_on(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner", hint: bool = False) -> DataFrame:
+    """Equi-join on columns of the same name in which null equals null.
+
+    The result has the columns of ``df``, then the others of ``other``.
+    """
+    names = {k: f"join_key_{i}" for i, k in enumerate(on)}
+    renamed = other.select(
+        *[F.col(k).alias(n) for k, n in names.items()], *[c for c in other.columns if c not in names]
+    )
+    if hint:
+        renamed = F.broadcast(renamed)
+    equal = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return df.join(renamed, equal, how).drop(*names.values())
+
+
 def lookup_join(
     df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", rows: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -26,7 +42,7 @@ def lookup_join(
     """
     on = list(on)
     if is_small(lookup, rows):
-        return df.join(F.broadcast(lookup), on, how)
+        return join_on(df, lookup, on, how, hint=True)
     return _salted_join(df, lookup, on, how)
 
 
@@ -40,11 +56,14 @@ def join_pinned(
     """
     held = lookup.limit(rows + 1).toArrow()
     if held.num_rows <= rows:
-        return df.join(F.broadcast(df.sparkSession.createDataFrame(held)), list(on), how)
+        known = df.sparkSession.createDataFrame(held, lookup.schema)
+        return join_on(df, known, on, how, hint=True)
     return _salted_join(df, lookup, list(on), how)
 
 
 def _salted_join(df: DataFrame, lookup: DataFrame, on: list[str], how: str) -> DataFrame:
-    salted = df.withColumn("salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    # A row's place, not its content, so that equal rows are spread, too. Which salt a row
+    # has changes nothing: the lookup is the same under all of them.
+    salted = df.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     repeated = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [*on, "salt"], how).drop("salt")
+    return join_on(salted, repeated, [*on, "salt"], how).drop("salt")

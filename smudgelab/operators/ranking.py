@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from smudgelab.operators.lookup import join_pinned
+from smudgelab.operators.lookup import join_on, join_pinned
 
 LEVEL_DIGITS = 4  # at most 65,536 counts per level reach the driver
 PAST_LAST_DIGIT = "g"
@@ -22,6 +22,7 @@ WINDOW_ROWS = 2_000_000  # rows one window task sorts
 PIECES = 64
 MOST_LEVELS = 4
 ONE_GROUP = "every_row"
+SHARED_KEY = "cannot take exactly {} rows: rows at the cut share their key; give a key that is unique and not null"
 
 
 class DigestCuts:
@@ -45,7 +46,11 @@ class DigestCuts:
         return self._levels[prefix]
 
     def cut(self, n: int) -> str:
-        """Digest of the n-th smallest row, or a bound just above it; '' when n is 0."""
+        """Digest of the n-th smallest row, or a bound just above it; '' when n is 0.
+
+        Fails if rows share the digest at the cut (their keys are equal or null): no
+        filter on digests takes exactly n of them.
+        """
         if n <= 0:
             return ""
         if n > self.total:
@@ -58,7 +63,12 @@ class DigestCuts:
                 return bucket + PAST_LAST_DIGIT
             if count <= SMALL_BUCKET:
                 inside = self._rows.where(F.col("d").startswith(bucket))
-                return inside.orderBy("d").limit(wanted).collect()[-1]["d"]
+                smallest = [r["d"] for r in inside.orderBy("d").limit(wanted + 1).collect()]
+                if smallest[wanted] == smallest[wanted - 1]:
+                    raise ValueError(SHARED_KEY.format(n))
+                return smallest[wanted - 1]
+            if bucket == prefix:
+                raise ValueError(SHARED_KEY.format(n))
             prefix = bucket
 
     def _locate(self, prefix: str, wanted: int) -> tuple[str, int]:
@@ -111,7 +121,7 @@ def digest_rank(
     counts = bucketed.groupBy(*keys).agg(F.count("*").alias("rows"))
     offsets = running_offsets(counts, group, "bucket", ["rows"])
     return (
-        bucketed.join(offsets, keys)
+        join_on(bucketed, offsets, keys)
         .withColumn(rank_column, inside + F.col("rows_offset"))
         .drop("bucket", "rows_offset", ONE_GROUP)
     )
@@ -158,7 +168,7 @@ def _cumulative(
     offsets = running_offsets(totals, group, name, values)
     ranked = _cumulative(located, keys, order, values, located, biggest_group(located, keys), level + 1)
     return (
-        ranked.join(offsets, keys)
+        join_on(ranked, offsets, keys)
         .withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"{v}_offset") for v in values})
         .drop(name, *[f"{v}_offset" for v in values])
     )

@@ -39,20 +39,23 @@ def choose_columns(names: Sequence[str], seed: int, percent: float, purpose: str
     return choose_names(names, seed, sizes.sample_size(percent, len(names)), purpose)
 
 
-def cap_features(dataset: S.DatasetSpec, seed: int, most: int = S.MAX_FEATURES) -> S.DatasetSpec:
-    """At most ``most`` feature columns."""
-    if len(dataset.features) <= most:
+def cap_features(dataset: S.DatasetSpec, seed: int, most: int | None = S.MAX_FEATURES) -> S.DatasetSpec:
+    """At most ``most`` feature columns; None: all."""
+    if most is None or len(dataset.features) <= most:
         return dataset
     return dataset.keep(choose_names(dataset.features, seed, most, "feature"))
 
 
 def cap_classes(df: DataFrame, target: str, seed: int, most: int = S.MAX_CLASSES) -> DataFrame:
-    """Rows of at most ``most`` target values, all rows of each kept value."""
+    """Rows of at most ``most`` target values, all rows of each kept value.
+
+    Rows without a target stay in either case.
+    """
     classes = df.where(F.col(target).isNotNull()).select(target).distinct()
     if classes.limit(most + 1).count() <= most:
         return df
     kept = classes.orderBy(digest(seed, "class", target), target).limit(most).collect()
-    return keep_classes(df, target, [row[0] for row in kept])
+    return df.where(F.col(target).isNull() | F.col(target).isin([row[0] for row in kept]))
 
 
 def keep_classes(df: DataFrame, target: str, classes: Sequence) -> DataFrame:
@@ -69,8 +72,10 @@ def split_train_test(
     return df.withColumn("split", F.when(h <= last, "test").otherwise("train"))
 
 
-def cap_train(df: DataFrame, key: str, seed: int, most: int = S.MAX_TRAIN_ROWS) -> DataFrame:
-    """At most ``most`` rows on the train side; the test side is untouched."""
+def cap_train(df: DataFrame, key: str, seed: int, most: int | None = S.MAX_TRAIN_ROWS) -> DataFrame:
+    """At most ``most`` rows on the train side (None: all); the test side is untouched."""
+    if most is None:
+        return df
     is_train = F.col("split") == "train"
     h = digest(seed, "train", key)
     cuts = DigestCuts(df.where(is_train), h)
@@ -105,16 +110,21 @@ def prepare(
     dataset: S.DatasetSpec,
     seed: int,
     test_size: float = S.DEFAULT_TEST_SIZE,
-    max_rows: int = S.MAX_TRAIN_ROWS,
-    max_features: int = S.MAX_FEATURES,
-    max_classes: int = S.MAX_CLASSES,
+    max_rows: int | None = S.MAX_TRAIN_ROWS,
+    max_features: int | None = None,
+    max_classes: int | None = None,
 ) -> Prepared:
-    """Feature cap, class cap, split, then train cap (after the split)."""
+    """Feature cap, class cap, split, then train cap (after the split).
+
+    Features and classes are capped only where asked for, and the target of a regression
+    never is. ``max_rows`` bounds the labelled rows of a fit.
+    """
     if seed is None or test_size is None or not dataset.target:
         raise ValueError("seed, test size and target must be set")
     dataset = cap_features(dataset, seed, max_features)
     data = df.select(dataset.key, *dataset.features, dataset.target)
-    data = cap_classes(data, dataset.target, seed, max_classes)
+    if max_classes is not None and dataset.task != "regression":
+        data = cap_classes(data, dataset.target, seed, max_classes)
     data = split_train_test(data, dataset.key, seed, test_size)
     return Prepared(cap_train(data, dataset.key, seed, max_rows), dataset)
 

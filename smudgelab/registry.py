@@ -6,7 +6,6 @@ and line items for their metrics, so the work grows with the tables.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from smudgelab import spec as S
 from smudgelab.functions import sizes, text
 from smudgelab.functions import vectors as V
-from smudgelab.functions.hashing import digest, row_key
+from smudgelab.functions.hashing import digest, row_key, text_digest
 from smudgelab.operators import (
     clusters,
     columns,
@@ -225,7 +224,7 @@ def meaningful_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def split_caps_part(spark: SparkSession, folder: str) -> DataFrame:
-    done = sampling.prepare(table(spark, folder, "part"), PART, SEED, max_rows=300, max_features=3)
+    done = sampling.prepare(table(spark, folder, "part"), PART, SEED, max_rows=300, max_features=3, max_classes=S.MAX_CLASSES)
     return done.data
 
 
@@ -343,7 +342,7 @@ def suite_limits(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def run_profile(spark: SparkSession, folder: str) -> DataFrame:
-    done = sampling.prepare(table(spark, folder, "part"), PART, SEED)
+    done = sampling.prepare(table(spark, folder, "part"), PART, SEED, max_rows=None)
     return profiles.run_profile(done.data, done.dataset)
 
 
@@ -482,8 +481,8 @@ def clean_row_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def vector_scalars(spark: SparkSession, folder: str) -> DataFrame:
-    """Softmax of the first ten components and the place of the largest."""
-    soft = V.softmax(F.slice("reference", 1, 10))
+    """Softmax of the components and the place of the largest."""
+    soft = V.softmax(F.col("reference"))
     rows = vector_pairs(spark, folder).select("vec_id", soft.alias("soft"))
     return rows.select(
         "vec_id", F.round(F.array_max("soft"), 6).alias("top"), V.argmax(F.col("soft")).alias("place")
@@ -555,9 +554,9 @@ def auc_lineitem(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def auc_one_vs_rest(spark: SparkSession, folder: str) -> DataFrame:
     typed = subsets.with_samples_type(vector_pairs(spark, folder)).withColumn(
-        "p", V.softmax(F.slice("embedding", 1, 10))
+        "p", V.softmax(F.col("embedding"))
     )
-    auc = scores.roc_auc_one_vs_rest(typed, ["samples_type"], "label", "p", list(range(10)))
+    auc = scores.roc_auc_one_vs_rest(typed, ["samples_type"], "label", "p", list(range(64)))
     return auc.select("samples_type", F.round("roc_auc", 6).alias("roc_auc"))
 
 
@@ -630,7 +629,7 @@ def context_embedding(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def oof_embedding(spark: SparkSession, folder: str) -> DataFrame:
-    embedded = encoders.out_of_fold_embeddings(table(spark, folder, "customer"), CUSTOMER, SEED, 4)
+    embedded = encoders.out_of_fold_embeddings(table(spark, folder, "customer"), CUSTOMER, SEED)
     return long_vectors(embedded, "c_custkey")
 
 
@@ -769,7 +768,7 @@ def embedding_models(spark: SparkSession, folder: str) -> DataFrame:
     df = table(spark, folder, "customer")
     split = sampling.split_train_test(df, "c_custkey", SEED).select("c_custkey", (F.col("split") == "test").alias("is_test"))
     plain = encoders.ContextEncoder.fit(df, CUSTOMER).transform(df).select("c_custkey", "c_nationkey", "embedding")
-    folded = encoders.out_of_fold_embeddings(df, CUSTOMER, SEED, 4).drop("fold")
+    folded = encoders.out_of_fold_embeddings(df, CUSTOMER, SEED).drop("fold")
     parts = []
     for name, vectors in (("plain", plain), ("out of fold", folded)):
         rows = vectors.join(split, "c_custkey")
@@ -786,16 +785,11 @@ def embedding_models(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def grid_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Best of both losses over a part of the strengths."""
+    """Best of both losses over all strengths."""
     dataset = S.DatasetSpec("orders", "o_orderkey", "is_open", ("o_totalprice",), ("o_orderpriority",))
     df = table(spark, folder, "orders").withColumn("is_open", (F.col("o_orderstatus") == "O").cast("int"))
     prepared = sampling.prepare(df, dataset, SEED, test_size=0.5)
-    return models.baseline_report(spark, prepared.data, dataset, SEED, alphas=(0.001, 0.03), folds=2)
-
-
-SWEEP_SETTINGS = tuple(
-    grid.configurations(types=(S.MCAR, S.CSCAR), row_percents=(20, 40), column_percents=(50,))
-)
+    return models.baseline_report(spark, prepared.data, dataset, SEED)
 
 
 def sweep_folder(spark: SparkSession, folder: str) -> str:
@@ -803,11 +797,11 @@ def sweep_folder(spark: SparkSession, folder: str) -> str:
 
     A second call finds every setting stored and does nothing.
     """
-    base = work_folder(spark, tempfile.gettempdir())
-    scale = folder.rstrip("/").rsplit("/", 1)[-1]
-    target = f"{base}/smudgelab-{spark.sparkContext.applicationId}/{scale}"
+    base = work_folder(spark)
+    source = text_digest(0, "sweep source", folder.rstrip("/"))[:16]
+    target = f"{base}/smudgelab-{spark.sparkContext.applicationId}/{source}"
     sweep.run_sweep(
-        spark, table(spark, folder, "customer"), CUSTOMER_SEGMENT, target, seeds=(SEED,), settings=SWEEP_SETTINGS
+        spark, table(spark, folder, "customer"), CUSTOMER_SEGMENT, target, seeds=(SEED,)
     )
     return target
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -34,15 +35,16 @@ def local_session(name: str, cores: str | int = "*", memory: str = "8g") -> Spar
     return spark
 
 
-def work_folder(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder for tables that cut lineage.
+def work_folder(spark: SparkSession) -> str:
+    """Folder for tables that cut lineage, shared by driver and executors.
 
-    The cluster names it in ``spark.checkpoint.dir``. ``fallback`` is used only
-    where that is unset, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session, which has
+    no other executors, may leave that unset; it gets a temporary folder.
     """
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if configured:
         return configured
-    if fallback is None:
-        raise ValueError(f"{CHECKPOINT_SETTING} is not set and no fallback folder was given")
-    return fallback
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
+    spark.conf.set(CHECKPOINT_SETTING, tempfile.mkdtemp(prefix="smudgelab-"))
+    return spark.conf.get(CHECKPOINT_SETTING)
