@@ -333,6 +333,24 @@ SELECT CASE WHEN n = 0 THEN 'no embeddings' WHEN n < test_size THEN 'fewer embed
   WHEN number_of_classes <= 1 THEN 'single class' ELSE 'usable' END AS reason, count(*) AS runs
 FROM counted GROUP BY 1"""
 
+EXPECTED["evaluation_rejects"] = f"""
+WITH {RUNS}, counted AS (
+  SELECT l_orderkey::VARCHAR AS experiment_id, count(*) AS n,
+    bool_or(l_linenumber = 7 AND l_tax > 0.075) AS lost FROM lineitem GROUP BY 1),
+datasets AS (SELECT DISTINCT dataset_name FROM runs JOIN counted USING (experiment_id) WHERE lost),
+judged AS (
+  SELECT r.*, CASE WHEN n IS NULL THEN 'no embeddings' WHEN n < test_size THEN 'fewer embeddings than labels'
+    WHEN number_of_classes <= 1 THEN 'single class'
+    WHEN dataset_name IN (SELECT dataset_name FROM datasets)
+      THEN 'damaged rows missing from the test side of the dataset' END AS reason
+  FROM runs r LEFT JOIN counted USING (experiment_id))
+SELECT experiment_id, dataset_name, reason FROM judged WHERE reason IS NOT NULL
+UNION ALL SELECT experiment_id, dataset_name, 'no clean reference' FROM judged d
+WHERE reason IS NULL AND tag <> 'CLEAN_CLEAN' AND NOT EXISTS (
+  SELECT 1 FROM judged c WHERE c.reason IS NULL AND c.dataset_name = d.dataset_name
+    AND c.random_seed = d.random_seed AND c.tag = 'CLEAN_CLEAN' AND c.error_type = 'NONE'
+    AND c.row_corruption_percent = 0 AND c.column_corruption_percent = 0)"""
+
 EXPECTED["not_evaluated"] = f"""
 WITH {RUNS}, {MEASURES} SELECT experiment_id, dataset_name, tag FROM runs WHERE experiment_id NOT IN (
   SELECT experiment_id FROM measures WHERE NOT isnan(metric_value) AND evaluation_type = 'LP_ALL_TLGT')"""

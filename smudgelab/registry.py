@@ -408,6 +408,19 @@ def consistency_gate(spark: SparkSession, folder: str) -> DataFrame:
     return checked.groupBy(F.coalesce("reason", F.lit("usable")).alias("reason")).agg(F.count("*").alias("runs"))
 
 
+@query
+def evaluation_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """What an evaluation leaves out, and why; line items stand for embeddings and damaged rows."""
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("experiment_id"), F.col("l_linenumber").alias("row_id"), "l_tax"
+    )
+    lost = (F.col("row_id") == 7) & (F.col("l_tax") > 0.075)
+    manifest = lines.select(
+        "experiment_id", F.when(lost, 100).otherwise(F.col("row_id")).alias("row_id"), F.lit("test").alias("side")
+    )
+    return evaluation.rejects(experiments(spark, folder), lines, manifest)
+
+
 @query
 def not_evaluated(spark: SparkSession, folder: str) -> DataFrame:
     finite = metrics(spark, folder).where(~F.isnan("metric_value") & (F.col("evaluation_type") == "LP_ALL_TLGT"))
