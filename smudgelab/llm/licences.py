@@ -2,7 +2,7 @@
 
 A paragraph is a line with a word. Its features are hashed word n-grams (words and pairs of
 neighbours) that occur in licence templates; a multinomial logistic regression over them tells
-the licence family, or that the paragraph is none. It is trained on variants of the
+the licence family, another licence, or that the paragraph is none. It is trained on variants of the
 templates (words dropped, holders and neighbours added) and on paragraphs of a bounded sample of
 documents that hold no licence word. A paragraph that is a licence but whose best family is less
 probable than a threshold is ``unknown``; the threshold is calibrated on variants that
@@ -77,8 +77,8 @@ TEMPLATES = {
     ),
     "reserved": ("All rights reserved.", "Copyright 2020 the authors. All rights reserved."),
 }
-#: Notices of licences that are no family (they calibrate ``unknown``), and sentences that
-#: use licence words without being a notice.
+#: Notices of licences that are no family (every other one teaches ``unknown``, the rest
+#: calibrate it), and sentences that use licence words without being a notice.
 OTHER_NOTICES = (
     "Licensed under the Academic Free License, Version 3.0.",
     "Released under the zlib License.",
@@ -86,6 +86,10 @@ OTHER_NOTICES = (
     "This package is distributed under the Artistic License 2.0.",
     "Licensed under the Open Software License, version 3.0.",
     "Released under the Eclipse Public License.",
+    "Published under the terms of the Microsoft Reciprocal License.",
+    "This software is licensed under the Boost Software License, Version 1.0.",
+    "Distributed under the Community Data License Agreement, version 1.",
+    "Licensed under the Open Database License.",
 )
 NO_NOTICES = (
     "She got her driving license after the second test.",
@@ -94,6 +98,16 @@ NO_NOTICES = (
     "The general version of the theory was released under pressure.",
     "The restaurant lost its liquor license in this case.",
     "You may copy the form and send it to the foundation.",
+    "His pilot license was suspended for a year.",
+    "All rights and duties of a citizen are listed in the law.",
+    "They read him his rights and took his license.",
+    "A license to fish is sold at the office.",
+    "The licensed shop on the corner sells all of it.",
+    "We talked about rights, duties and all the rest.",
+    "The new version of the program was released under another name.",
+    "Her work is general and free of errors.",
+    "Subject to the weather, the work can be distributed over two days.",
+    "The source of the river is in the public park.",
 )
 FAMILIES = tuple(sorted(TEMPLATES))
 NONE, UNKNOWN = "none", "unknown"
@@ -110,7 +124,7 @@ LICENCE_WORDS = r"(?i)licen[cs]e|copyright|rights reserved|public domain|creativ
 
 @dataclass(frozen=True)
 class Model:
-    """Weights per class (families, then none) over the table, and the family threshold."""
+    """Weights per class (families, unknown, none) over the table, and the family threshold."""
 
     weights: tuple[dict[int, float], ...]
     bias: tuple[float, ...]
@@ -170,7 +184,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     """Fits on variants of the templates and on paragraphs of sampled documents."""
     spark = df.sparkSession
     notices = [(family, text) for family in FAMILIES for text in TEMPLATES[family]]
-    known = _variants(spark, notices + [(NONE, text) for text in NO_NOTICES])
+    others = [(UNKNOWN, text) for text in OTHER_NOTICES[::2]]
+    known = _variants(spark, notices + others + [(NONE, text) for text in NO_NOTICES])
     sample = sampled(df, [id_col], SAMPLED_DOCUMENTS, "licence sample").where(F.col(text_col).isNotNull())
     plain = (
         sample.select(F.explode(paragraphs(F.col(text_col))).alias("p"))
@@ -185,7 +200,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     whole = rows.where((F.col("label") != NONE) & (F.col("variant") == 0))
     places = sorted(r[0] for r in whole.select(F.explode("at")).distinct().collect())
     present = F.transform(_literal(places, "int"), lambda v: F.array_contains("at", v).cast("double"))
-    classes = (*FAMILIES, NONE)
+    classes = (*FAMILIES, UNKNOWN, NONE)
     label = F.coalesce(*[F.when(F.col("label") == c, F.lit(float(k))) for k, c in enumerate(classes)])
     taught = stored(
         rows.where((F.col("variant") % 4 != 3) | (F.col("label") == NONE))
@@ -200,14 +215,14 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     model = Model(weights, tuple(fitted.interceptVector.toArray().tolist()), 0.0)
     # Calibration: variants that didn't teach, against notices of other licences.
     unseen = rows.where((F.col("variant") % 4 == 3) & (F.col("label") != NONE)).select("label", "at")
-    others = _variants(spark, [(UNKNOWN, text) for text in OTHER_NOTICES]).select(
+    others = _variants(spark, [(UNKNOWN, text) for text in OTHER_NOTICES[1::2]]).select(
         "label", F.array_distinct(features(F.col("words"))).alias("at")
     )
     told = unseen.unionByName(others).select("label", _told(F.col("at"), model).alias("t")).select("label", "t.*").collect()
     best, threshold = -1, 0.5
     for k in range(30, 96, 5):
         right = sum(
-            (r["best"] < len(FAMILIES) and r["share"] >= k / 100) == (r["label"] != UNKNOWN) for r in told
+            (FAMILIES[r["best"]] if r["share"] >= k / 100 else UNKNOWN) == r["label"] for r in told
         )
         if right > best:
             best, threshold = right, k / 100
@@ -215,7 +230,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
 
 
 def _told(places: Column, model: Model) -> Column:
-    """(best, share, none): the best family, its share among families, and P(none)."""
+    """(best, share, none): the best family, its share among all licences, and P(none)."""
     tables = [
         _literal([row.get(i, 0.0) for i in range(TABLE)], "double") for row in model.weights
     ]
@@ -230,8 +245,11 @@ def _told(places: Column, model: Model) -> Column:
         powers = F.transform(z, lambda x: F.exp(x - top))
         return _let(powers, lambda e: _let(F.slice(e, 1, len(FAMILIES)), lambda f: F.struct(
             (F.array_position(f, F.array_max(f)) - 1).cast("int").alias("best"),
-            (F.array_max(f) / F.aggregate(f, F.lit(0.0), lambda s, x: s + x)).alias("share"),
-            (F.get(e, F.lit(len(FAMILIES))) / F.aggregate(e, F.lit(0.0), lambda s, x: s + x)).alias("none"),
+            (
+                F.array_max(f)
+                / F.aggregate(F.slice(e, 1, len(FAMILIES) + 1), F.lit(0.0), lambda s, x: s + x)
+            ).alias("share"),
+            (F.get(e, F.lit(len(FAMILIES) + 1)) / F.aggregate(e, F.lit(0.0), lambda s, x: s + x)).alias("none"),
         )))
 
     return _let(logits, shares)
