@@ -25,7 +25,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smudgelab.llm.common import whole_texts, without
+from smudgelab.llm.common import sampled, whole_texts, without
 
 #: Fixed kinds in their order: pattern, group that must be long enough, its least length.
 KINDS = {
@@ -106,12 +106,8 @@ def _random_strings(spark: SparkSession) -> DataFrame:
 
 def _identifiers(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Words of a sample of documents, joined the ways identifiers are."""
-    chosen = (
-        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .where("text is not null")
-        .orderBy(F.xxhash64("id", F.lit("secret sample")), "text")
-        .limit(SAMPLED_DOCUMENTS)
-    )
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = sampled(rows, ["id"], SAMPLED_DOCUMENTS, "secret sample").where("text is not null")
     words = F.regexp_extract_all("text", F.lit("([A-Za-z]{3,})"), 1)
     rows = chosen.select(words.alias("w")).where(F.size("w") >= 4)
     places = F.sequence(F.lit(1), F.size("w") - 3, F.lit(3))
