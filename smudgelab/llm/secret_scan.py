@@ -3,7 +3,7 @@
 Two first-order models over characters, of random strings and of ordinary identifiers,
 give each run of key-like characters a log-likelihood ratio per character. They are
 counted from labelled samples: digests in several encodings are random; words of a
-bounded sample of documents, joined as identifiers, paths and dates are ordinary. A
+bounded sample of documents and usual names, joined as identifiers, paths and dates, are ordinary. A
 quarter of the samples sets the threshold, at which at most ``FALSE_SHARE`` of the
 ordinary ones count as secrets.
 
@@ -53,6 +53,17 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 RANDOM_SAMPLES = 4000
 SAMPLED_DOCUMENTS = 400
 FALSE_SHARE = 0.0005
+#: Runs of fewer different characters are rules and fillers, not random.
+LEAST_DIFFERENT = 6
+#: Usual parts of identifiers (fixed values), and how many names are made of them.
+NAME_PARTS = (
+    "get set value index count name user file path source main test data input output request response "
+    "handler manager service config default error message length buffer table column result model view "
+    "controller function variable long some very here quick brown the fox jumps over reader writer parser "
+    "java python string number object array list map key node tree first last next previous start end time "
+    "date year month day http www com org html image style class public private static void return while"
+)
+NAMES = 3000
 
 
 @dataclass(frozen=True)
@@ -112,6 +123,12 @@ def _identifiers(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = chosen.select(words.alias("w")).where(F.size("w") >= 4)
     places = F.sequence(F.lit(1), F.size("w") - 3, F.lit(3))
     four = rows.select(F.explode(F.transform(places, lambda i: F.slice("w", i, 4))).alias("w"))
+    parts = F.split(F.lit(NAME_PARTS), " ")
+    picks = F.transform(
+        F.sequence(F.lit(1), F.lit(5)),
+        lambda i: F.get(parts, F.pmod(F.xxhash64("id", i), F.size(parts)).cast("int")),
+    )
+    four = four.unionByName(df.sparkSession.range(NAMES).select(picks.alias("w")))
     kind = F.pmod(F.xxhash64(F.concat_ws(" ", "w")), F.lit(7))
     number = F.pmod(F.xxhash64(F.concat_ws("+", "w")), F.lit(30)).cast("string")
     capital = F.transform("w", lambda x: F.initcap(x))
@@ -196,7 +213,13 @@ def find(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         fixed.append(F.when(text.rlike(HINTS[name]), _spans(text, pattern, kind, passes)).otherwise(none))
     random = F.when(
         text.rlike(CANDIDATE),
-        _spans(text, CANDIDATE, len(KINDS), lambda m: _mean_ratio(m, model.ratios) > model.threshold),
+        _spans(
+            text,
+            CANDIDATE,
+            len(KINDS),
+            lambda m: (F.size(F.array_distinct(F.split(m, ""))) >= LEAST_DIFFERENT)
+            & (_mean_ratio(m, model.ratios) > model.threshold),
+        ),
     ).otherwise(none)
     found = df.withColumn("_fixed", F.concat(*fixed)).withColumn("_random", random)
     apart = F.filter(
