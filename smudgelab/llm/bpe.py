@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from smudgelab.llm.common import bounded_batches, whole_texts, without
 
 #: New pre-tokens that are merged together, and pre-tokens a worker remembers.
-MERGED_TOGETHER = 100_000
-KEPT = 250_000
+MERGED_TOGETHER = 60_000
+KEPT = 150_000
 #: Bytes of pre-tokens merged together, and bytes of text that wait for their ids.
 MERGED_BYTES = 2_000_000
-WAITING_BYTES = 8_000_000
+WAITING_BYTES = 4_000_000
 #: Pre-tokens above this length are not remembered after their merge.
 REMEMBERED_CHARS = 64
 

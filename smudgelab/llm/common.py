@@ -68,7 +68,7 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
-def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Arrow batches of whole rows of about this size, so that Python workers stay small."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
