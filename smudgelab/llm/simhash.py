@@ -122,7 +122,7 @@ def _groups(sample: np.ndarray, parts: int) -> tuple[int, ...]:
 
 def plan_search(sample: np.ndarray, n: int, distance: int) -> Plan:
     """The cheapest plan for ``n`` fingerprints like those of the sample (unsigned)."""
-    sample = np.unique(sample.astype(np.uint64))
+    sample = np.unique(sample.astype(np.uint64)) if len(sample) else np.zeros(1, dtype=np.uint64)
     pairs = max(1, len(sample) * (len(sample) - 1) // 2)
     upper = np.triu_indices(len(sample), 1)
     differ = sample[upper[0]] ^ sample[upper[1]]
