@@ -102,7 +102,7 @@ g AS (
 q AS (
   SELECT level, lang, source, rate, count(*) AS n,
     quantile_disc(cell, 0.25) AS q1, quantile_disc(cell, 0.75) AS q3,
-    CASE rate WHEN 'symbols' THEN 20 WHEN 'lines' THEN 100 WHEN 'repeats' THEN 50 ELSE 20 END AS least
+    CASE rate WHEN 'symbols' THEN 20 WHEN 'lines' THEN 100 WHEN 'repeats' THEN 100 ELSE 20 END AS least
   FROM g GROUP BY ALL),
 f AS (
   SELECT level, lang, source, rate, n, CASE rate WHEN 'length' THEN q1 - 3 * greatest(q3 - q1, least) END AS low,

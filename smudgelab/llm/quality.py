@@ -37,7 +37,7 @@ LEAST_ROWS = 200
 RATES = {
     "symbols": ("1000 * n_symbols div greatest(word_chars, 1)", 20, False),
     "lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", 100, False),
-    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", 50, False),
+    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", 100, False),
     "length": ("least(20 * word_chars div greatest(n_words, 1), 2000)", 20, True),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
