@@ -39,15 +39,16 @@ SIZES = (2, 3)
 EPOCHS, RATE = 4, np.float32(0.05)
 #: Share of right predictions on unseen rows that the threshold rejects at most.
 REJECTED_SHARE = 0.001
+_LETTER = regex.compile(r"\p{L}")
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _MULTIPLIER = np.uint32(0x9E3779B1)
 
 
 def subwords(text: str) -> np.ndarray:
     """Table rows of the subwords of a whole text; empty if it has no letter."""
-    letters = _NOT_LETTERS.sub(" ", text).lower().strip()
-    if not letters:
+    if not _LETTER.search(text):
         return np.empty(0, dtype=np.int32)
+    letters = _NOT_LETTERS.sub(" ", text).lower().strip()
     points = np.frombuffer(f" {letters} ".encode("utf-32-le"), dtype=np.uint32)
     space = points == 32
     found = []
