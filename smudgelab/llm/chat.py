@@ -89,7 +89,8 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     jumps = [stored(jump, "jumps")]
     for _ in range(ceil(log2(max(2, longest)))):
         # total and depth cover the rows from node up to, not including, ``up``.
-        low, high = jumps[-1], jumps[-1].select(
+        # Rows that have reached the root are done; only the others look further up.
+        low, high = jumps[-1].where("up is not null"), jumps[-1].select(
             F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("further"),
             F.col("total").alias("more"), F.col("depth").alias("deeper"),
         )
@@ -98,7 +99,7 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
             (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
             (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth"),
         )
-        jumps.append(stored(jump, "jumps"))
+        jumps.append(stored(jump.unionByName(jumps[-1].where("up is null")), "jumps"))
     parents = slim.select(F.col("conv_id").alias("c"), F.col("parent").alias("p")).where("p is not null").distinct()
     done = jumps[-1].where("up is null")  # rows in a circle never get there
     leaves = done.join(
