@@ -316,6 +316,17 @@ def _built(ranks: dict[bytes, int], pattern: str) -> ByteBpe:
     return _BUILT[key]
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    flat = np.concatenate([np.empty(0, dtype=np.int32), *rows])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def _joined(rows: Iterable[list[int]], tokens: list[bytes] | dict[int, bytes]) -> pa.Array:
+    token = tokens.__getitem__
+    return pa.array([b"".join(map(token, row)) for row in rows], type=pa.binary())
+
+
 def encode(
     df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", to: str = "ids"
 ) -> DataFrame:
@@ -331,10 +342,8 @@ def encode(
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _built(shared.value, pattern)
         for batch in batches:
-            rows = list(bpe.encode_all(text.as_py() for text in batch))
-            offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-            flat = np.concatenate([np.empty(0, dtype=np.int32), *rows])
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield _lists(list(bpe.encode_all(text.as_py() for text in batch)))
+        bpe.forget()
 
     return without(df, to).withColumn(to, ids(whole_texts(df[text_col])))
 
@@ -352,9 +361,29 @@ def decode(
 
     @F.arrow_udf("binary")
     def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = shared.value.__getitem__
         for batch in batches:
             rows = (row.values.to_numpy().tolist() if row.is_valid else [] for row in batch)
-            yield pa.array([b"".join(map(token, row)) for row in rows], type=pa.binary())
+            yield _joined(rows, shared.value)
 
     return without(df, to).withColumn(to, joined(df[ids_col]))
+
+
+def encode_and_decode(
+    df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids: str = "ids", to: str = "bytes"
+) -> DataFrame:
+    """``decode(encode(df))`` in one pass: a task needs one Python worker instead of two."""
+    bounded_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+
+    @F.arrow_udf("struct<ids:array<int>,bytes:binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = _built(shared.value, pattern)
+        for batch in batches:
+            rows = list(bpe.encode_all(text.as_py() for text in batch))
+            decoded = _joined((row.tolist() for row in rows), bpe.tokens)
+            yield pa.StructArray.from_arrays([_lists(rows), decoded], ["ids", "bytes"])
+        bpe.forget()
+
+    df = without(df, ids, to)
+    found = df.withColumn("_coded", both(whole_texts(df[text_col])))
+    return found.select(*df.columns, F.col("_coded.ids").alias(ids), F.col("_coded.bytes").alias(to))

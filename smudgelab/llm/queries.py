@@ -15,8 +15,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     ranks = bpe.load_ranks(public_tokenizers.path(VOCABULARY))
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(encoded, ranks).select(
+    return bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         sha256_hex(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
