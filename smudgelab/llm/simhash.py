@@ -309,9 +309,18 @@ def first_of_groups(
     """
     texts = stored(fingerprints(df, text_col, "_fingerprint", words, seed), "with-fingerprints")
     ids = texts.select(F.col(id_col).alias("id"), F.col("_fingerprint").alias("fingerprint"))
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "fingerprint")
     grouped = near_duplicates(ids, "id", "fingerprint", distance)
     counted = grouped.groupBy("component", "id", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    return rows_of_firsts(texts, counted, id_col, df.columns)
+
+
+def rows_of_firsts(texts: DataFrame, counted: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """The row of ``texts`` that comes first in each component, with ``columns``.
+
+    ``counted`` has (component, id, fingerprint, n), n the rows that share id and fingerprint;
+    of each fingerprint the smallest id is enough.
+    """
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "fingerprint")
     first = counted.groupBy("component").agg(F.min_by(F.struct("id", "fingerprint", "n"), rank).alias("f"))
     first = stored(
         first.select(F.col("f.id").alias("_id"), F.col("f.fingerprint").alias("_value"), F.col("f.n").alias("_n")),
@@ -319,9 +328,9 @@ def first_of_groups(
     )
     match = (texts["_fingerprint"] == first["_value"]) & texts[id_col].eqNullSafe(first["_id"])
     kept = texts.join(first, match)
-    single = kept.where("_n = 1").select(*df.columns)
+    single = kept.where("_n = 1").select(*columns)
     if first.where("_n > 1").isEmpty():
         return single
-    row = F.struct(*df.columns)
+    row = F.struct(*columns)
     repeated = kept.where("_n > 1").groupBy("_fingerprint", "_id").agg(F.min(row).alias("row"))
     return single.unionByName(repeated.select("row.*"))
