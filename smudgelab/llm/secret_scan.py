@@ -4,21 +4,25 @@ Two first-order models over characters, of random strings and of ordinary identi
 give each run of key-like characters a log-likelihood ratio per character. They are
 counted from labelled samples: digests in several encodings are random; words of a
 bounded sample of documents and usual names, joined as identifiers, paths and dates, are ordinary. A
-quarter of the samples sets the threshold, at which at most ``FALSE_SHARE`` of the
+quarter of the samples sets the thresholds, at which at most ``FALSE_SHARE`` of the
 ordinary ones count as secrets.
 
+Spans of fixed patterns are cut out of a text first. A run of what remains is judged as a
+whole, and if that is ordinary, by its pieces between separators and by every window of
+``WINDOW`` characters, so a key that is joined to words is still found; a window reports the
+pieces it touches.
+
 Everything is SQL functions: a text is scanned where it lies, without a shuffle, and
 positions come from the lengths of the pieces between matches. Model and threshold are
 a few thousand numbers, whatever the input.
 
 Defined results: null texts are empty and have no spans; overlapping spans of different
-kinds all stay, except that a random run that touches a span of a fixed pattern is
-not reported again. Columns that clash with the added ones are replaced.
+fixed kinds all stay; random spans overlap no other. Columns that clash with the added ones are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from math import log
 
@@ -49,6 +53,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-
 SYMBOLS = len(ALPHABET) + 1
 #: Runs that the models judge.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: What joins pieces of a run, and the length of the windows and least length of the pieces judged.
+SEPARATORS = r"[/_=-]"
+WINDOW = 20
 #: Labelled samples: random strings, and documents whose words make ordinary ones.
 RANDOM_SAMPLES = 4000
 SAMPLED_DOCUMENTS = 400
@@ -68,10 +75,12 @@ NAMES = 3000
 
 @dataclass(frozen=True)
 class Model:
-    """Log-likelihood ratios by (character, next character), and the threshold a character."""
+    """Log-likelihood ratios by (character, next character), and the thresholds a character:
+    of a run or piece, and of the best window of a run."""
 
     ratios: tuple[float, ...]
     threshold: float
+    window: float
 
 
 def _numbers(values: Iterable[float]) -> Column:
@@ -162,10 +171,29 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
         totals = [sum(x[k] for x in row) + SYMBOLS for k in (0, 1)]
         ratios += [log((x[0] + 1) / totals[0]) - log((x[1] + 1) / totals[1]) for x in row]
     scored = samples.where("check and secret = 0").select(
-        _mean_ratio(F.col("sample"), ratios).alias("score")
+        _mean_ratio(F.col("sample"), ratios).alias("score"),
+        F.array_max(_let(_bigrams(F.col("sample")), lambda cells: F.transform(
+            _window_starts(cells), lambda i: _window_ratio(cells, i, _numbers(ratios))
+        ))).alias("window"),
     )
-    limit = scored.agg(F.percentile_approx("score", 1 - FALSE_SHARE, 10_000)).first()[0]
-    return Model(tuple(ratios), max(limit or 0.0, 0.0) + 0.1)
+    limits = scored.agg(*[F.percentile_approx(c, 1 - FALSE_SHARE, 10_000) for c in ("score", "window")]).first()
+    return Model(tuple(ratios), *[max(limit or 0.0, 0.0) + 0.1 for limit in limits])
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _window_starts(cells: Column) -> Column:
+    """Where windows of a run with these pairs start."""
+    last = F.size(cells) - (WINDOW - 1)
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
+def _window_ratio(cells: Column, start: Column, table: Column) -> Column:
+    pairs = F.slice(cells, start + 1, F.lit(WINDOW - 1))
+    return F.aggregate(pairs, F.lit(0.0), lambda s, c: s + F.get(table, c)) / (WINDOW - 1)
 
 
 def _mean_ratio(text: Column, ratios: Iterable[float]) -> Column:
@@ -174,8 +202,95 @@ def _mean_ratio(text: Column, ratios: Iterable[float]) -> Column:
     return F.aggregate(cells, F.lit(0.0), lambda s, c: s + F.get(table, c)) / F.size(cells)
 
 
-def _spans(text: Column, pattern: str, kind: int, passes) -> Column:
-    """(start, kind, end) of the matches that pass, from the pieces around them."""
+PLACES = "array<struct<start:int,end:int>>"
+
+
+def _place(start: Column, end: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+
+def _merged(places: Column, gap: int) -> Column:
+    """Places in order, those at most ``gap`` characters apart joined."""
+    start = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.array().cast(PLACES).alias("out"))
+
+    def closed(acc: Column) -> Column:
+        last = F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))
+        return F.when(acc["start"] >= 0, F.concat(acc["out"], last)).otherwise(acc["out"])
+
+    def add(acc: Column, p: Column) -> Column:
+        joins = (acc["start"] >= 0) & (p["start"] <= acc["end"] + gap)
+        return F.struct(
+            F.when(joins, acc["start"]).otherwise(p["start"]).alias("start"),
+            F.when(joins, F.greatest(acc["end"], p["end"])).otherwise(p["end"]).alias("end"),
+            F.when(joins, acc["out"]).otherwise(closed(acc)).alias("out"),
+        )
+
+    return F.aggregate(places, start, add, closed)
+
+
+def _pieces(run: Column) -> Column:
+    """Places of the pieces between separators."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
+
+    def add(acc: Column, piece: Column) -> Column:
+        end = (acc["at"] + F.length(piece)).cast("int")
+        place = F.array(_place(acc["at"], end))
+        return F.struct(
+            (end + 1).alias("at"),
+            F.when(F.length(piece) > 0, F.concat(acc["out"], place)).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.aggregate(F.split(run, SEPARATORS, -1), start, add, lambda acc: acc["out"])
+
+
+def _random_places(run: Column, model: Model) -> Column:
+    """Places in a run that are random: all of it, or the pieces that are or that a random window touches."""
+    table = _numbers(model.ratios)
+
+    def random(text: Column) -> Column:
+        different = F.size(F.array_distinct(F.split(text, ""))) >= LEAST_DIFFERENT
+        return different & (_mean_ratio(text, model.ratios) > model.threshold)
+
+    def hits(cells: Column) -> Column:
+        starts = F.filter(
+            _window_starts(cells),
+            lambda i: (_window_ratio(cells, i, table) > model.window)
+            & (F.size(F.array_distinct(F.slice(cells, i + 1, F.lit(WINDOW - 1)))) >= LEAST_DIFFERENT),
+        )
+        return _merged(F.transform(starts, lambda i: _place(i, i + WINDOW)), 0)
+
+    def touched(windows: Column) -> Column:
+        pieces = F.filter(
+            _pieces(run),
+            lambda p: F.exists(windows, lambda w: (w["start"] < p["end"]) & (p["start"] < w["end"]))
+            | (
+                (p["end"] - p["start"] >= WINDOW)
+                & random(F.substring(run, p["start"] + 1, p["end"] - p["start"]))
+            ),
+        )
+        return _merged(pieces, 2)
+
+    whole = F.array(_place(F.lit(0), F.length(run)))
+    return F.when(random(run), whole).otherwise(_let(_let(_bigrams(run), hits), touched))
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of the spans, which come in order."""
+
+    def add(acc: Column, s: Column) -> Column:
+        begin = F.greatest(acc["at"], s["start"])
+        piece = F.substring(text, acc["at"] + 1, begin - acc["at"])
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - begin, F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece, blank).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(
+        spans, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    )
+
+
+def _spans(text: Column, pattern: str, kind: int, places: Callable[[Column], Column]) -> Column:
+    """(start, kind, end) of the places in each match, from the pieces around the matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     between = F.transform(F.split(text, pattern, -1), F.length)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
@@ -183,9 +298,13 @@ def _spans(text: Column, pattern: str, kind: int, passes) -> Column:
     def add(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + F.length(x["match"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        kept = F.when(passes(x["match"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), kept.alias("out"))
+        spans = F.transform(
+            places(x["match"]),
+            lambda p: F.struct(
+                (begin + p["start"]).alias("start"), F.lit(kind).alias("kind"), (begin + p["end"]).alias("end")
+            ),
+        )
+        return F.struct(end.alias("at"), F.concat(acc["out"], spans).alias("out"))
 
     both = F.zip_with(
         found,
@@ -208,25 +327,19 @@ def find(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     none = F.array().cast(NO_SPANS)
     fixed = []
     for kind, (name, (pattern, group, least)) in enumerate(KINDS.items()):
-        def passes(match: Column, pattern=pattern, group=group, least=least) -> Column:
-            return F.length(F.regexp_extract(match, pattern, group)) >= least
-        fixed.append(F.when(text.rlike(HINTS[name]), _spans(text, pattern, kind, passes)).otherwise(none))
+        def places(match: Column, pattern=pattern, group=group, least=least) -> Column:
+            passes = F.length(F.regexp_extract(match, pattern, group)) >= least
+            whole = F.array(_place(F.lit(0), F.length(match)))
+            return F.when(passes, whole).otherwise(F.array().cast(PLACES))
+        fixed.append(F.when(text.rlike(HINTS[name]), _spans(text, pattern, kind, places)).otherwise(none))
+    found = df.withColumn("_fixed", F.array_sort(F.concat(*fixed)))
+    found = found.withColumn("_rest", F.when(F.size("_fixed") > 0, _blanked(text, F.col("_fixed"))).otherwise(text))
     random = F.when(
-        text.rlike(CANDIDATE),
-        _spans(
-            text,
-            CANDIDATE,
-            len(KINDS),
-            lambda m: (F.size(F.array_distinct(F.split(m, ""))) >= LEAST_DIFFERENT)
-            & (_mean_ratio(m, model.ratios) > model.threshold),
-        ),
+        F.col("_rest").rlike(CANDIDATE),
+        _spans(F.col("_rest"), CANDIDATE, len(KINDS), lambda run: _random_places(run, model)),
     ).otherwise(none)
-    found = df.withColumn("_fixed", F.concat(*fixed)).withColumn("_random", random)
-    apart = F.filter(
-        "_random",
-        lambda r: ~F.exists("_fixed", lambda f: (f["start"] < r["end"]) & (r["start"] < f["end"])),
-    )
-    return found.withColumn("spans", F.array_sort(F.concat("_fixed", apart))).drop("_fixed", "_random")
+    found = found.withColumn("spans", F.array_sort(F.concat("_fixed", random)))
+    return found.drop("_fixed", "_rest")
 
 
 def described(spans: Column) -> Column:
