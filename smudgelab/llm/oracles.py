@@ -122,8 +122,51 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
 FROM b LEFT JOIN v ON b.i = v.i
 """
 
+AUDIT = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+k AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, FALSE)) AS good, bool_or(coalesce(toxic = 1, FALSE)) AS toxic
+  FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+    CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN k ON w.doc_id = k.doc_id),
+c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM m GROUP BY part, fails),
+l AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (
+  SELECT v.f || w.f || x.f || y.f || z.f AS filter_order FROM l v, l w, l x, l y, l z
+  WHERE len(list_distinct([v.f, w.f, x.f, y.f, z.f])) = 5),
+s AS (
+  SELECT filter_order, step::INT AS step, substr(filter_order, step, 1) AS f,
+    substr(filter_order, 1, step - 1) AS earlier
+  FROM o, range(1, 6) t(step)),
+x AS (
+  SELECT *, contains(fails, f) AS here, translate(earlier, fails, '') <> earlier AS gone FROM s, c),
+y AS (
+  SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (NOT here AND NOT gone), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (here AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (here AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (here AND NOT gone), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (here AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM x GROUP BY part, filter_order, step, f)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM y
+"""
+
 ORACLES: dict[str, str] = {
     "op3_chat_format": CHAT,
     "op4_pareto_mix": MIX,
     "op6_quality_rules": QUALITY,
+    "op11_filter_audit": AUDIT,
 }

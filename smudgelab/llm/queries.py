@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smudgelab.llm import bpe, chat, langid, licences, mixing, neighbours, quality, secret_scan, simhash, toxicity
+from smudgelab.llm import audit, bpe, chat, langid, licences, mixing, neighbours, quality, secret_scan, simhash, toxicity
 from smudgelab.llm.common import fold, sha256_hex, stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -128,6 +128,10 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_licence_scan": op1_licence_scan,
     "op2_cross_polytope": op2_cross_polytope,
@@ -139,4 +143,5 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
     "op5_byte_bpe": op5_byte_bpe,
+    "op11_filter_audit": op11_filter_audit,
 }
