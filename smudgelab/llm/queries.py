@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smudgelab.llm import audit, bpe, chat, langid, licences, mixing, neighbours, quality, secret_scan, simhash, toxicity
+from smudgelab.llm import audit, bpe, chat, hard_negatives, langid, licences, mixing, neighbours, quality, secret_scan, simhash, toxicity
 from smudgelab.llm.common import fold, sha256_hex, stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -132,6 +132,12 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_licence_scan": op1_licence_scan,
     "op2_cross_polytope": op2_cross_polytope,
@@ -144,4 +150,5 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op5_byte_bpe": op5_byte_bpe,
     "op11_filter_audit": op11_filter_audit,
+    "op13_hard_negatives": op13_hard_negatives,
 }
