@@ -63,9 +63,9 @@ def sha256_hex(value: Column) -> Column:
     return F.sha2(value, 256)
 
 
-def fold(doc_id: Column) -> Column:
-    """crc32 of the id's decimal text, modulo 5; fold 0 is held out."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
+def fold(doc_id: Column, folds: int = 5) -> Column:
+    """crc32 of the id's decimal text, modulo ``folds``."""
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smudgelab.llm import audit, bpe, chat, hard_negatives, langid, licences, mixing, neighbours, quality, secret_scan, simhash, toxicity
+from smudgelab.llm import audit, bpe, chat, hard_negatives, langid, licences, line_crf, mixing, neighbours, quality, secret_scan, simhash, toxicity
 from smudgelab.llm.common import fold, sha256_hex, stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -132,6 +132,21 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels")
+    taught = fold(F.col("doc_id"), 4) != 2
+    model = line_crf.fit(docs, labels, where=taught)
+    rated = stored(line_crf.rated(docs, model).select("doc_id", "rating"), "op12-ratings")
+    cut = line_crf.threshold(rated, labels, where=taught)
+    return line_crf.scored(rated, cut).select(
+        "doc_id",
+        F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        "predicted",
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, folder, "embeddings").withColumn("label", label)
@@ -150,5 +165,6 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op5_byte_bpe": op5_byte_bpe,
     "op11_filter_audit": op11_filter_audit,
+    "op12_line_quality": op12_line_quality,
     "op13_hard_negatives": op13_hard_negatives,
 }
