@@ -10,8 +10,8 @@ them is lowest rank first in each), so a bucket is merged by whole numpy arrays,
 pre-token of a million letters is no special case: work is linear in its length.
 
 Texts are independent, so there is no shuffle: one pass for the ids, one for the
-bytes. A Python worker remembers at most ``KEPT`` pre-tokens and forgets all of them
-beyond that; results don't depend on it.
+bytes. A Python worker remembers the ids of about ``KEPT`` pre-tokens from task to task and
+forgets the older half beyond that; results don't depend on it.
 
 Defined results: a null or empty text has no ids, null ids decode to no bytes, rows
 may repeat, an empty table gives an empty table, columns that clash with the added ones
@@ -29,16 +29,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from smudgelab.llm.common import bounded_batches, whole_texts, without
+from smudgelab.llm.common import bounded_batches, fresh_name, whole_texts, without
 
 #: New pre-tokens that are merged together, and pre-tokens a worker remembers.
-MERGED_TOGETHER = 60_000
-KEPT = 150_000
-#: Bytes of pre-tokens merged together, and bytes of text that wait for their ids.
-MERGED_BYTES = 2_000_000
-WAITING_BYTES = 4_000_000
-#: Pre-tokens above this length are not remembered after their merge.
-REMEMBERED_CHARS = 64
+MERGED_TOGETHER = 200_000
+KEPT = 300_000
+#: Characters of pre-tokens merged together, and characters of text that wait for their ids.
+MERGED_CHARS = 3_000_000
+WAITING_CHARS = 12_000_000
+#: Ids and characters of pre-tokens that a worker remembers.
+KEPT_IDS, KEPT_CHARS = 4_000_000, 8_000_000
+#: Arrow batches: as much text as waits together.
+BATCH = "12m"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -100,6 +102,35 @@ def _every_other(positions: np.ndarray, after: np.ndarray) -> np.ndarray:
     return positions[(place - np.maximum.accumulate(starts)) % 2 == 0]
 
 
+class _Pieces(dict):
+    """Numbers pre-tokens; those not met before are listed in ``fresh``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+        self.fresh_chars = self.chars = 0
+
+    def __missing__(self, piece: str) -> int:
+        at = self[piece] = len(self)
+        self.fresh.append(piece)
+        self.fresh_chars += len(piece)
+        return at
+
+    def merged(self) -> None:
+        """The fresh pre-tokens have their ids."""
+        self.chars += self.fresh_chars
+        self.fresh, self.fresh_chars = [], 0
+
+    def newer_half(self) -> tuple[_Pieces, int]:
+        """The pre-tokens numbered last, numbered anew, and how many were left out."""
+        out, half = _Pieces(), len(self) // 2
+        for piece, at in self.items():
+            if at >= half:
+                out[piece] = at - half
+                out.chars += len(piece)
+        return out, half
+
+
 class ByteBpe:
     """Encodes and decodes with one vocabulary."""
 
@@ -124,10 +155,19 @@ class ByteBpe:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.pieces = _Pieces()
         self.flat = np.empty(0, dtype=np.int32)
         self.ends = np.zeros(1, dtype=np.int64)
 
+    def remember_less(self) -> None:
+        """Forgets older pre-tokens, half of them at a time, until few enough are left."""
+        while len(self.pieces) > KEPT or len(self.flat) > KEPT_IDS or self.pieces.chars > KEPT_CHARS:
+            if len(self.pieces) < 2:
+                return self.forget()
+            self.pieces, out = self.pieces.newer_half()
+            self.flat = self.flat[self.ends[out] :].copy()
+            self.ends = self.ends[out:] - self.ends[out]
+
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of tokens; -1 where they don't merge (or right is no token)."""
         keys = left.astype(np.int64) * self.size + right
@@ -171,21 +211,26 @@ class ByteBpe:
             i = after[i]
         return out
 
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each pre-token; the pairs of one rank are merged all at once."""
-        out: list = [None] * len(pieces)
-        open_ = []
-        for k, piece in enumerate(pieces):
-            whole = self.ranks.get(piece)
-            if whole is None and piece:
-                open_.append(k)
-            else:
-                out[k] = np.array([] if whole is None else [whole], dtype=np.int32)
-        if not open_:
-            return out
-        raw = np.frombuffer(b"".join(pieces[k] for k in open_), dtype=np.uint8)
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pre-tokens one after the other, and their number for each."""
+        whole = np.array([self.ranks.get(piece, -1) for piece in pieces], dtype=np.int32)
+        counts = (whole >= 0).astype(np.int64)
+        open_ = [k for k in np.flatnonzero(whole < 0).tolist() if pieces[k]]
+        found, counts[open_] = self._merged([pieces[k] for k in open_])
+        last = np.cumsum(counts)
+        ids = np.empty(int(last[-1]) if len(last) else 0, dtype=np.int32)
+        ids[last[whole >= 0] - 1] = whole[whole >= 0]
+        own = counts[open_]
+        ids[np.arange(len(found)) + np.repeat(last[open_] - np.cumsum(own), own)] = found
+        return ids, counts
+
+    def _merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pre-tokens that are no token; the pairs of one rank are merged all at once."""
+        if not pieces:
+            return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
+        raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         n = len(raw)
-        ends = np.cumsum([len(pieces[k]) for k in open_])
+        ends = np.cumsum([len(p) for p in pieces])
         starts = np.concatenate(([0], ends[:-1]))
         token = np.append(self.byte_ids[raw], np.int32(-1))
         after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
@@ -242,63 +287,54 @@ class ByteBpe:
             lower.append(touched[found < rank])
             push(found, touched)
         counts = np.add.reduceat(alive, starts, dtype=np.int64)
-        ids = np.split(token[:n][alive].astype(np.int32), np.cumsum(counts)[:-1])
+        ids = token[:n][alive].astype(np.int32)
         # A pair of lower rank than the one being merged must go first, so such
         # pre-tokens are merged one step at a time. Usual vocabularies have none.
-        late = np.concatenate(lower) if lower else np.empty(0, dtype=np.int64)
-        for m in np.unique(np.searchsorted(ends, late, side="right")):
-            ids[m] = np.array(self.merge_one(pieces[open_[m]]), dtype=np.int32)
-        for m, k in enumerate(open_):
-            out[k] = ids[m]
-        return out
+        late = np.unique(np.searchsorted(ends, np.concatenate(lower), side="right")) if lower else []
+        if len(late):
+            rows = np.split(ids, np.cumsum(counts)[:-1])
+            for m in late:
+                rows[m] = np.array(self.merge_one(pieces[m]), dtype=np.int32)
+            ids, counts = np.concatenate(rows), np.array([len(r) for r in rows])
+        return ids, counts
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of each text, in order. Texts wait until enough new pre-tokens are there."""
         waiting: list[np.ndarray] = []
-        fresh: list[str] = []
-        bytes_waiting = bytes_fresh = 0
-
-        def number(piece: str) -> int:
-            nonlocal bytes_fresh
-            at = len(self.ends) - 1 + len(fresh)
-            self.numbers[piece] = at
-            fresh.append(piece)
-            bytes_fresh += len(piece)
-            return at
+        chars_waiting = 0
 
         def flush() -> Iterator[np.ndarray]:
-            nonlocal bytes_waiting, bytes_fresh
-            if fresh:
-                ids = self.merge([p.encode() for p in fresh])
-                more = np.cumsum([len(x) for x in ids]) + self.ends[-1]
-                self.flat = np.concatenate([self.flat, *ids])
-                self.ends = np.concatenate((self.ends, more))
+            nonlocal chars_waiting
+            if self.pieces.fresh:
+                ids, counts = self.merge([p.encode() for p in self.pieces.fresh])
+                self.ends = np.concatenate((self.ends, np.cumsum(counts) + self.ends[-1]))
+                self.flat = np.concatenate((self.flat, ids))
+                self.pieces.merged()
             for pieces in waiting:
                 begin = self.ends[pieces]
                 count = self.ends[pieces + 1] - begin
                 last = np.cumsum(count)
                 total = int(last[-1]) if len(last) else 0
                 yield self.flat[np.arange(total) + np.repeat(begin - last + count, count)]
-            if len(self.numbers) >= KEPT or bytes_fresh > REMEMBERED_CHARS * MERGED_TOGETHER:
-                self.forget()
             waiting.clear()
-            fresh.clear()
-            bytes_waiting = bytes_fresh = 0
-
-        for text in texts:
-            numbers = self.numbers
-            get = numbers.get
-            pieces = self.find(text)
-            at = [got if (got := get(p)) is not None else number(p) for p in pieces]
-            waiting.append(np.array(at, dtype=np.int32))
-            bytes_waiting += len(text)
-            if (
-                len(fresh) >= MERGED_TOGETHER
-                or bytes_fresh >= MERGED_BYTES
-                or bytes_waiting >= WAITING_BYTES
-            ):
-                yield from flush()
-        yield from flush()
+            chars_waiting = 0
+            self.remember_less()
+
+        try:
+            for text in texts:
+                pieces = self.pieces
+                waiting.append(np.fromiter(map(pieces.__getitem__, self.find(text)), dtype=np.int32))
+                chars_waiting += len(text)
+                if (
+                    len(pieces.fresh) >= MERGED_TOGETHER
+                    or pieces.fresh_chars >= MERGED_CHARS
+                    or chars_waiting >= WAITING_CHARS
+                ):
+                    yield from flush()
+            yield from flush()
+        finally:
+            if self.pieces.fresh:  # stopped half-way: numbers without ids
+                self.forget()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -335,7 +371,7 @@ def encode(
     The vocabulary goes to the executors with the function; its size is the
     tokenizer's, whatever the input.
     """
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, BATCH)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     @F.arrow_udf("array<int>")
@@ -343,7 +379,6 @@ def encode(
         bpe = _built(shared.value, pattern)
         for batch in batches:
             yield _lists(list(bpe.encode_all(text.as_py() for text in batch)))
-        bpe.forget()
 
     return without(df, to).withColumn(to, ids(whole_texts(df[text_col])))
 
@@ -372,7 +407,7 @@ def encode_and_decode(
     df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids: str = "ids", to: str = "bytes"
 ) -> DataFrame:
     """``decode(encode(df))`` in one pass: a task needs one Python worker instead of two."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, BATCH)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     @F.arrow_udf("struct<ids:array<int>,bytes:binary>")
@@ -382,8 +417,8 @@ def encode_and_decode(
             rows = list(bpe.encode_all(text.as_py() for text in batch))
             decoded = _joined((row.tolist() for row in rows), bpe.tokens)
             yield pa.StructArray.from_arrays([_lists(rows), decoded], ["ids", "bytes"])
-        bpe.forget()
 
     df = without(df, ids, to)
-    found = df.withColumn("_coded", both(whole_texts(df[text_col])))
-    return found.select(*df.columns, F.col("_coded.ids").alias(ids), F.col("_coded.bytes").alias(to))
+    coded = fresh_name(df.columns, "_coded")
+    found = df.withColumn(coded, both(whole_texts(df[text_col])))
+    return found.select(*df.columns, F.col(f"{coded}.ids").alias(ids), F.col(f"{coded}.bytes").alias(to))

@@ -38,7 +38,9 @@ def test_very_long_pretokens(coder, library, piece):
 def test_one_at_a_time_is_the_same(coder):
     for piece in (b"aaaaaaa", b" thndhawh", "日本語日本".encode(), b"abababab"):
         if piece not in RANKS:
-            assert coder.merge_one(piece) == coder.merge([piece])[0].tolist()
+            ids, counts = coder.merge([piece, b"", b" the", piece])
+            one = coder.merge_one(piece)
+            assert ids.tolist() == [*one, RANKS[b" the"], *one] and counts.tolist() == [len(one), 0, 1, len(one)]
 
 
 def test_lower_rank_that_appears_late():
@@ -55,12 +57,27 @@ def test_forgetting_changes_nothing(monkeypatch, library):
     monkeypatch.setattr(bpe, "KEPT", 5)
     monkeypatch.setattr(bpe, "MERGED_TOGETHER", 3)
     texts = ["one two three four", "two five six", "", "seven eight one"] * 3
-    got = [ids.tolist() for ids in bpe.ByteBpe(RANKS, PATTERN).encode_all(texts)]
-    assert got == [library.encode_ordinary(t) for t in texts]
+    coder = bpe.ByteBpe(RANKS, PATTERN)
+    for _ in range(3):  # as task after task
+        got = [ids.tolist() for ids in coder.encode_all(texts)]
+        assert got == [library.encode_ordinary(t) for t in texts]
+        assert len(coder.pieces) <= 5
+    monkeypatch.setattr(bpe, "KEPT_CHARS", 3)
+    assert [ids.tolist() for ids in coder.encode_all(texts)] == got
+
+
+def test_stopped_half_way(coder, library):
+    some = coder.encode_all(["zzqx qqzx", "never read"])
+    some.close()
+    started = coder.encode_all(iter(["first wxyzq", "second"]))
+    next(started)
+    started.close()
+    for text in ("first wxyzq", "zzqx second"):
+        assert next(iter(coder.encode_all([text]))).tolist() == library.encode_ordinary(text)
 
 
 def test_awkward_rows(spark, awkward):
-    clash = awkward.withColumnRenamed("n_chars", "IDS")
+    clash = awkward.withColumnRenamed("n_chars", "IDS").withColumnRenamed("lang", "_coded")
     coded = bpe.decode(bpe.encode(clash, RANKS, PATTERN), RANKS)
     rows = coded.select("text", "ids", "bytes").collect()
     assert len(rows) == awkward.count()
@@ -68,3 +85,5 @@ def test_awkward_rows(spark, awkward):
     assert bpe.encode(awkward.limit(0), RANKS, PATTERN).count() == 0
     once = bpe.encode_and_decode(clash, RANKS, PATTERN).select("text", "ids", "bytes")
     assert sorted(map(str, once.collect())) == sorted(map(str, rows))
+    kept = bpe.encode_and_decode(clash, RANKS, PATTERN)
+    assert sorted(map(str, kept.select("_coded").collect())) == sorted(map(str, clash.select("_coded").collect()))
