@@ -32,15 +32,15 @@ from pyspark.sql import functions as F
 from smudgelab.llm.common import bounded_batches, fresh_name, whole_texts, without
 
 #: New pre-tokens that are merged together, and pre-tokens a worker remembers.
-MERGED_TOGETHER = 200_000
-KEPT = 300_000
+MERGED_TOGETHER = 120_000
+KEPT = 200_000
 #: Characters of pre-tokens merged together, and characters of text that wait for their ids.
-MERGED_CHARS = 3_000_000
-WAITING_CHARS = 12_000_000
+MERGED_CHARS = 2_000_000
+WAITING_CHARS = 6_000_000
 #: Ids and characters of pre-tokens that a worker remembers.
-KEPT_IDS, KEPT_CHARS = 4_000_000, 8_000_000
+KEPT_IDS, KEPT_CHARS = 2_000_000, 4_000_000
 #: Arrow batches: as much text as waits together.
-BATCH = "12m"
+BATCH = "6m"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
