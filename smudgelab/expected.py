@@ -621,3 +621,70 @@ SELECT evaluation_type, metric_name, round(low, 6) AS low, round(high, 6) AS hig
 EXPECTED["experiment_lookup"] = f"""
 WITH {RUNS} SELECT experiment_id, dataset_name, row_corruption_percent FROM runs
 WHERE train_size <= 5000 AND test_size >= 2 AND tag = 'DIRTY_DIRTY' AND error_type = 'SCAR' AND random_seed = 200"""
+
+# ---------------------------------------------------------------- sweep over a suite
+
+SEEDS = (100, 200, 300)
+PERCENTS = (10, 20, 40)
+#: name, key, target, the one category that shifts, number of features
+SUITE = (
+    ("customer", "c_custkey", "c_mktsegment", "c_nationkey", 2),
+    ("part", "p_partkey", "p_type", "p_brand", 3),
+)
+
+
+def suite_sides(name: str, key: str, target: str, category: str) -> str:
+    """Rows of a table per seed, split and with the train side capped."""
+    return f"""{name}_sides AS (
+  SELECT seed, {key} AS k, {target} AS y, {category}::VARCHAR AS v,
+    CASE WHEN row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':split:' || {key}))
+      <= ceil(0.3 * count(*) OVER (PARTITION BY seed)) THEN 'test' ELSE 'train' END AS side
+  FROM {name}, (VALUES {", ".join(f"({s})" for s in SEEDS)}) s(seed)),
+{name}_rows AS (
+  SELECT * FROM {name}_sides
+  QUALIFY side = 'test' OR row_number() OVER (PARTITION BY seed, side ORDER BY md5(seed || ':train:' || k)) <= 10000)"""
+
+
+def _suite_damage(name: str, category: str) -> str:
+    """Damaged rows per seed, side, type and percent."""
+    return f"""{name}_hits AS (
+  SELECT seed, side, p, k, v FROM (
+    SELECT *, row_number() OVER (PARTITION BY seed, side ORDER BY md5(seed || ':row:' || side || ':' || k)) AS r,
+      count(*) OVER (PARTITION BY seed, side) AS n
+    FROM {name}_rows), (VALUES {", ".join(f"({p})" for p in PERCENTS)}) t(p)
+  WHERE r <= greatest(floor(p * n / 100), 1)),
+{name}_values AS (SELECT DISTINCT seed, side, p, v FROM {name}_hits WHERE v IS NOT NULL),
+{name}_ranks AS (
+  SELECT *,
+    row_number() OVER (PARTITION BY seed, side, p ORDER BY md5(seed || ':old:' || side || ':{category}:' || v)) AS a,
+    row_number() OVER (PARTITION BY seed, side, p ORDER BY md5(seed || ':new:' || side || ':{category}:' || v)) AS b
+  FROM {name}_values),
+{name}_changed AS (
+  SELECT h.seed, h.side, h.p, count(*) AS n
+  FROM {name}_hits h JOIN {name}_ranks o ON h.seed = o.seed AND h.side = o.side AND h.p = o.p AND h.v = o.v
+  JOIN {name}_ranks w ON w.seed = o.seed AND w.side = o.side AND w.p = o.p AND w.b = o.a
+  WHERE w.v <> h.v GROUP BY ALL),
+{name}_damage AS (
+  SELECT seed, side, kind, p, count(*) AS n FROM {name}_hits, (VALUES ('MCAR'), ('SCAR')) t(kind) GROUP BY ALL
+  UNION ALL SELECT seed, side, 'CSCAR', p, n FROM {name}_changed)"""
+
+
+def _sweep_runs() -> str:
+    steps, parts = [], []
+    for name, key, target, category, features in SUITE:
+        steps += [suite_sides(name, key, target, category), _suite_damage(name, category)]
+        steps.append(f"""{name}_runs AS (
+  SELECT seed, 'CLEAN_CLEAN' AS tag, 'NONE' AS kind, 0 AS p, 0 AS n FROM (SELECT DISTINCT seed FROM {name}_rows)
+  UNION ALL SELECT seed, 'CLEAN_DIRTY', kind, p, sum(n) FROM {name}_damage WHERE side = 'test' GROUP BY ALL
+  UNION ALL SELECT seed, 'DIRTY_DIRTY', kind, p, sum(n) FROM {name}_damage GROUP BY ALL),
+{name}_facts AS (
+  SELECT seed, count(*) FILTER (side = 'train') AS train_size, count(*) FILTER (side = 'test') AS test_size,
+    count(DISTINCT y) FILTER (side = 'train') AS number_of_classes
+  FROM {name}_rows GROUP BY seed)""")
+        parts.append(f"""SELECT '{name}' AS dataset_name, seed AS random_seed, tag, kind AS error_type,
+  p AS row_corruption_percent, train_size, test_size, number_of_classes, {features} AS number_of_features,
+  test_size AS vectors, n::BIGINT AS damaged_rows FROM {name}_runs JOIN {name}_facts USING (seed)""")
+    return "WITH " + ",\n".join(steps) + "\n" + " UNION ALL ".join(parts)
+
+
+EXPECTED["sweep_runs"] = _sweep_runs()

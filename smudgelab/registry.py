@@ -35,7 +35,7 @@ from smudgelab.operators import (
 from smudgelab.operators.lookup import lookup_join
 from smudgelab.operators.ranking import digest_rank
 from smudgelab.plans import evaluate as evaluation
-from smudgelab.plans import grid, models, report, sweep, views
+from smudgelab.plans import grid, models, report, suite, views
 from smudgelab.session import work_folder
 from smudgelab.sources import checks, tables
 
@@ -805,17 +805,19 @@ def grid_search(spark: SparkSession, folder: str) -> DataFrame:
     return models.baseline_report(spark, prepared.data, dataset, SEED)
 
 
+SUITE_PART = S.DatasetSpec("part", "p_partkey", "p_type", ("p_size", "p_retailprice"), ("p_brand",))
+
+
 def sweep_folder(spark: SparkSession, folder: str) -> str:
-    """Sweep over customers, stored in the shared work place of this application.
+    """Sweep over customers and parts, all seeds and settings, stored in the shared work place.
 
     A second call finds every setting stored and does nothing.
     """
     base = work_folder(spark)
     source = text_digest(0, "sweep source", folder.rstrip("/"))[:16]
     target = f"{base}/smudgelab-{spark.sparkContext.applicationId}/{source}"
-    sweep.run_sweep(
-        spark, table(spark, folder, "customer"), CUSTOMER_SEGMENT, target, seeds=(SEED,)
-    )
+    tables_of_suite = [(table(spark, folder, d.name), d) for d in (CUSTOMER_SEGMENT, SUITE_PART)]
+    suite.run_suite(spark, tables_of_suite, target)
     return target
 
 
@@ -828,7 +830,7 @@ def sweep_runs(spark: SparkSession, folder: str) -> DataFrame:
     hit = tables.read_table(spark, target, "corrupted_rows").groupBy("experiment_id").agg(F.count("*").alias("hit"))
     return runs.join(vectors, "experiment_id").join(hit, "experiment_id", "left").select(
         "dataset_name", "random_seed", "tag", "error_type", "row_corruption_percent", "train_size", "test_size",
-        "vectors", F.coalesce("hit", F.lit(0)).alias("damaged_rows"),
+        "number_of_classes", "number_of_features", "vectors", F.coalesce("hit", F.lit(0)).alias("damaged_rows"),
     )
 
 
@@ -836,8 +838,8 @@ SWEEP_TABLES = ("embeddings_experiments", "embeddings", "corrupted_rows")
 
 
 def with_settings(found: DataFrame, runs: DataFrame) -> DataFrame:
-    return found.join(runs.select("experiment_id", "tag", "error_type"), "experiment_id").select(
-        "tag", "error_type", "row_corruption_percent", "evaluation_type", "metric_name", "metric_value"
+    return found.join(runs.select("experiment_id", "dataset_name", "random_seed", "tag", "error_type"), "experiment_id").select(
+        "dataset_name", "random_seed", "tag", "error_type", "row_corruption_percent", "evaluation_type", "metric_name", "metric_value"
     )
 
 
@@ -861,9 +863,8 @@ def evaluate_sweep_older(spark: SparkSession, folder: str) -> DataFrame:
 def planar_views(spark: SparkSession, folder: str) -> DataFrame:
     target = sweep_folder(spark, folder)
     stored = [tables.read_table(spark, target, t) for t in SWEEP_TABLES]
-    chosen = stored[0].where((F.col("tag") == S.DIRTY_DIRTY) & (F.col("error_type") == S.MCAR)).agg(
-        F.min("experiment_id")
-    ).first()[0]
-    prepared = split_customer(spark, folder)
+    wanted = "dataset_name = 'customer' AND random_seed = 100 AND tag = 'DIRTY_DIRTY' AND error_type = 'MCAR'"
+    chosen = stored[0].where(wanted).agg(F.min("experiment_id")).first()[0]
+    prepared = sampling.prepare(table(spark, folder, "customer"), CUSTOMER_SEGMENT, 100)
     raw = views.raw_vectors(prepared.data.where("split = 'test'"), prepared.dataset)
     return views.planar_view(chosen, *stored, raw=raw, flips={"RAW": "FLIP_VER"})
