@@ -379,6 +379,7 @@ def encode(
         bpe = _built(shared.value, pattern)
         for batch in batches:
             yield _lists(list(bpe.encode_all(text.as_py() for text in batch)))
+        pa.default_memory_pool().release_unused()
 
     return without(df, to).withColumn(to, ids(whole_texts(df[text_col])))
 
@@ -417,6 +418,8 @@ def encode_and_decode(
             rows = list(bpe.encode_all(text.as_py() for text in batch))
             decoded = _joined((row.tolist() for row in rows), bpe.tokens)
             yield pa.StructArray.from_arrays([_lists(rows), decoded], ["ids", "bytes"])
+        # A worker that waits for its next task gives free memory back.
+        pa.default_memory_pool().release_unused()
 
     df = without(df, ids, to)
     coded = fresh_name(df.columns, "_coded")
