@@ -10,8 +10,9 @@ them is lowest rank first in each), so a bucket is merged by whole numpy arrays,
 pre-token of a million letters is no special case: work is linear in its length.
 
 Texts are independent, so there is no shuffle: one pass for the ids, one for the
-bytes. A Python worker remembers the ids of about ``KEPT`` pre-tokens from task to task and
-forgets the older half beyond that; results don't depend on it.
+bytes. A task remembers the ids of about ``KEPT`` pre-tokens and forgets the older
+half beyond that; a Python worker that waits for its next task holds none of them, and gives its free memory
+back. Results don't depend on it.
 
 Defined results: a null or empty text has no ids, null ids decode to no bytes, rows
 may repeat, an empty table gives an empty table, columns that clash with the added ones
@@ -29,18 +30,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from smudgelab.llm.common import bounded_batches, fresh_name, whole_texts, without
+from smudgelab.llm.common import bounded_batches, fresh_name, give_memory_back, whole_texts, without
 
-#: New pre-tokens that are merged together, and pre-tokens a worker remembers.
-MERGED_TOGETHER = 120_000
-KEPT = 200_000
+#: New pre-tokens that are merged together, and pre-tokens a task remembers.
+MERGED_TOGETHER = 80_000
+KEPT = 150_000
 #: Characters of pre-tokens merged together, and characters of text that wait for their ids.
 MERGED_CHARS = 2_000_000
-WAITING_CHARS = 6_000_000
-#: Ids and characters of pre-tokens that a worker remembers.
+WAITING_CHARS = 4_000_000
+#: Ids and characters of pre-tokens that a task remembers.
 KEPT_IDS, KEPT_CHARS = 2_000_000, 4_000_000
 #: Arrow batches: as much text as waits together.
-BATCH = "6m"
+BATCH = "4m"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -344,7 +345,7 @@ _BUILT: dict[tuple[str, int], ByteBpe] = {}
 
 
 def _built(ranks: dict[bytes, int], pattern: str) -> ByteBpe:
-    """One per Python worker, so that pre-tokens are remembered from task to task."""
+    """One per Python worker: its tables are built once."""
     key = (pattern, hash(frozenset(ranks.items())))
     if key not in _BUILT:
         _BUILT.clear()
@@ -379,7 +380,8 @@ def encode(
         bpe = _built(shared.value, pattern)
         for batch in batches:
             yield _lists(list(bpe.encode_all(text.as_py() for text in batch)))
-        pa.default_memory_pool().release_unused()
+        bpe.forget()
+        give_memory_back()
 
     return without(df, to).withColumn(to, ids(whole_texts(df[text_col])))
 
@@ -418,8 +420,8 @@ def encode_and_decode(
             rows = list(bpe.encode_all(text.as_py() for text in batch))
             decoded = _joined((row.tolist() for row in rows), bpe.tokens)
             yield pa.StructArray.from_arrays([_lists(rows), decoded], ["ids", "bytes"])
-        # A worker that waits for its next task gives free memory back.
-        pa.default_memory_pool().release_unused()
+        bpe.forget()
+        give_memory_back()
 
     df = without(df, ids, to)
     coded = fresh_name(df.columns, "_coded")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,16 @@ def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def give_memory_back() -> None:
+    """Returns a Python worker's free memory to the system, where its allocators can.
+
+    Workers wait between tasks and keep what they once took, next to those of other stages.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def whole_texts(column: Column) -> Column:
     """A text, empty where it is null."""
     return F.coalesce(column.cast("string"), F.lit(""))
