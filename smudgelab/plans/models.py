@@ -29,11 +29,10 @@ from smudgelab.operators.scores import (
     roc_auc_one_vs_rest,
     with_prediction,
 )
+from smudgelab.plans import search
 from smudgelab.sources.schemas import CLASSIFICATION, conform
 from smudgelab.sources.tables import append, with_experiment_id
 
-# Regularisation strengths of the search.
-ALPHAS = (0.00001, 0.00003, 0.0001, 0.0003, 0.001, 0.003, 0.01, 0.03)
 #: Most optimizer steps of a fit in the search (fixed value).
 SEARCH_ROUNDS = 1_000
 
@@ -155,17 +154,18 @@ def embedding_regression(embeddings: DataFrame, target: str, is_test: str) -> Da
     return regression_scores(predicted, ["one"], "truth", "prediction").drop("one")
 
 
-def search_binary_model(
+def search_wide_model(
     train: DataFrame,
     dataset: S.DatasetSpec,
     seed: int,
-    alphas: Sequence[float] = ALPHAS,
+    alphas: Sequence[float] = search.ALPHAS,
     folds: int = 5,
     parallelism: int = 4,
 ) -> tuple[PipelineModel, str]:
-    """Best of logistic and hinge loss over the strengths by mean ROC AUC.
+    """Best of logistic and hinge loss over the strengths by mean ROC AUC, on sparse features.
 
-    Folds come from the row digest, so the choice does not depend on partitioning.
+    For tables with more features than ``search.search`` sums curvature for. Folds come from
+    the row digest, so the choice does not depend on partitioning.
     """
     evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
     prepared = feature_stages(dataset)
@@ -215,14 +215,17 @@ def baseline_report(
     data: DataFrame,
     dataset: S.DatasetSpec,
     seed: int,
-    alphas: Sequence[float] = ALPHAS,
+    alphas: Sequence[float] = search.ALPHAS,
     folds: int = 5,
 ) -> DataFrame:
-    """Search on the train rows, ROC AUC of the best model on the test rows."""
+    """Search on the train rows, ROC AUC of the best model on the test rows: (loss, roc_auc)."""
+    found = search.search_report(spark, data, dataset, seed, alphas=alphas, folds=folds)
+    if found is not None:
+        return found.select("loss", "roc_auc")
     ready = ready_for_stages(data, dataset, data.where("split = 'train'")).withColumn(
         "label", F.col(dataset.target).cast("double")
     )
-    model, loss = search_binary_model(ready.where("split = 'train'"), dataset, seed, alphas, folds)
+    model, loss = search_wide_model(ready.where("split = 'train'"), dataset, seed, alphas, folds)
     scored = model.transform(ready.where("split = 'test'")).select(
         F.lit(loss).alias("loss"), "label", vector_to_array("rawPrediction")[1].alias("score")
     )

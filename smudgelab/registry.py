@@ -30,12 +30,13 @@ from smudgelab.operators import (
     sampling,
     scores,
     subsets,
+    suite_encoder,
     synthesis,
 )
 from smudgelab.operators.lookup import lookup_join
 from smudgelab.operators.ranking import digest_rank
 from smudgelab.plans import evaluate as evaluation
-from smudgelab.plans import grid, models, report, suite, views
+from smudgelab.plans import grid, models, report, search, suite, views
 from smudgelab.session import work_folder
 from smudgelab.sources import checks, tables
 
@@ -642,7 +643,7 @@ def context_embedding(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def oof_embedding(spark: SparkSession, folder: str) -> DataFrame:
-    embedded = encoders.out_of_fold_embeddings(table(spark, folder, "customer"), CUSTOMER, SEED)
+    embedded = suite_encoder.out_of_fold_embeddings(table(spark, folder, "customer"), CUSTOMER, SEED)
     return long_vectors(embedded, "c_custkey")
 
 
@@ -781,7 +782,7 @@ def embedding_models(spark: SparkSession, folder: str) -> DataFrame:
     df = table(spark, folder, "customer")
     split = sampling.split_train_test(df, "c_custkey", SEED).select("c_custkey", (F.col("split") == "test").alias("is_test"))
     plain = encoders.ContextEncoder.fit(df, CUSTOMER).transform(df).select("c_custkey", "c_nationkey", "embedding")
-    folded = encoders.out_of_fold_embeddings(df, CUSTOMER, SEED).drop("fold")
+    folded = suite_encoder.out_of_fold_embeddings(df, CUSTOMER, SEED).drop("fold")
     parts = []
     for name, vectors in (("plain", plain), ("out of fold", folded)):
         rows = vectors.join(split, "c_custkey")
@@ -798,11 +799,13 @@ def embedding_models(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def grid_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Best of both losses over all strengths."""
+    """Logistic or modified Huber loss, whichever is best over all strengths and folds."""
     dataset = S.DatasetSpec("orders", "o_orderkey", "is_open", ("o_totalprice",), ("o_orderpriority",))
     df = table(spark, folder, "orders").withColumn("is_open", (F.col("o_orderstatus") == "O").cast("int"))
-    prepared = sampling.prepare(df, dataset, SEED, test_size=0.5)
-    return models.baseline_report(spark, prepared.data, dataset, SEED)
+    prepared = sampling.prepare(df, dataset, SEED, test_size=0.5, max_rows=None)
+    return search.search_report(spark, prepared.data, dataset, SEED).select(
+        "loss", "alpha", F.round("cv_roc_auc", 6).alias("cv_roc_auc"), F.round("roc_auc", 6).alias("roc_auc")
+    )
 
 
 SUITE_PART = S.DatasetSpec("part", "p_partkey", "p_type", ("p_size", "p_retailprice"), ("p_brand",))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from smudgelab import spec as S
-from smudgelab.operators import encoders, sampling, synthesis
+from smudgelab.operators import encoders, sampling, suite_encoder, synthesis
 
 DATASET = S.DatasetSpec("d", "k", "y", ("n", "m"), ("c",))
 
@@ -44,10 +44,30 @@ def test_widths_beyond_one_digest(data):
 
 
 def test_out_of_fold_covers_every_row(data):
-    done = encoders.out_of_fold_embeddings(data.drop("split"), DATASET, 3, 3)
+    done = suite_encoder.out_of_fold_embeddings(data.drop("split"), DATASET, 3, 3)
     assert done.count() == done.select("k").distinct().count() == 60
 
 
+@pytest.mark.parametrize("known", [1_000, 1])
+def test_out_of_fold_by_subtraction_is_that_of_a_fit_per_fold(data, monkeypatch, known):
+    """Nulls, a constant column, values of one fold only, numbers of large offset."""
+    monkeypatch.setattr(suite_encoder, "KNOWN_LITERALS", known)
+    df = data.drop("split").withColumns(
+        {
+            "flat": F.lit(0.1),
+            "far": F.lit(1e9) + F.col("m"),
+            "some": F.when(F.col("k") % 4 == 0, F.col("m")),
+            "rare": F.when(F.col("k") % 3 != 0, F.concat(F.lit("r"), (F.col("k") % 29).cast("string"))),
+        }
+    )
+    wide = S.DatasetSpec("wide", "k", DATASET.target, (*DATASET.numeric, "flat", "far", "some"), (*DATASET.categorical, "rare"))
+    got = {r["k"]: r for r in suite_encoder.out_of_fold_embeddings(df, wide, 3, 4).collect()}
+    want = {r["k"]: r for r in encoders.out_of_fold_by_fits(df, wide, 3, 4).collect()}
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        assert got[k]["fold"] == r["fold"] and got[k]["embedding"] == pytest.approx(r["embedding"], abs=1e-6)
+
+
 def test_external_model_per_batch(data):
     class Fitted:
         @staticmethod

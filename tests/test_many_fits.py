@@ -1,0 +1,249 @@
+"""Fits, probes and clusterings of many groups together."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from smudgelab import spec as S
+from smudgelab.operators import clusters, newton, probe, sampling
+from smudgelab.plans import search
+
+
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def cloud(seed, n, d, shift=0.0):
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(n, d))
+    y = (x[:, 0] + 0.5 * draw.normal(size=n) + shift > 0).astype(int)
+    return x, y
+
+
+# ---------------------------------------------------------------- losses and Newton steps
+
+
+@pytest.mark.parametrize("loss", [newton.LOG, newton.MODIFIED_HUBER])
+def test_terms_by_differences(loss):
+    z = np.array([-3.0, -1.5, -0.999, -0.3, 0.0, 0.4, 0.999, 1.2, 5.0])
+    for hit in (True, False):
+        hits = np.full(len(z), hit)
+        at, slope, bend = newton.TERMS[loss](z, hits)
+        e = 1e-6
+        up, down = (newton.TERMS[loss](z + s * e, hits) for s in (1, -1))
+        assert (up[0] - down[0]) / (2 * e) == pytest.approx(slope, abs=1e-5)
+        assert (up[1] - down[1]) / (2 * e) == pytest.approx(bend, abs=1e-5)
+        assert (at >= 0).all()
+
+
+def plain_huber(x, y, alpha, steps=60_000, rate=0.05):
+    """Gradient descent on the mean loss, the intercept free."""
+    x1, sign = np.hstack([x, np.ones((len(x), 1))]), np.where(y == 1, 1.0, -1.0)
+    w = np.zeros(x1.shape[1])
+    for _ in range(steps):
+        m = sign * (x1 @ w)
+        slope = np.where(m >= 1, 0.0, np.where(m > -1, -2 * (1 - m), -4.0))
+        gradient = x1.T @ (sign * slope) / len(x) + alpha * np.append(w[:-1], 0.0)
+        w -= rate * gradient
+        if np.abs(gradient).max() < 1e-10:
+            break
+    return w
+
+
+def test_modified_huber_agrees_with_gradient_descent():
+    x, y = cloud(1, 200, 3, 0.3)
+    for alpha in (0.01, 0.1):
+        got = newton.fit_here(x, y == 1, newton.MODIFIED_HUBER, alpha * len(x), False)
+        assert got == pytest.approx(plain_huber(x, y, alpha), abs=1e-6)
+
+
+def test_modified_huber_of_separable_rows_and_of_one_side():
+    x = np.array([[-5.0], [-4.0], [4.0], [5.0]])
+    w = newton.fit_here(x, np.array([False, False, True, True]), newton.MODIFIED_HUBER, 0.01, False)
+    assert np.isfinite(w).all() and (newton.probability(newton.MODIFIED_HUBER, newton.with_one(x) @ w) == [0, 0, 1, 1]).sum() >= 0
+    w = newton.fit_here(x, np.ones(4, dtype=bool), newton.MODIFIED_HUBER, 1.0, False)
+    assert (newton.with_one(x) @ w >= 1 - 1e-6).all()
+
+
+def grouped(spark, groups, n=60):
+    rows = []
+    for g in range(groups):
+        x, y = cloud(g, n, 3, 0.1 * (g % 5))
+        rows += [(g, i, x[i].tolist(), int(y[i]), int(i % (2 + g % 3))) for i in range(n)]
+    return spark.createDataFrame(rows, "g int, i int, v array<double>, y int, c int")
+
+
+def test_many_large_groups_are_fitted_as_one(spark):
+    many, one = grouped(spark, 200), grouped(spark, 1)
+    found = {}
+
+    def run(name, df, **settings):
+        found[name] = {r["g"]: r for r in probe.probe_auc(df, ["g"], "v", "y", **settings).collect()}
+
+    few_jobs = jobs_of(spark, "one group", lambda: run("one", one, local_rows=5))
+    many_jobs = jobs_of(spark, "many groups", lambda: run("many", many, local_rows=5))
+    assert many_jobs <= few_jobs + 6
+    run("local", many)
+    assert found["many"].keys() == found["local"].keys() == set(range(200))
+    for g, r in found["many"].items():
+        assert r["roc_auc"] == pytest.approx(found["local"][g]["roc_auc"], abs=1e-9)
+
+
+def test_waves_change_nothing(spark, monkeypatch):
+    df = grouped(spark, 7)
+    want = {r["g"]: r["roc_auc"] for r in probe.probe_auc(df, ["g"], "v", "c", local_rows=5).collect()}
+    monkeypatch.setattr(newton, "DRIVER_BYTES", 400)
+    monkeypatch.setattr(probe, "CODE_ROWS", 3)
+    got = {r["g"]: r["roc_auc"] for r in probe.probe_auc(df.repartition(5), ["g"], "v", "c", local_rows=5).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_more_classes_than_a_thousand(spark):
+    x = np.random.default_rng(3).normal(size=(2400, 2))
+    df = spark.createDataFrame([("g", v.tolist(), i % 1200) for i, v in enumerate(x)], "g string, v array<double>, y int")
+    found = probe.probe_auc(df, ["g"], "v", "y").collect()
+    assert len(found) == 1 and 0 <= found[0]["roc_auc"] <= 1
+
+
+def test_groups_of_different_width(spark):
+    rows = [(g, [float((i * 7 + j) % 5) for j in range(2 + g)], i % 2) for g in range(3) for i in range(30)]
+    df = spark.createDataFrame(rows, "g int, v array<double>, y int")
+    want = {r["g"]: r["roc_auc"] for r in probe.probe_auc(df, ["g"], "v", "y").collect()}
+    got = {r["g"]: r["roc_auc"] for r in probe.probe_auc(df, ["g"], "v", "y", local_rows=5).collect()}
+    assert got == pytest.approx(want) and len(got) == 3
+
+
+# ---------------------------------------------------------------- k-means
+
+
+def planted(spark, groups=3, k=5, n=300):
+    """Far clusters, one of which holds all rows of the smallest start digests."""
+    draw = np.random.default_rng(8)
+    rows = []
+    for g in range(groups):
+        keys = [g * 100_000 + i for i in range(n)]
+        first = spark.createDataFrame([(x,) for x in keys], "id long").orderBy(clusters.digest(clusters.KMEANS_SEED, "centre", "id"))
+        order = [r["id"] for r in first.collect()]
+        for place, key in enumerate(order):
+            c = 0 if place < 2 * k else place % k
+            rows.append((g, key, [100.0 * c + draw.normal(), 50.0 * (c % 2) + draw.normal()], c, k))
+    return spark.createDataFrame(rows, "g int, id long, v array<double>, y int, k int")
+
+
+@pytest.mark.parametrize("local_rows", [10_000, 20])
+def test_starts_are_spread_out(spark, local_rows):
+    df = planted(spark)
+    done = clusters.k_means(df, ["g"], "id", "v", "k", ["y"], local_rows=local_rows)
+    assert [r["purity"] for r in clusters.purity(done, ["g"], "cluster", "y").collect()] == [1.0] * 3
+    assert done.groupBy("g").agg(F.countDistinct("cluster").alias("n")).where("n = 5").count() == 3
+
+
+def test_clusters_do_not_depend_on_partitions(spark):
+    df = planted(spark, 2)
+    found = [
+        {(r["g"], r["id"]): r["cluster"] for r in clusters.k_means(df.repartition(p), ["g"], "id", "v", "k", local_rows=n).collect()}
+        for p, n in ((1, 10_000), (7, 20), (3, 20))
+    ]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 600
+
+
+def test_equal_rows_and_many_clusters(spark):
+    rows = [("same", i, [1.0, 2.0], 4) for i in range(30)] + [("all", i, [float(i)], 30) for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, id long, v array<double>, k int")
+    for n in (1_000, 5):
+        done = clusters.k_means(df, ["g"], "id", "v", "k", local_rows=n)
+        sizes = {r["g"]: r["n"] for r in done.groupBy("g").agg(F.countDistinct("cluster").alias("n")).collect()}
+        assert sizes == {"same": 1, "all": 30}
+
+
+def test_large_groups_share_their_jobs(spark):
+    df = planted(spark, 6, n=60).cache()
+    counts = [
+        jobs_of(spark, name, lambda part=part: clusters.k_means(part, ["g"], "id", "v", "k", local_rows=20).count())
+        for name, part in (("k-means of one", df.where("g = 0")), ("k-means of six", df))
+    ]
+    assert counts[1] <= counts[0] + 8
+
+
+# ---------------------------------------------------------------- search
+
+
+def table_for_search(spark, n=400):
+    draw = np.random.default_rng(5)
+    rows = []
+    for i in range(n):
+        a, b = float(draw.normal(50, 10)), float(draw.normal())
+        c = ["x", "y", "z", None][int(draw.integers(4))]
+        y = int((a - 50) / 10 + b + (c == "x") + draw.normal() > 0.3)
+        rows.append((i, a if i % 9 else None, b, c if i else "once", y))
+    return spark.createDataFrame(rows, "k long, a double, b double, c string, y int")
+
+
+SPEC = S.DatasetSpec("s", "k", "y", ("a", "b"), ("c",))
+
+
+def features_by_hand(train, test):
+    """Plain features of both sides, learned from the first: the constant one is last."""
+
+    def column(rows, name):
+        return np.array([np.nan if r[name] is None else r[name] for r in rows])
+
+    parts = []
+    for name in ("a", "b"):
+        x = column(train, name)
+        mean = np.nanmean(x)
+        filled = np.where(np.isnan(x), mean, x)
+        spread = filled.std()
+        parts.append([(np.where(np.isnan(column(s, name)), mean, column(s, name)) - mean) / spread for s in (train, test)])
+    texts = [r["c"] for r in train if r["c"] is not None]
+    names = sorted(set(texts))
+    mode = min(names, key=lambda v: (-texts.count(v), v))
+    for v in names:
+        parts.append([np.array([float((r["c"] or mode) == v) for r in s]) for s in (train, test)])
+    return [np.column_stack([*[p[i] for p in parts], np.ones(len(s))]) for i, s in enumerate((train, test))]
+
+
+def auc(hit, p):
+    up, down = p[hit][:, None], p[~hit][None, :]
+    return float(((up > down) + 0.5 * (up == down)).mean())
+
+
+@pytest.mark.parametrize("loss", [newton.LOG, newton.MODIFIED_HUBER])
+def test_folds_by_subtraction_are_fits_per_fold(spark, loss):
+    df = table_for_search(spark)
+    alpha, folds = 0.01, 3
+    model, means = search.search(df, SPEC, "y", 4, [loss], [alpha], folds)
+    rows = sampling.assign_folds(df, "k", 4, folds).orderBy("k").collect()
+    values = []
+    for fold in range(folds):
+        train, test = [r for r in rows if r["fold"] != fold], [r for r in rows if r["fold"] == fold]
+        x, x_test = features_by_hand(train, test)
+        y = np.array([r["y"] for r in train])
+        w = newton.fit_here(x[:, :-1], y == 1, loss, alpha * len(train), False)
+        p = newton.probability(loss, x_test @ w)
+        values.append(auc(np.array([r["y"] for r in test]) == 1, p))
+    assert means[loss, alpha] == pytest.approx(np.mean(values), abs=1e-9)
+    x, _ = features_by_hand(rows, rows)
+    whole = newton.fit_here(x[:, :-1], np.array([r["y"] for r in rows]) == 1, loss, alpha * len(rows), False)
+    want = dict(zip([r["k"] for r in rows], newton.probability(loss, x @ whole), strict=True))
+    got = {r["k"]: r["p"] for r in df.select("k", model.probability().alias("p")).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_search_offers_both_losses_and_finds_a_signal(spark):
+    df = table_for_search(spark).withColumn("split", F.when(F.col("k") % 3 == 0, "test").otherwise("train"))
+    found = search.search_report(spark, df, SPEC, 4, folds=3).first()
+    assert found["loss"] in search.LOSSES and found["alpha"] in search.ALPHAS
+    assert found["roc_auc"] > 0.8 and found["cv_roc_auc"] > 0.8
+    _, means = search.search(df, SPEC, "y", 4, folds=3)
+    assert set(means) == {(loss, alpha) for loss in search.LOSSES for alpha in search.ALPHAS}
+
+
+def test_wide_tables_are_left_to_sparse_fits(spark, monkeypatch):
+    monkeypatch.setattr(search, "MOST_COLUMNS", 6)
+    assert search.search(table_for_search(spark), SPEC, "y", 4, folds=3) is None
