@@ -95,27 +95,41 @@ r AS (
       1000 * n_repeat_words // greatest(n_words, 1),
       least(20 * word_chars // greatest(n_words, 1), 2000)]) AS cell
   FROM b),
-g AS (
-  SELECT 0 AS level, lang, source, rate, cell FROM r WHERE NOT base_failed
-  UNION ALL SELECT 1, lang, NULL, rate, cell FROM r WHERE NOT base_failed
-  UNION ALL SELECT 2, NULL, NULL, rate, cell FROM r WHERE NOT base_failed),
-q AS (
-  SELECT level, lang, source, rate, count(*) AS n,
-    quantile_disc(cell, 0.25) AS q1, quantile_disc(cell, 0.75) AS q3,
-    CASE rate WHEN 'symbols' THEN 20 WHEN 'lines' THEN 100 WHEN 'repeats' THEN 100 ELSE 20 END AS least
-  FROM g GROUP BY ALL),
-f AS (
-  SELECT level, lang, source, rate, n, CASE rate WHEN 'length' THEN q1 - 3 * greatest(q3 - q1, least) END AS low,
-    q3 + 3 * greatest(q3 - q1, least) AS high
-  FROM q),
+s AS (
+  SELECT * FROM r WHERE NOT base_failed AND cell > 0),
+og AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, rate ORDER BY cell) AS k,
+    count(*) OVER (PARTITION BY lang, source, rate) AS n FROM s),
+ol AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, rate ORDER BY cell) AS k,
+    count(*) OVER (PARTITION BY lang, rate) AS n FROM s),
+oa AS (
+  SELECT *, row_number() OVER (PARTITION BY rate ORDER BY cell) AS k, count(*) OVER (PARTITION BY rate) AS n FROM s),
+qa AS (
+  SELECT rate, min(cell) FILTER (100 * k >= n) AS low, min(cell) FILTER (100 * k >= 99 * n) AS high
+  FROM oa GROUP BY rate),
+ql AS (
+  SELECT lang, rate, max(n) AS n, min(cell) FILTER (100 * k >= n) AS low, min(cell) FILTER (100 * k >= 99 * n) AS high
+  FROM ol GROUP BY lang, rate),
+qg AS (
+  SELECT lang, source, rate, max(n) AS n, min(cell) FILTER (100 * k >= n) AS low,
+    min(cell) FILTER (100 * k >= 99 * n) AS high
+  FROM og GROUP BY lang, source, rate),
+fl AS (
+  SELECT d.lang, qa.rate,
+    (coalesce(ql.n, 0) * coalesce(ql.low, 0) + 200 * qa.low) // (coalesce(ql.n, 0) + 200) AS low,
+    (coalesce(ql.n, 0) * coalesce(ql.high, 0) + 200 * qa.high) // (coalesce(ql.n, 0) + 200) AS high
+  FROM (SELECT DISTINCT lang FROM b) d CROSS JOIN qa
+  LEFT JOIN ql ON d.lang IS NOT DISTINCT FROM ql.lang AND qa.rate = ql.rate),
+fg AS (
+  SELECT d.lang, d.source, fl.rate,
+    (coalesce(qg.n, 0) * coalesce(qg.low, 0) + 200 * fl.low) // (coalesce(qg.n, 0) + 200) AS low,
+    (coalesce(qg.n, 0) * coalesce(qg.high, 0) + 200 * fl.high) // (coalesce(qg.n, 0) + 200) AS high
+  FROM (SELECT DISTINCT lang, source FROM b) d JOIN fl ON d.lang IS NOT DISTINCT FROM fl.lang
+  LEFT JOIN qg ON d.lang IS NOT DISTINCT FROM qg.lang AND d.source IS NOT DISTINCT FROM qg.source AND fl.rate = qg.rate),
 v AS (
-  SELECT r.i, bool_and(r.cell <= t.high AND coalesce(r.cell >= t.low, TRUE)) AS within
-  FROM r JOIN f o ON o.level = 0 AND r.lang IS NOT DISTINCT FROM o.lang AND r.source IS NOT DISTINCT FROM o.source AND r.rate = o.rate
-  JOIN f l ON l.level = 1 AND r.lang IS NOT DISTINCT FROM l.lang AND r.rate = l.rate
-  JOIN f t ON r.rate = t.rate AND CASE WHEN o.n >= 200
-      THEN t.level = 0 AND r.lang IS NOT DISTINCT FROM t.lang AND r.source IS NOT DISTINCT FROM t.source
-    WHEN l.n >= 200 THEN t.level = 1 AND r.lang IS NOT DISTINCT FROM t.lang
-    ELSE t.level = 2 END
+  SELECT r.i, bool_and(r.cell <= f.high AND (r.rate <> 'length' OR r.cell >= f.low)) AS within
+  FROM r JOIN fg f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source AND r.rate = f.rate
   GROUP BY r.i)
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(within, TRUE) AS kept
