@@ -451,6 +451,20 @@ ab AS (
 SELECT samples_type, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
 FROM ab GROUP BY samples_type"""
 
+EXPECTED["cluster_silhouette_moments"] = f"""
+WITH {PAIRS}, near AS (
+  SELECT a.samples_type, a.vec_id, a.label, b.label AS other, count(*) AS n,
+    sum(list_distance(a.embedding, b.embedding) ** 2) AS squared_euclidean,
+    sum(1 - list_cosine_similarity(a.embedding, b.embedding)) AS cosine
+  FROM typed a JOIN typed b ON a.samples_type = b.samples_type AND a.vec_id <> b.vec_id GROUP BY ALL),
+long AS (UNPIVOT near ON squared_euclidean, cosine INTO NAME measure VALUE d),
+ab AS (
+  SELECT samples_type, vec_id, measure, max(CASE WHEN label = other THEN d / n END) AS a,
+    min(CASE WHEN label <> other THEN d / n END) AS b
+  FROM long GROUP BY ALL)
+SELECT samples_type, measure, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
+FROM ab GROUP BY ALL"""
+
 EXPECTED["mirror_2d"] = f"""
 WITH {PAIRS} SELECT vec_id, label, round(max(reference[1]) OVER (PARTITION BY label) - reference[1], 6) AS x,
   round(max(reference[2]) OVER (PARTITION BY label) - reference[2], 6) AS y FROM pairs"""
@@ -622,6 +636,13 @@ EXPECTED["experiment_lookup"] = f"""
 WITH {RUNS} SELECT experiment_id, dataset_name, row_corruption_percent FROM runs
 WHERE train_size <= 5000 AND test_size >= 2 AND tag = 'DIRTY_DIRTY' AND error_type = 'SCAR' AND random_seed = 200"""
 
+EXPECTED["part_codes"] = """
+SELECT 'all' AS l_returnflag, l_partkey, (row_number() OVER (ORDER BY l_partkey) - 1)::INT AS code
+FROM (SELECT DISTINCT l_partkey FROM lineitem)
+UNION ALL
+SELECT l_returnflag, l_partkey, (row_number() OVER (PARTITION BY l_returnflag ORDER BY l_partkey) - 1)::INT
+FROM (SELECT DISTINCT l_returnflag, l_partkey FROM lineitem)"""
+
 # ---------------------------------------------------------------- sweep over a suite
 
 SEEDS = (100, 200, 300)
@@ -688,3 +709,7 @@ def _sweep_runs() -> str:
 
 
 EXPECTED["sweep_runs"] = _sweep_runs()
+
+EXPECTED["classification_sweep"] = f"""
+SELECT dataset_name, random_seed, tag, error_type, row_corruption_percent, train_size, test_size, TRUE AS is_scored
+FROM ({_sweep_runs()})"""

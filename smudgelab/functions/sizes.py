@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from smudgelab.spec import MAX_CLASSES, MAX_FEATURES, MAX_TRAIN_ROWS
 
 NEAR_LIMIT = 0.8
+#: Rows that a model is given at once where nothing nears its limits.
+INFERENCE_ROWS = MAX_TRAIN_ROWS
 
 
 def sample_size(percent: float, count: int) -> int:
@@ -29,6 +31,15 @@ def inference_limit(rows: Column, features: Column, classes: Column) -> Column:
     return limit.cast("int")
 
 
+def batch_rows(rows: int, features: int, classes: int) -> int:
+    """``inference_limit`` of one model, known on the driver."""
+    limit = INFERENCE_ROWS
+    for size, most in ((rows, MAX_TRAIN_ROWS), (features, MAX_FEATURES), (classes, MAX_CLASSES)):
+        if size > NEAR_LIMIT * most:
+            limit = int(limit * NEAR_LIMIT)
+    return limit
+
+
 def fraction(percent: Column) -> Column:
     return percent / F.lit(100.0)
 

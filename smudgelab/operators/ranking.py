@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from smudgelab.functions.hashing import uniform
 from smudgelab.operators.lookup import join_on, join_pinned
 
 LEVEL_DIGITS = 4  # at most 65,536 counts per level reach the driver
@@ -21,6 +22,8 @@ CUT_GROUPS = 2_000
 WINDOW_ROWS = 2_000_000  # rows one window task sorts
 PIECES = 64
 MOST_LEVELS = 4
+MOST_PIECES = 1_024  # ranges that a domain is dealt into, and values sampled to cut it
+CUT_SAMPLE = 10_000
 ONE_GROUP = "every_row"
 SHARED_KEY = "cannot take exactly {} rows: rows at the cut share their key; give a key that is unique and not null"
 
@@ -172,3 +175,40 @@ def _cumulative(
         .withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"{v}_offset") for v in values})
         .drop(name, *[f"{v}_offset" for v in values])
     )
+
+
+def dense_codes(values: DataFrame, order: str, code: str = "code", group: Sequence[str] = ()) -> DataFrame:
+    """``values`` (distinct in group and ``order``) with their places from 0 in each group.
+
+    Values are dealt into ranges, ranked inside each, and the values of earlier ranges are added. The ranges
+    come from a bounded sample, as many as it takes for one to fit a window; they steer balance only.
+    """
+    group = list(group)
+    total = values.count()
+    pieces = min(MOST_PIECES, -(-total // max(1, WINDOW_ROWS // 4)))
+    cuts = _sampled_cuts(values, order, total, pieces) if pieces > 1 else []
+    kind = values.schema[order].dataType
+    piece = _place(F.col(order), [F.lit(c).cast(kind) for c in cuts], 0, len(cuts))
+    placed = values.withColumn("piece", piece.cast("int"))
+    keys = [*group, "piece"]
+    counts = placed.groupBy(*keys).agg(F.count("*").alias("rows"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    offsets = running_offsets(counts, group, "piece", ["rows"]) if group else _offsets_of_all(counts)
+    ranked = placed.withColumn("inside", inside)
+    joined = join_on(ranked, offsets, keys)
+    return joined.withColumn(code, (F.col("inside") + F.col("rows_offset")).cast("int")).drop(
+        "piece", "inside", "rows_offset"
+    )
+
+
+def _offsets_of_all(counts: DataFrame) -> DataFrame:
+    """Running offsets of one group: at most ``MOST_PIECES`` counts."""
+    one = counts.withColumn(ONE_GROUP, F.lit(0))
+    return running_offsets(one, [ONE_GROUP], "piece", ["rows"]).drop(ONE_GROUP)
+
+
+def _sampled_cuts(values: DataFrame, order: str, total: int, pieces: int) -> list:
+    """Values that cut the domain into about equal ranges, from about ``CUT_SAMPLE`` of them picked by digest."""
+    picked = uniform(F.md5(F.col(order).cast("string"))) < F.lit(CUT_SAMPLE / total)
+    found = sorted({r[0] for r in values.where(picked).select(order).collect()})
+    return sorted({found[i * len(found) // pieces] for i in range(1, pieces)}) if found else []

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
@@ -20,6 +21,7 @@ from smudgelab import spec as S
 from smudgelab.functions.vectors import as_doubles
 from smudgelab.operators.columns import feature_stages, ready_for_stages
 from smudgelab.operators.corruption import corrupt_by_mode
+from smudgelab.operators.encoders import FitPredictor
 from smudgelab.operators.profiles import run_profile
 from smudgelab.operators.sampling import Prepared, assign_folds
 from smudgelab.operators.scores import (
@@ -47,26 +49,44 @@ def held(df: DataFrame) -> Iterator[DataFrame]:
         df.unpersist()
 
 
-def class_probabilities(
-    data: DataFrame, dataset: S.DatasetSpec, regularization: float = 0.01
-) -> tuple[DataFrame, list[str]]:
-    """(key, label, probabilities) of the test rows and the class order.
+@dataclass(frozen=True)
+class LogisticPredictor:
+    """The built-in classifier: MLlib's logistic regression on encoded features."""
 
-    The model is fitted to the train rows; scoring runs inside the tasks.
-    """
-    label = F.col(dataset.target).cast("string").alias("label")
-    ready = ready_for_stages(data, dataset, data.where("split = 'train'")).withColumn("label", label)
-    train, test = ready.where("split = 'train'"), ready.where("split = 'test'")
-    indexer = StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc").fit(train)
+    classes: tuple[str, ...]
+    model: PipelineModel
+    prepare: Callable[[DataFrame], DataFrame]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        scored = self.model.transform(self.prepare(df))
+        return scored.withColumn("probabilities", vector_to_array("probability"))
+
+
+def logistic_predictor(train: DataFrame, dataset: S.DatasetSpec, regularization: float = 0.01) -> LogisticPredictor:
+    """Fitted to the labelled train rows; scoring runs inside the tasks."""
+
+    def prepare(df: DataFrame) -> DataFrame:
+        return ready_for_stages(df, dataset, train)
+
+    indexer = StringIndexer(inputCol="label__", outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip")
     learner = LogisticRegression(
         featuresCol="features", labelCol="label_index", regParam=regularization, maxIter=100
     )
-    with held(indexer.transform(train)) as indexed:
+    labelled = prepare(train).withColumn("label__", F.col(dataset.target).cast("string"))
+    labels = indexer.fit(labelled)
+    with held(labels.transform(labelled)) as indexed:
         model = Pipeline(stages=[*feature_stages(dataset).getStages(), learner]).fit(indexed)
-    scored = model.transform(test).select(
-        dataset.key, "label", vector_to_array("probability").alias("probabilities")
-    )
-    return scored, list(indexer.labels)
+    return LogisticPredictor(tuple(labels.labels), model, prepare)
+
+
+def class_probabilities(
+    data: DataFrame, dataset: S.DatasetSpec, fit: FitPredictor = logistic_predictor
+) -> tuple[DataFrame, list[str]]:
+    """(key, label, probabilities) of the test rows and the class order."""
+    predictor = fit(data.where("split = 'train'"), dataset)
+    scored = predictor.transform(data.where("split = 'test'"))
+    label = F.col(dataset.target).cast("string").alias("label")
+    return scored.select(dataset.key, label, "probabilities"), list(predictor.classes)
 
 
 def score_predictions(scored: DataFrame, classes: Sequence[str]) -> DataFrame:
@@ -90,11 +110,16 @@ def score_predictions(scored: DataFrame, classes: Sequence[str]) -> DataFrame:
 
 
 def classification_run(
-    prepared: Prepared, seed: int, mode: str, spec: S.CorruptionSpec, folder: str | None = None
+    prepared: Prepared,
+    seed: int,
+    mode: str,
+    spec: S.CorruptionSpec,
+    folder: str | None = None,
+    fit: FitPredictor = logistic_predictor,
 ) -> DataFrame:
     """Damage, fit, predict and score; a row of the classification table."""
     damaged = corrupt_by_mode(prepared, mode, spec)
-    scored, classes = class_probabilities(damaged.data, prepared.dataset)
+    scored, classes = class_probabilities(damaged.data, prepared.dataset, fit)
     facts = run_profile(prepared.data, prepared.dataset).select("train_size", "test_size").first()
     row = score_predictions(scored, classes).withColumns(
         {

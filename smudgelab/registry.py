@@ -36,7 +36,7 @@ from smudgelab.operators import (
 from smudgelab.operators.lookup import lookup_join
 from smudgelab.operators.ranking import digest_rank
 from smudgelab.plans import evaluate as evaluation
-from smudgelab.plans import grid, models, report, search, suite, views
+from smudgelab.plans import classification, grid, models, report, search, suite, views
 from smudgelab.session import work_folder
 from smudgelab.sources import checks, tables
 
@@ -534,6 +534,18 @@ def cluster_silhouette(spark: SparkSession, folder: str) -> DataFrame:
     return shaped.select("samples_type", F.round("silhouette", 6).alias("silhouette"))
 
 
+@query
+def cluster_silhouette_moments(spark: SparkSession, folder: str) -> DataFrame:
+    """Silhouettes of squared and cosine distances, linear in the rows."""
+    typed = subsets.with_samples_type(vector_pairs(spark, folder))
+    parts = [
+        clusters.moment_silhouette(typed, ["samples_type"], "embedding", "label", m).withColumn("measure", F.lit(m))
+        for m in (clusters.SQUARED, clusters.COSINE)
+    ]
+    shaped = parts[0].unionByName(parts[1])
+    return shaped.select("samples_type", "measure", F.round("silhouette", 6).alias("silhouette"))
+
+
 @query
 def mirror_2d(spark: SparkSession, folder: str) -> DataFrame:
     flat = vector_pairs(spark, folder).select(
@@ -621,6 +633,15 @@ def impute_encode(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def part_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Dense codes of all parts sold, and of the parts of each return flag."""
+    lines = table(spark, folder, "lineitem")
+    whole = columns.label_codes(lines, "l_partkey").withColumn("l_returnflag", F.lit("all"))
+    by_flag = columns.label_codes(lines, "l_partkey", group=["l_returnflag"])
+    return whole.unionByName(by_flag).select("l_returnflag", "l_partkey", "code")
+
+
 @query
 def column_modes(spark: SparkSession, folder: str) -> DataFrame:
     names = ["l_shipmonth", "l_linenumber", "l_returnflag", "l_partkey"]
@@ -837,6 +858,27 @@ def sweep_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def classification_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored scores of the classification sweep over the same tables, seeds and settings.
+
+    The scores themselves are learned; whether each is there and a share is told for every run.
+    """
+    base = work_folder(spark)
+    source = text_digest(0, "classification source", folder.rstrip("/"))[:16]
+    target = f"{base}/smudgelab-{spark.sparkContext.applicationId}/{source}"
+    suite_tables = [(table(spark, folder, d.name), d) for d in (CUSTOMER_SEGMENT, SUITE_PART)]
+    classification.run_classification(spark, suite_tables, target)
+    stored = tables.read_table(spark, target, classification.TABLE)
+    names = [d.name for _, d in suite_tables]
+    rows = classification.described(spark, stored, names, S.DEFAULT_SEEDS, grid.configurations())
+    shares = [F.coalesce(F.col(c).between(0, 1), F.lit(False)) for c in ("roc_auc", "accuracy", "recall", "precision", "f1_score")]
+    return rows.select(
+        "dataset_name", "random_seed", "tag", "error_type", "row_corruption_percent", "train_size", "test_size",
+        reduce(lambda a, b: a & b, shares).alias("is_scored"),
+    )
+
+
 SWEEP_TABLES = ("embeddings_experiments", "embeddings", "corrupted_rows")
 
 
@@ -846,20 +888,25 @@ def with_settings(found: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-@query
-def evaluate_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    """Metrics of the sweep, stored and read back."""
+def evaluated(spark: SparkSession, folder: str, older: bool) -> DataFrame:
+    """Metrics of one set over the sweep, stored and read back."""
     target = sweep_folder(spark, folder)
-    evaluation.run_evaluation(spark, target)
+    evaluation.run_evaluation(spark, target, older)
+    found = tables.read_table(spark, target, "embedding_evaluation_metrics")
+    current = F.col("evaluation_type").startswith("LP_") | F.col("evaluation_type").startswith("DFR_")
     runs = tables.read_table(spark, target, "embeddings_experiments")
-    return with_settings(tables.read_table(spark, target, "embedding_evaluation_metrics"), runs)
+    return with_settings(found.where(~current if older else current), runs)
+
+
+@query
+def evaluate_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluated(spark, folder, older=False)
 
 
 @query
 def evaluate_sweep_older(spark: SparkSession, folder: str) -> DataFrame:
     """The older set of metrics over the same runs."""
-    stored = [tables.read_table(spark, sweep_folder(spark, folder), t) for t in SWEEP_TABLES]
-    return with_settings(evaluation.evaluate_older(*stored), stored[0])
+    return evaluated(spark, folder, older=True)
 
 
 @query

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from smudgelab import spec as S
-from smudgelab.operators import clusters, newton, probe, sampling
+from smudgelab.operators import clusters, columns, newton, probe, ranking, sampling
 from smudgelab.plans import search
 
 
@@ -247,3 +247,63 @@ def test_search_offers_both_losses_and_finds_a_signal(spark):
 def test_wide_tables_are_left_to_sparse_fits(spark, monkeypatch):
     monkeypatch.setattr(search, "MOST_COLUMNS", 6)
     assert search.search(table_for_search(spark), SPEC, "y", 4, folds=3) is None
+
+
+# ---------------------------------------------------------------- silhouette from moments, codes
+
+
+def slow_silhouette(x, labels, measure):
+    def distance(a, b):
+        if measure == clusters.SQUARED:
+            return ((a - b) ** 2).sum()
+        lengths = np.linalg.norm(a) * np.linalg.norm(b)
+        return 1 - (a @ b / lengths if lengths else 0.0)
+
+    values = []
+    for i in range(len(x)):
+        means = {}
+        for c in set(labels):
+            others = [j for j in range(len(x)) if labels[j] == c and j != i]
+            if others:
+                means[c] = np.mean([distance(x[i], x[j]) for j in others])
+        own = means.pop(labels[i], None)
+        if own is None or not means:
+            values.append(0.0)
+        else:
+            b = min(means.values())
+            values.append((b - own) / max(own, b) if max(own, b) else 0.0)
+    return np.mean(values)
+
+
+@pytest.mark.parametrize("measure", [clusters.SQUARED, clusters.COSINE])
+def test_silhouette_from_moments(spark, measure):
+    draw = np.random.default_rng(6)
+    rows, groups = [], {}
+    for g, n, k in (("a", 40, 3), ("b", 25, 1), (None, 12, 12), ("far", 30, 2)):
+        x = draw.normal(size=(n, 4)) + (1e4 if g == "far" else 0)
+        x[0] = 0 if g == "a" else x[0]
+        labels = [int(i % k) for i in range(n)]
+        groups[g] = slow_silhouette(x, labels, measure)
+        rows += [(g, x[i].tolist(), labels[i]) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, v array<double>, c int").repartition(4)
+    got = {r["g"]: r["silhouette"] for r in clusters.moment_silhouette(df, ["g"], "v", "c", measure).collect()}
+    assert got == pytest.approx(groups, abs=1e-6)
+    with pytest.raises(ValueError, match="unknown measure"):
+        clusters.moment_silhouette(df, ["g"], "v", "c", "manhattan")
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "double", "date"])
+def test_codes_of_domains_in_ranges(spark, monkeypatch, kind):
+    monkeypatch.setattr(ranking, "WINDOW_ROWS", 40)
+    monkeypatch.setattr(ranking, "CUT_SAMPLE", 60)
+    value = F.col("id") % 331 * 7 if kind != "date" else F.date_add(F.lit("2020-01-01"), (F.col("id") % 331).cast("int"))
+    df = spark.range(1000).select(value.cast(kind).alias("x"), (F.col("id") % 2).alias("g"))
+    df = df.unionByName(spark.createDataFrame([(None, 0)], df.schema))
+    want = {v: i for i, v in enumerate(sorted({r["x"] for r in df.collect()} - {None}))}
+    got = columns.label_codes(df, "x").collect()
+    assert {r["x"]: r["code"] for r in got} == want and len(got) == 331
+    by_group = columns.label_codes(df, "x", group=["g"]).collect()
+    for g in (0, 1):
+        mine = sorted((r["code"], r["x"]) for r in by_group if r["g"] == g)
+        assert [c for c, _ in mine] == list(range(len(mine))) and [x for _, x in mine] == sorted(x for _, x in mine)
+    assert columns.label_codes(df.limit(0), "x").count() == 0
