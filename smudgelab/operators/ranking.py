@@ -24,7 +24,8 @@ PIECES = 64
 MOST_LEVELS = 4
 MOST_PIECES = 1_024  # ranges that a domain is dealt into, and values sampled to cut it
 CUT_SAMPLE = 10_000
-ONE_GROUP = "every_row"
+ONE_GROUP = "every__row"
+BUCKET = "rank__bucket"
 SHARED_KEY = "cannot take exactly {} rows: rows at the cut share their key; give a key that is unique and not null"
 
 
@@ -116,17 +117,17 @@ def digest_rank(
     digits = 0
     while biggest > WINDOW_ROWS * 16**digits:
         digits += 1
-    keys = [*group, "bucket"] if digits else group
+    keys = [*group, BUCKET] if digits else group
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(digest_column)) - 1
     if not digits:
         return df.withColumn(rank_column, inside.cast("bigint")).drop(ONE_GROUP)
-    bucketed = df.withColumn("bucket", F.substring(digest_column, 1, digits))
-    counts = bucketed.groupBy(*keys).agg(F.count("*").alias("rows"))
-    offsets = running_offsets(counts, group, "bucket", ["rows"])
+    bucketed = df.withColumn(BUCKET, F.substring(digest_column, 1, digits))
+    counts = bucketed.groupBy(*keys).agg(F.count("*").alias("rank__rows"))
+    offsets = running_offsets(counts, group, BUCKET, ["rank__rows"])
     return (
         join_on(bucketed, offsets, keys)
-        .withColumn(rank_column, inside + F.col("rows_offset"))
-        .drop("bucket", "rows_offset", ONE_GROUP)
+        .withColumn(rank_column, inside + F.col("rank__rows_offset"))
+        .drop(BUCKET, "rank__rows_offset", ONE_GROUP)
     )
 
 

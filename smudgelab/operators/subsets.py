@@ -57,7 +57,8 @@ def check_consistency(experiments: DataFrame, embeddings: DataFrame) -> DataFram
 
 def positions(test_rows: DataFrame, key: str, seed: int | Column, group: Sequence[str] = ()) -> DataFrame:
     """Place of each test row in the shuffled test split, from 0."""
-    return digest_rank(test_rows.withColumn("d", digest(seed, "position", key)), "d", group).drop("d")
+    order = "position__digest"
+    return digest_rank(test_rows.withColumn(order, digest(seed, "position", key)), order, group).drop(order)
 
 
 def missing_from_test(manifest: DataFrame, test_rows: DataFrame, keys: Sequence[str]) -> DataFrame:

