@@ -114,3 +114,58 @@ def test_licences_of_awkward_rows(awkward):
     model = licences.train(awkward.limit(0))
     assert licences.scan(awkward, model).count() == awkward.count()
     assert licences.scan(awkward.limit(0), model).count() == 0
+
+
+def _in_language(n, alphabet, seed, start=0):
+    draw = random.Random(seed)
+    words = ["".join(draw.choice(alphabet) for _ in range(draw.randint(2, 7))) for _ in range(60)]
+    return [(start + i, " ".join(draw.choice(words) for _ in range(draw.randint(8, 60)))) for i in range(n)]
+
+
+def test_unlearned_languages_are_rejected_and_learned_ones_kept(spark):
+    alphabets = {"aa": "abcdeo", "bb": "fghiju", "cc": "klmnpy", "dd": "qrstvz"}
+    rows = [
+        (i, text, lang)
+        for k, (lang, letters) in enumerate(alphabets.items())
+        for i, text in _in_language(400, letters, k, 1000 * k)
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df.where("doc_id % 4 > 0 AND lang <> 'dd'"))
+    got = langid.identify(df.where("doc_id % 4 = 0"), model).collect()
+    learned = [r for r in got if r["lang"] != "dd"]
+    unlearned = [r for r in got if r["lang"] == "dd"]
+    assert sum(r["rejected"] for r in learned) <= 0.01 * len(learned)
+    assert sum(r["rejected"] for r in unlearned) >= 0.95 * len(unlearned)
+    assert all(r["lang_pred"] == r["lang"] for r in learned)
+    assert model.calibration["learned"] <= 0.01 and all(model.calibration[x] >= 0.9 for x in ("aa", "bb", "cc"))
+
+
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ROWS_IN_ALL", 200)
+    monkeypatch.setattr(langid, "MOST_BROADCAST", 3)
+    draw = random.Random(5)
+    words = {f"l{k:02d}": ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(30)}
+    rows = [(i, " ".join(draw.choice(words[f"l{i % 30:02d}"]) for _ in range(30)), f"l{i % 30:02d}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df.where("doc_id < 900"))
+    assert len(model.languages) == 30 and model.head is not None
+    got = langid.identify(df.where("doc_id >= 900"), model).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.9 * len(got)
+
+
+def test_sample_is_bounded_in_rows_and_characters(spark, monkeypatch):
+    rows = [(i, "word " * (5 if i else 5000), "aa" if i % 3 else "bb") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda texts, languages, seed=7: seen.append((texts, languages)))
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 2000)
+    langid.fit(df, rows_per_language=20)
+    texts, languages = seen[0]
+    assert max(languages.count(x) for x in ("aa", "bb")) <= 20 and min(languages.count(x) for x in ("aa", "bb")) > 5
+    assert all(sum(len(t) for t, x in zip(texts, languages, strict=True) if x == y) <= 1000 for y in ("aa", "bb"))
+
+
+def test_internal_names_may_be_columns(spark, awkward):
+    model = langid.fit(awkward)
+    got = langid.identify(awkward.selectExpr("*", "1 AS _found"), model).collect()
+    assert {r["_found"] for r in got} == {1}
