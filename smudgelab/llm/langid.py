@@ -44,7 +44,7 @@ SIZES = (2, 3)
 EPOCHS, RATE = 4, np.float32(0.05)
 #: Share of unseen texts in learned languages that calibration rejects, and how much further than that, as
 #: a share of the way from the middle, the limits lie.
-REJECTED_SHARE, MARGIN = 0.001, 0.25
+REJECTED_SHARE, MARGIN = 0.001, 0.5
 #: Subwords of the pieces that rejection is calibrated on; shorter texts are never rejected for it.
 SCALES = (8, 16, 32, 64, 128, 256, 512)
 #: Languages that the model reports on as if it had not learned them.

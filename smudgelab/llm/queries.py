@@ -105,10 +105,12 @@ def op4_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs, labels = (table(spark, folder, t) for t in ("documents", "labels"))
     taught = fold(F.col("doc_id")) != 0
-    model = toxicity.fit(docs, table(spark, folder, "labels"), where=taught)
-    return toxicity.scored(docs, model).select(
+    model = toxicity.fit(docs, labels, where=taught)
+    rated = stored(toxicity.rated(docs.select("doc_id", "text"), model).drop("text"), "op9-logits")
+    cuts = toxicity.thresholds(rated, labels, model, where=taught)
+    return toxicity.scored(rated, cuts).select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
         "score",

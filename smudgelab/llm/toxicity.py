@@ -3,19 +3,21 @@
 A word's embedding is the sum of three rows of a hashed table: of the word and of its
 first four and five letters (so unseen forms of a known stem are near it). Filters of
 several widths run over the words of a whole text, each keeps its largest response (max
-pooling), and a logistic layer gives the score. All of it is trained in numpy on a
-bounded, documented sample of labelled rows.
+pooling), and a logistic layer gives the logit. All of it is trained in numpy on a
+bounded, documented sample of labelled rows, drawn evenly over languages.
 
-A fifth of the sample calibrates one threshold for each language, and scores are shifted so
-that 0.5 is the threshold. The language is read from the text: word counts of the
-sample, by language, in the same hashed rows. Language columns are never an input.
+Thresholds by language come from all labelled rows that did not teach: histograms of their logits by
+language and label, which merge by adding counts. A language's cut makes the fewest errors over its
+own rows and, as if ``PRIOR`` more rows lay there, those of all languages; so it counts by its size, and one
+without rows has the cut of all. Scores are shifted so that 0.5 is the cut. The language is read from the text: word
+counts of the sample, by language, in the same hashed rows. Language columns are never an input.
 
 Prediction is one pass without a shuffle; long texts go through the filters in parts of
 bounded size.
 
 Defined results: null and empty texts are a text of no words and get the score of one. Labels of
-null and repeated labels of a row teach once, or nothing. Without labels of both kinds every score
-is 0. Columns that clash with the added ones are replaced.
+null teach nothing; of a repeated id the highest label counts, and its smallest text teaches. Without labels of
+both kinds every score is 0. Columns that clash with the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -27,21 +29,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from smudgelab.llm.common import bounded_batches, sampled, whole_texts, without
+from smudgelab.llm.common import bounded_batches, fresh_name, whole_texts, without
 
-#: Labelled rows that training looks at, per label.
-ROWS_PER_LABEL = 2000
+#: Labelled rows that training looks at, per label, and characters of their texts in all.
+ROWS_PER_LABEL, LEAST_ROWS, SAMPLE_CHARS = 2000, 20, 48_000_000
 #: Rows and width of the embedding table; filter widths (in words) and filters of each.
 BUCKETS, WIDTH = 1 << 15, 16
 FILTER_WIDTHS, FILTERS = (1, 2, 3), 8
 EPOCHS, RATE = 3, np.float32(0.05)
 #: Words that go through the filters at once, and words that a worker remembers.
 PART, KEPT = 1 << 15, 200_000
-#: Rows of a language that a threshold of its own needs.
-LEAST_CALIBRATED = 40
+#: One row in so many never teaches, so that thresholds have rows to look at.
+KEPT_OUT = 5
+#: Rows of all languages that each language's threshold is blended with; logits are counted within
+#: +-END in cells of this width.
+PRIOR, END, CELL = 100, 30.0, 0.05
+#: The logit where nothing was learned.
+NEVER = -700.0
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -84,7 +91,7 @@ class Model:
     bias: float
     languages: tuple[str, ...]
     words: np.ndarray  # log-likelihood of a word's row by language
-    cut: dict[str, float]  # logit of the threshold by language; "" for any other
+    taught: tuple = ()  # ids of the rows that taught
 
     def responses(self, rows: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Largest response of each filter, and the word at which it starts."""
@@ -120,10 +127,10 @@ class Model:
             total += self.words[rows[start : start + PART, 0]].sum(axis=0, dtype=np.float64)
         return self.languages[int(total.argmax())]
 
-    def score(self, text: str) -> float:
+    def rate(self, text: str) -> tuple[float, str]:
+        """Logit and language of a whole text."""
         rows = hashed_words(text)
-        z = self.logit(rows) - self.cut.get(self.language(rows), self.cut[""])
-        return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+        return self.logit(rows), self.language(rows)
 
 
 class _Adaptive:
@@ -151,7 +158,6 @@ def _network(bags: list[np.ndarray], labels: list[int], seed: int) -> Model:
         0.0,
         (),
         np.zeros((BUCKETS, 0), dtype=np.float32),
-        {"": 0.0},
     )
     table, out = _Adaptive(model.table), _Adaptive(model.out)
     filters, shift = [_Adaptive(f) for f in model.filters], [_Adaptive(s) for s in model.shift]
@@ -187,54 +193,27 @@ def _network(bags: list[np.ndarray], labels: list[int], seed: int) -> Model:
     return model
 
 
-def _threshold(logits: np.ndarray, labels: np.ndarray, weight: float) -> float:
-    """The logit of fewest errors (label 0 counts ``weight``); the middle of its range."""
-    order = np.argsort(logits)
-    logits, labels = logits[order], labels[order]
-    missed = np.concatenate(([0.0], np.cumsum(labels == 1)))
-    wrong = np.concatenate(([0.0], np.cumsum(labels == 0)))
-    errors = missed + weight * (wrong[-1] - wrong)
-    low = int(errors.argmin())
-    high = len(errors) - 1 - int(errors[::-1].argmin())
-    edges = np.concatenate(([logits[0] - 1], logits, [logits[-1] + 1]))
-    return float((edges[low] + edges[high + 1]) / 2)
-
-
-def train(
-    texts: list[str], labels: list[int], languages: list[str | None], weight: float = 1.0, seed: int = 5
-) -> Model:
-    """Every fifth text of each label calibrates, the others teach.
-
-    ``weight`` is how many rows of label 0 stand behind one of the sample, against label 1.
-    """
+def train(texts: list[str], labels: list[int], languages: list[str | None], seed: int = 5) -> Model:
+    """A model of texts labelled 0 or 1; it knows languages by their words."""
     bags = [hashed_words(t) for t in texts]
-    seen = [0, 0]
-    calibrates = []
-    for label in labels:
-        calibrates.append(seen[label] % 5 == 0 and len(texts) >= 50)
-        seen[label] += 1
-    fitted = [i for i, c in enumerate(calibrates) if not c]
-    model = _network([bags[i] for i in fitted], [labels[i] for i in fitted], seed)
-    names = tuple(sorted({languages[i] for i in fitted} - {None}))
+    model = _network(bags, labels, seed)
+    names = tuple(sorted(set(languages) - {None}))
     counts = np.zeros((BUCKETS, len(names)))
-    for i in fitted:
-        if languages[i] is not None:
-            np.add.at(counts[:, names.index(languages[i])], bags[i][:, 0], 1)
+    for bag, language in zip(bags, languages, strict=True):
+        if language is not None:
+            np.add.at(counts[:, names.index(language)], bag[:, 0], 1)
     counts += 0.1
     model.languages, model.words = names, np.log(counts / counts.sum(axis=0)).astype(np.float32)
-    checked = [i for i, c in enumerate(calibrates) if c]
-    if checked:
-        logits = np.array([model.logit(bags[i]) for i in checked])
-        truth = np.array([labels[i] for i in checked])
-        told = [model.language(bags[i]) for i in checked]
-        model.cut[""] = _threshold(logits, truth, weight)
-        for name in names:
-            mine = np.array([t == name for t in told])
-            if mine.sum() >= LEAST_CALIBRATED and 0 < truth[mine].sum() < mine.sum():
-                model.cut[name] = _threshold(logits[mine], truth[mine], weight)
     return model
 
 
+def known_labels(labels: DataFrame, id_col: str, label_col: str, where: Column | None) -> DataFrame:
+    """(id, label): one row per labelled id."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    known = known if where is None else known.where(where)
+    return known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -245,46 +224,112 @@ def fit(
     rows_per_label: int = ROWS_PER_LABEL,
     where: Column | None = None,
 ) -> Model | None:
-    """Trains on at most ``rows_per_label`` rows of each label, those with the smallest
-    hashes of their ids; ``where`` (over the labels) leaves rows out."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    if where is not None:
-        known = known.where(where)
-    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    totals = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
-    if set(totals) != {0, 1}:
+    """Trains on at most ``rows_per_label`` rows of each label, evenly over languages: those with the
+    smallest hashes of their ids. ``where`` (over the labels) leaves rows out. None without both labels."""
+    drawn = F.xxhash64("id", F.lit("toxicity sample"))
+    known = known_labels(labels, id_col, label_col, where).where(F.pmod(drawn, F.lit(KEPT_OUT)) != 0)
+    told = docs.groupBy(F.col(id_col).alias("id")).agg(F.min(lang_col).alias("lang"))
+    placed = known.join(told, "id")
+    strata = placed.groupBy("label", "lang").agg(F.count(F.lit(1)).alias("rows")).collect()  # a row per label and language
+    if {r["label"] for r in strata} != {0, 1}:
         return None
-    chosen = [
-        sampled(known.where(F.col("_label") == y), ["_id"], rows_per_label, "toxicity sample") for y in (0, 1)
-    ]
-    sample = chosen[0].unionByName(chosen[1])  # at most 2 x rows_per_label ids
-    rows = (
-        docs.join(F.broadcast(sample), docs[id_col] == sample["_id"])
-        .groupBy("_id", "_label")
-        .agg(F.min(F.struct(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))).alias("d"))
-        .orderBy("_id")
-        .collect()
+    languages = len({r["lang"] for r in strata})
+    most = max(LEAST_ROWS, rows_per_label // languages)
+    within = F.row_number().over(Window.partitionBy("label", "lang").orderBy(drawn, "id"))
+    rates = docs.sparkSession.createDataFrame(
+        [(r["label"], r["lang"], min(1.0, (1.5 * most + 50) / r["rows"])) for r in strata], "label int, lang string, rate double"
     )
-    if {r["_label"] for r in rows} != {0, 1}:
+    matched = (placed["label"] == rates["label"]) & placed["lang"].eqNullSafe(rates["lang"])
+    thinned = placed.join(F.broadcast(rates), matched).where(
+        F.pmod(F.xxhash64("id", F.lit("toxicity rate")), F.lit(1 << 30)) < F.col("rate") * float(1 << 30)
+    ).select("id", placed["label"], placed["lang"])
+    sample = thinned.withColumn("place", within).where(F.col("place") <= most).select("id", "label")
+    # At most rows_per_label (or LEAST_ROWS a language) ids of each label.
+    texts = docs.select(F.col(id_col).alias("id"), whole_texts(F.col(text_col)).alias("text"), F.col(lang_col).alias("lang"))
+    rows = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min(F.struct("text", "lang")).alias("d"))
+    by_hash = Window.partitionBy("label").orderBy(drawn, "id").rowsBetween(Window.unboundedPreceding, 0)
+    bounded = rows.withColumn("chars", F.sum(F.length("d.text")).over(by_hash)).where(F.col("chars") <= SAMPLE_CHARS // 2)
+    found = bounded.select("id", "label", "d").orderBy("id").collect()
+    if {r["label"] for r in found} != {0, 1}:
         return None
-    taken = [min(totals[y], rows_per_label) for y in (0, 1)]
-    weight = (totals[0] / taken[0]) / (totals[1] / taken[1])
-    return train([r["d"]["text"] or "" for r in rows], [r["_label"] for r in rows], [r["d"]["lang"] for r in rows], weight)
+    model = train([r["d"]["text"] for r in found], [r["label"] for r in found], [r["d"]["lang"] for r in found])
+    model.taught = tuple(r["id"] for r in found)
+    return model
 
 
-def scored(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``df`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) of every whole text."""
-    df = without(df, "score", "predicted")
+def rated(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``df`` with ``logit`` and ``told`` (the language read from the text) of every whole text."""
+    text = whole_texts(df[text_col])
+    df = without(df, "logit", "told")
     if model is None:
-        return df.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
+        return df.withColumns({"logit": F.lit(NEVER), "told": F.lit("")})
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("struct<logit:double,told:string>")
+    def rates(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
         for batch in batches:
-            yield pa.array([known.score(text.as_py()) for text in batch], type=pa.float64())
+            columns = zip(*[known.rate(text.as_py()) for text in batch], strict=True) if len(batch) else [[], []]
+            kinds = (pa.float64(), pa.string())
+            yield pa.StructArray.from_arrays(
+                [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], ["logit", "told"]
+            )
+
+    added = fresh_name(df.columns, "_rated")
+    found = df.withColumn(added, rates.asNondeterministic()(text))
+    return found.select(*df.columns, F.col(f"{added}.logit").alias("logit"), F.col(f"{added}.told").alias("told"))
+
+
+def _cut(counts: np.ndarray) -> float:
+    """The logit of fewest errors of a histogram (label, cell); the middle of its range."""
+    below = np.concatenate((np.zeros((2, 1)), np.cumsum(counts, axis=1)), axis=1)
+    errors = below[1] + below[0][-1] - below[0]
+    best = np.flatnonzero(errors <= errors.min() + 1e-9 * max(1.0, errors.max()))
+    run = best[: 1 + int(np.argmax(np.append(np.diff(best) > 1, True)))]
+    # Beyond the rows that were seen, no further than a step.
+    some = np.flatnonzero(counts.sum(axis=0))
+    low, high = max(run[0], some[0] - 1), min(run[-1], some[-1] + 2)
+    return float(-END + CELL * (low + high) / 2)
+
+
+def thresholds(
+    rated_docs: DataFrame,
+    labels: DataFrame,
+    model: Model | None,
+    id_col: str = "doc_id",
+    label_col: str = "toxic",
+    where: Column | None = None,
+) -> dict[str, float]:
+    """The cut of each language that has one, and of any other ("").
 
-    found = df.withColumn("score", score(whole_texts(df[text_col])))
+    Documents are counted by language, label and cell of logit, so only counts come together.
+    """
+    known = known_labels(labels, id_col, label_col, where)
+    if model is None:
+        return {"": 0.0}
+    kind = known.schema["id"].dataType.simpleString()
+    taught = rated_docs.sparkSession.createDataFrame([(i,) for i in model.taught], f"id {kind}")
+    cells = round(2 * END / CELL)
+    cell = F.least(F.greatest(F.floor((F.col("logit") + END) / CELL), F.lit(0)), F.lit(cells - 1)).cast("int").alias("cell")
+    rows = rated_docs.select(F.col(id_col).alias("id"), "told", cell).join(known, "id")
+    rows = rows.join(F.broadcast(taught), "id", "left_anti")
+    found: dict[str, np.ndarray] = {}
+    for r in rows.groupBy("told", "label", "cell").count().collect():
+        found.setdefault(r["told"], np.zeros((2, cells)))[r["label"], r["cell"]] += r["count"]
+    if not found:
+        return {"": 0.0}
+    whole = sum(found.values())
+    return {"": _cut(whole)} | {
+        told: _cut(own + whole * (PRIOR / whole.sum())) for told, own in found.items() if told
+    }
+
+
+def scored(rated_docs: DataFrame, cuts: dict[str, float]) -> DataFrame:
+    """``rated_docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on)."""
+    df = without(rated_docs, "score", "predicted")
+    named = [F.lit(v) for pair in cuts.items() for v in pair]
+    cut = F.coalesce(F.try_element_at(F.create_map(*named), F.col("told")), F.lit(cuts[""]))
+    z = F.least(F.greatest(F.col("logit") - cut, F.lit(NEVER)), F.lit(-NEVER))
+    found = df.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from smudgelab.llm import langid, licences, toxicity
 
@@ -61,15 +62,83 @@ def _toxic(n, seed=2):
     return out
 
 
+def _judged(docs, labels, model, where=None):
+    rated = toxicity.rated(docs, model)
+    return toxicity.scored(rated, toxicity.thresholds(rated, labels, model, where=where))
+
+
 def test_toxicity_of_unseen_texts(spark):
     rows = _toxic(600)
     docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(r[0], r[3]) for r in rows] * 2, "doc_id long, toxic int")
-    from pyspark.sql import functions as F
-
-    model = toxicity.fit(docs, labels, where=F.col("doc_id") < 450)
-    got = toxicity.scored(docs.where("doc_id >= 450"), model).collect()
-    assert sum(r["predicted"] == rows[r["doc_id"]][3] for r in got) >= 0.97 * len(got)
+    taught = F.col("doc_id") < 450
+    model = toxicity.fit(docs, labels, where=taught)
+    assert max(model.taught) < 450
+    got = [r for r in _judged(docs, labels, model, taught).collect() if r["doc_id"] >= 450]
+    for label in (0, 1):  # a constant answer gets one of them wrong
+        mine = [r["predicted"] for r in got if rows[r["doc_id"]][3] == label]
+        assert sum(p == label for p in mine) >= 0.95 * len(mine)
+
+
+def _slow_logit(model, text):
+    """Every filter at every place, word by word."""
+    rows = toxicity.hashed_words(text)
+    words = [model.table[r].astype(float).sum(axis=0) for r in rows]
+    words += [np.zeros(toxicity.WIDTH)] * (max(toxicity.FILTER_WIDTHS) - 1 + (not words))
+    places = max(1, len(rows))
+    total = model.bias
+    for k, width in enumerate(toxicity.FILTER_WIDTHS):
+        for f in range(toxicity.FILTERS):
+            best = max(
+                sum(
+                    float(words[i + o] @ model.filters[k][o * toxicity.WIDTH : (o + 1) * toxicity.WIDTH, f])
+                    for o in range(width)
+                )
+                for i in range(places)
+            )
+            total += max(0.0, best + model.shift[k][f]) * model.out[k * toxicity.FILTERS + f]
+    return total
+
+
+def test_scores_by_a_slow_network():
+    rows = _toxic(80)
+    model = toxicity.train([r[1] for r in rows], [r[3] for r in rows], ["en"] * 80)
+    for text in ["", "one", "two vile", *[r[1] for r in rows[:6]]]:
+        assert np.isclose(model.rate(text)[0], _slow_logit(model, text), atol=1e-3)
+
+
+def test_cuts_by_language_are_blended_by_size(spark):
+    model = toxicity.Model(None, [], [], None, 0.0, ("aa", "bb", "cc"), None, (3,))
+
+    def cuts(n):
+        rows, labels = [(3, 99.0, "aa")], [(3, 1)]
+        for told, middle, size in (("aa", 0.0, 2000), ("bb", 5.0, n)):
+            for i in range(size):
+                key = len(rows) + 10
+                rows.append((key, middle + (1 if i % 2 else -1) * (1 + i % 3), told))
+                labels.append((key, i % 2))
+        rated = spark.createDataFrame(rows, "doc_id long, logit double, told string")
+        return toxicity.thresholds(rated, spark.createDataFrame(labels, "doc_id long, toxic int"), model)
+
+    few, many = cuts(6), cuts(1500)
+    assert abs(many["aa"]) < 1 and 4 < many["bb"] < 6
+    assert abs(few["aa"]) < 1 and few["bb"] < many["bb"]
+    assert "cc" not in many and "" in many
+    rated = spark.createDataFrame([(1, 4.0, "aa"), (2, 4.0, "bb"), (3, 4.0, "cc")], "doc_id long, logit double, told string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scored(rated, {"": 9.0, "aa": 0.0, "bb": 5.0}).collect()}
+    assert got == {1: 1, 2: 0, 3: 0}
+
+
+def test_sample_is_even_over_languages(spark, monkeypatch):
+    rows = [(i, f"word{i} " * 5, "aa" if i % 10 else "bb", int(i % 2)) for i in range(1500)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, rows_per_label=100)
+    taken = [(rows[i][2], rows[i][3]) for i in model.taught]
+    assert len(taken) <= 200 and taken.count(("bb", 0)) >= 40 and taken.count(("aa", 1)) <= 50
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 1000)
+    few = toxicity.fit(docs, labels, rows_per_label=100)
+    assert sum(len(rows[i][1]) for i in few.taught) <= 1000
 
 
 def test_long_texts_in_parts_are_the_same(monkeypatch):
@@ -80,15 +149,20 @@ def test_long_texts_in_parts_are_the_same(monkeypatch):
     assert np.isclose(model.logit(rows), whole)
 
 
-def test_toxicity_of_awkward_rows(spark, awkward):
+def test_toxicity_of_awkward_rows(spark, awkward, monkeypatch):
+    monkeypatch.setattr(toxicity, "KEPT_OUT", 1 << 40)
     labels = spark.createDataFrame([(5, 1), (7, 0), (None, 1), (4, None)], "doc_id long, toxic int")
     model = toxicity.fit(awkward, labels)
-    got = toxicity.scored(awkward.withColumnRenamed("n_chars", "Predicted"), model).collect()
-    assert len(got) == awkward.count()
+    assert set(model.taught) == {5, 7}
+    clash = awkward.withColumnRenamed("n_chars", "Predicted").selectExpr("*", "1 AS _rated", "2 AS told", "3 AS id")
+    got = _judged(clash, labels, model).collect()
+    assert len(got) == awkward.count() and {(r["_rated"], r["id"]) for r in got} == {(1, 3)}
     empty = {r["score"] for r in got if r["doc_id"] in (1, 2, 3)}
     assert len(empty) == 1
     assert toxicity.fit(awkward, labels.limit(0)) is None
-    assert {r["score"] for r in toxicity.scored(awkward, None).collect()} == {0.0}
+    none = _judged(awkward, labels, None).collect()
+    assert {r["predicted"] for r in none} == {0} and max(r["score"] for r in none) < 1e-300
+    assert toxicity.rated(awkward.limit(0), model).count() == 0
 
 
 def test_licences_known_unknown_and_none(spark, documents):
