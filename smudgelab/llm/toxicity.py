@@ -43,7 +43,7 @@ EPOCHS, RATE = 3, np.float32(0.05)
 #: Words that go through the filters at once, and words that a worker remembers.
 PART, KEPT = 1 << 15, 200_000
 #: One row in so many never teaches, so that thresholds have rows to look at.
-KEPT_OUT = 5
+KEPT_OUT = 10
 #: Rows of all languages that each language's threshold is blended with; logits are counted within
 #: +-END in cells of this width.
 PRIOR, END, CELL = 100, 30.0, 0.05
@@ -214,6 +214,15 @@ def known_labels(labels: DataFrame, id_col: str, label_col: str, where: Column |
     return known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
 
 
+def even_shares(rows: dict, wanted: int) -> dict:
+    """How many rows of each key to take: alike for all, what small ones lack goes to the others."""
+    taken, left = {}, wanted
+    for i, (key, n) in enumerate(sorted(rows.items(), key=lambda pair: (pair[1], pair[0] or ""))):
+        taken[key] = min(n, max(LEAST_ROWS, left // (len(rows) - i)))
+        left -= taken[key]
+    return taken
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -233,17 +242,18 @@ def fit(
     strata = placed.groupBy("label", "lang").agg(F.count(F.lit(1)).alias("rows")).collect()  # a row per label and language
     if {r["label"] for r in strata} != {0, 1}:
         return None
-    languages = len({r["lang"] for r in strata})
-    most = max(LEAST_ROWS, rows_per_label // languages)
+    shares = []
+    for y in (0, 1):
+        rows_of = {r["lang"]: r["rows"] for r in strata if r["label"] == y}
+        for lang, most in even_shares(rows_of, rows_per_label).items():
+            shares.append((y, lang, most, min(1.0, (1.5 * most + 50) / rows_of[lang])))
+    rates = docs.sparkSession.createDataFrame(shares, "label int, lang string, most int, rate double")
     within = F.row_number().over(Window.partitionBy("label", "lang").orderBy(drawn, "id"))
-    rates = docs.sparkSession.createDataFrame(
-        [(r["label"], r["lang"], min(1.0, (1.5 * most + 50) / r["rows"])) for r in strata], "label int, lang string, rate double"
-    )
     matched = (placed["label"] == rates["label"]) & placed["lang"].eqNullSafe(rates["lang"])
     thinned = placed.join(F.broadcast(rates), matched).where(
         F.pmod(F.xxhash64("id", F.lit("toxicity rate")), F.lit(1 << 30)) < F.col("rate") * float(1 << 30)
-    ).select("id", placed["label"], placed["lang"])
-    sample = thinned.withColumn("place", within).where(F.col("place") <= most).select("id", "label")
+    ).select("id", placed["label"], placed["lang"], "most")
+    sample = thinned.withColumn("place", within).where(F.col("place") <= F.col("most")).select("id", "label")
     # At most rows_per_label (or LEAST_ROWS a language) ids of each label.
     texts = docs.select(F.col(id_col).alias("id"), whole_texts(F.col(text_col)).alias("text"), F.col(lang_col).alias("lang"))
     rows = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min(F.struct("text", "lang")).alias("d"))
