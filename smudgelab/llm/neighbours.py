@@ -4,8 +4,10 @@ A pseudo-rotation (three rounds of random signs and a fast Hadamard transform) i
 applied to unit vectors; a vector's hash is the signed axis nearest to it. Several
 rotations give several tables. A query looks into the buckets of its nearest axes in each
 table (multiprobe), and what lies there is ranked by its exact inner product. Where
-lengths differ, a coordinate is added that makes all vectors equally long and leaves
-inner products with queries as they are, so the largest product is the smallest angle.
+lengths differ, vectors are filed in rings of similar length, and a coordinate is added that makes
+all vectors of a ring equally long and leaves inner products with queries as they are, so within a
+ring the largest product is the smallest angle; a query looks into every ring. Queries that meet
+fewer candidates than they want are compared with all vectors, block by block.
 
 Equal vectors are one candidate with the smallest ids of its rows, so a vector that a
 third of all rows share costs one. Buckets are cut into blocks of bounded size by a
@@ -31,10 +33,16 @@ from smudgelab.llm.common import bounded_batches, stored
 #: Tables, and probes per table as a share of its buckets.
 TABLES = 12
 PROBE_SHARE = 10 / 128
+#: Lengths of a ring differ by this factor at most.
+RING = 1.2
 #: Vectors of a bucket that one task compares at once.
 BLOCK = 8192
 
 
+#: What tells blocks of vectors apart.
+FILED = ("table", "ring", "bucket", "block")
+
+
 class Rotations:
     """Pseudo-rotations of padded vectors, one per table."""
 
@@ -81,8 +89,24 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(-1, dimension)
 
 
-def _filed(rotations: Rotations, dimension: int, longest: float, lift: bool, probes: int):
-    """Rows (table, bucket, query, rep, vector): once as a point, and as a query if it is one."""
+def _ring_of(norm: np.ndarray, longest: float) -> np.ndarray:
+    """0 for the longest vectors, one more for every factor ``RING``."""
+    return np.maximum(0, np.floor(np.log(longest / norm) / np.log(RING) + 1e-9)).astype(np.int32)
+
+
+def _rings(dimension: int, longest: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                norm = np.linalg.norm(_matrix(batch.column("vector"), dimension), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_ring_of(norm, longest)))], ["ring"])
+
+    return run
+
+
+def _filed(rotations: Rotations, dimension: int, longest: float, rings: list[int], probes: int):
+    """Rows (table, ring, bucket, query, rep, vector): once as a point, and in each ring as a query
+    if it is one. Without rings all vectors are equally long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,29 +115,30 @@ def _filed(rotations: Rotations, dimension: int, longest: float, lift: bool, pro
             vectors = _matrix(batch.column("vector"), dimension)
             norm = np.linalg.norm(vectors, axis=1)
             unit = vectors / norm[:, None]
-            point = unit
-            if lift:
-                rest = np.sqrt(np.maximum(0.0, 1.0 - (norm / longest) ** 2))
-                point = np.column_stack((vectors / longest, rest))
+            point, ring = unit, np.zeros(len(unit), dtype=np.int32)
+            if rings:
+                ring = _ring_of(norm, longest)
+                top = longest / RING**ring
+                rest = np.sqrt(np.maximum(0.0, 1.0 - (norm / top) ** 2))
+                point = np.column_stack((vectors / top[:, None], rest))
                 unit = np.column_stack((unit, np.zeros(len(unit))))
             asks = np.flatnonzero(batch.column("asks").to_numpy(zero_copy_only=False))
+            every = np.array(rings or [0], dtype=np.int32)
             for table in range(len(rotations.signs)):
-                rows = [np.arange(len(vectors)), np.repeat(asks, probes)]
-                buckets = [
-                    rotations.axes(point, table, 1)[:, 0],
-                    rotations.axes(unit[asks], table, probes).ravel() if len(asks) else np.empty(0),
-                ]
-                row = np.concatenate(rows)
+                probed = rotations.axes(unit[asks], table, probes).ravel() if len(asks) else np.empty(0)
+                row = np.concatenate([np.arange(len(vectors)), np.tile(np.repeat(asks, probes), len(every))])
+                buckets = np.concatenate([rotations.axes(point, table, 1)[:, 0], np.tile(probed, len(every))])
                 chosen = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(row), table, dtype=np.int32)),
-                        pa.array(np.concatenate(buckets).astype(np.int32)),
+                        pa.array(np.concatenate([ring, np.repeat(every, len(probed))])),
+                        pa.array(buckets.astype(np.int32)),
                         pa.array(np.arange(len(row)) >= len(vectors)),
                         batch.column("rep").take(chosen),
                         batch.column("vector").take(chosen),
                     ],
-                    ["table", "bucket", "query", "rep", "vector"],
+                    ["table", "ring", "bucket", "query", "rep", "vector"],
                 )
 
     return run
@@ -142,7 +167,7 @@ def _ranked(dimension: int, k: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = [batch.column(c).to_numpy() for c in ("table", "bucket", "block")]
+            keys = [batch.column(c).to_numpy() for c in FILED]
             asks = batch.column("query").to_numpy(zero_copy_only=False)
             rep = batch.column("rep").to_numpy()
             vectors = _matrix(batch.column("vector"), dimension)
@@ -216,40 +241,39 @@ def search(
     norms = points.agg(F.min(squares), F.max(squares)).first()
     longest = float(norms[1]) ** 0.5
     lift = norms[1] - norms[0] > 1e-6 * norms[1]
+    rings = []
+    if lift:
+        found = points.select("vector").mapInArrow(_rings(dimension, longest), "ring int").distinct()
+        rings = sorted(r["ring"] for r in found.collect())  # lengths of doubles make some thousands at most
     rotations = Rotations(dimension + lift, tables)
     probes = max(1, round(2 * rotations.width * probe_share))
     vector_type = points.schema["vector"].dataType.simpleString()
     filed = points.select("rep", "vector", "asks").mapInArrow(
-        _filed(rotations, dimension, longest, lift, probes),
-        f"table int, bucket int, query boolean, rep long, vector {vector_type}",
+        _filed(rotations, dimension, longest, rings, probes),
+        f"table int, ring int, bucket int, query boolean, rep long, vector {vector_type}",
     )
     filed = stored(filed, "filed")
-    # At most tables x axes rows, so this may go to every executor.
+    # At most tables x rings x axes rows, so this may go to every executor.
     blocks = (
-        filed.where("not query").groupBy("table", "bucket").count()
-        .select("table", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+        filed.where("not query").groupBy("table", "ring", "bucket").count()
+        .select("table", "ring", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     )
-    own = F.array(F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = (
-        filed.join(F.broadcast(blocks), ["table", "bucket"])
-        .withColumn("block", F.explode(F.when(F.col("query"), every).otherwise(own)))
-        .select("table", "bucket", "block", "query", "rep", "vector")
-        .repartition("table", "bucket", "block")
-        .sortWithinPartitions("table", "bucket", "block", "query")
-    )
-    found = dealt.mapInArrow(_ranked(dimension, k + 1), "query long, rep long, score double")
-    best_first = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    named = (
-        found.groupBy("query", "rep").agg(F.max("score").alias("score"))
-        .join(points.select("rep", "ids"), "rep")
-        .select("query", "score", F.explode("ids").alias("id"))
-        .groupBy("query", "id").agg(F.max("score").alias("score"))
-        .withColumn("place", F.row_number().over(best_first))
-        .where(F.col("place") <= k + 1)
-        .groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "id"))).alias("best"))
+    dealt = filed.join(F.broadcast(blocks), ["table", "ring", "bucket"])
+    lists = stored(_lists(dealt, points, dimension, k), "lists")
+    # Queries that met too few: all vectors, in blocks of bounded size.
+    short = points.where("asks").join(
+        lists.where(F.size("best") > k).select(F.col("query").alias("rep")), "rep", "left_anti"
     )
-    lists = stored(named.join(points.select(F.col("rep").alias("query"), "vector"), "query"), "lists")
+    short = stored(short.select("rep", "vector"), "short")
+    if not short.isEmpty():
+        whole = max(1, -(-points.count() // BLOCK))
+        same = [F.lit(0).alias(c) for c in ("table", "ring", "bucket")]
+        both = points.select(*same, F.lit(False).alias("query"), "rep", "vector").unionByName(
+            short.select(*same, F.lit(True).alias("query"), "rep", "vector")
+        )
+        exact = _lists(both.withColumn("blocks", F.lit(whole)), points, dimension, k)
+        lists = lists.join(short.select(F.col("rep").alias("query")), "query", "left_anti").unionByName(exact)
+    lists = lists.join(points.select(F.col("rep").alias("query"), "vector"), "query")
     answered = rows.where("asks").select("id", "vector").distinct().join(lists, "vector").select(
         F.col("id").alias("query_id"),
         F.posexplode(F.slice(F.filter("best", lambda b: b["id"] != F.col("id")), 1, k)).alias("at", "b"),
@@ -262,3 +286,26 @@ def search(
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "id", "score")
     )
+
+
+def _lists(dealt: DataFrame, points: DataFrame, dimension: int, k: int) -> DataFrame:
+    """(query, best): the k + 1 best ids of each query over the blocks it was dealt to."""
+    own = F.array(F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    placed = (
+        dealt.withColumn("block", F.explode(F.when(F.col("query"), every).otherwise(own)))
+        .select(*FILED, "query", "rep", "vector")
+        .repartition(*FILED)
+        .sortWithinPartitions(*FILED, "query")
+    )
+    found = placed.mapInArrow(_ranked(dimension, k + 1), "query long, rep long, score double")
+    best_first = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return (
+        found.groupBy("query", "rep").agg(F.max("score").alias("score"))
+        .join(points.select("rep", "ids"), "rep")
+        .select("query", "score", F.explode("ids").alias("id"))
+        .groupBy("query", "id").agg(F.max("score").alias("score"))
+        .withColumn("place", F.row_number().over(best_first))
+        .where(F.col("place") <= k + 1)
+        .groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "id"))).alias("best"))
+    )

@@ -36,6 +36,34 @@ def test_recall_for_unequal_lengths_and_any_block(spark, monkeypatch, block):
     assert len(got) == 15 and hits >= 0.9 * 75
 
 
+@pytest.mark.parametrize("lengths", ["outlier", "log-normal", "one direction"])
+def test_recall_and_whole_lists_for_any_lengths(spark, lengths):
+    draw = np.random.default_rng(3)
+    vectors = draw.normal(size=(400, 32))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    if lengths == "outlier":
+        vectors[0] *= 100
+    elif lengths == "log-normal":
+        vectors *= np.exp(0.5 * draw.normal(size=(400, 1)))
+    else:  # a query far from all others meets few candidates
+        vectors[:, 0] += 6
+        vectors[0] *= -1
+    rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got: dict[int, list[int]] = {}
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert set(got) == set(range(0, 400, 20)) and all(len(found) == 20 for found in got.values())
+    hits = sum(len(set(_exact(rows, q, 20)) & set(found)) for q, found in got.items())
+    assert hits >= 0.9 * 20 * len(got)
+
+
+def test_fewer_candidates_than_wanted_are_all_returned(spark):
+    rows = [(i, [float(i % 3 - 1), float(i % 5 - 2), 1.0, 0.0], 0) for i in range(12)]
+    found = neighbours.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0, k=20).collect()
+    assert sorted(r["id"] for r in found) == list(range(1, 12))
+
+
 def test_copies_ties_and_rows_that_take_no_part(spark):
     one, two = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
     rows = [(i, one, 0) for i in range(40)] + [
