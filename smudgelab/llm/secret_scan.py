@@ -29,7 +29,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smudgelab.llm.common import sampled, whole_texts, without
+from smudgelab.llm.common import fresh_name, sampled, whole_texts, without
 
 #: Fixed kinds in their order: pattern, group that must be long enough, its least length.
 KINDS = {
@@ -202,6 +202,8 @@ def _mean_ratio(text: Column, ratios: Iterable[float]) -> Column:
     return F.aggregate(cells, F.lit(0.0), lambda s, c: s + F.get(table, c)) / F.size(cells)
 
 
+#: Elements that are scanned in one go, and code points that a text is cut into.
+RUN, CHUNK = 64, 4096
 PLACES = "array<struct<start:int,end:int>>"
 
 
@@ -228,19 +230,61 @@ def _merged(places: Column, gap: int) -> Column:
     return F.aggregate(places, start, add, closed)
 
 
+def _scanned(values: Column, start: int, step: Callable[[Column, Column], Column]) -> Column:
+    """For each element what ``step`` makes of those before it, beginning with ``start``.
+
+    Elements are taken in runs of ``RUN``, and runs put together after, so the work is
+    nearly linear: an array that grows by one is copied for every element.
+    """
+
+    def scan(xs: Column) -> Column:
+        empty = F.struct(F.lit(start).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(
+            xs,
+            empty,
+            lambda acc, x: F.struct(
+                step(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")
+            ),
+            lambda acc: acc["out"],
+        )
+
+    def whole(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(start), lambda acc, x: step(acc, x).cast("int"))
+
+    def runs(xs: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.greatest((F.size(xs) - 1), F.lit(0)).cast("int"), F.lit(RUN))
+        return F.transform(firsts, lambda i: F.slice(xs, i + 1, F.lit(RUN)))
+
+    def joined(parts: Column) -> Column:
+        before = scan(F.transform(parts, whole))
+        inside = F.transform(parts, scan)
+        return F.flatten(F.zip_with(inside, before, lambda p, b: F.transform(p, lambda x: step(x, b).cast("int"))))
+
+    return _let(values, lambda xs: _let(runs(xs), joined))
+
+
+def _cut(text: Column) -> Column:
+    """A text in chunks of ``CHUNK`` code points, so that pieces of it are cut from near by."""
+    firsts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(CHUNK))
+    return F.transform(firsts, lambda i: F.substring(text, i + 1, F.lit(CHUNK)))
+
+
+def _piece(chunks: Column, start: Column, length: Column) -> Column:
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor((start + length) / CHUNK).cast("int")
+    near = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+    return F.when(length > 0, F.substring(near, start - first * CHUNK + 1, length)).otherwise(F.lit(""))
+
+
 def _pieces(run: Column) -> Column:
     """Places of the pieces between separators."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
 
-    def add(acc: Column, piece: Column) -> Column:
-        end = (acc["at"] + F.length(piece)).cast("int")
-        place = F.array(_place(acc["at"], end))
-        return F.struct(
-            (end + 1).alias("at"),
-            F.when(F.length(piece) > 0, F.concat(acc["out"], place)).otherwise(acc["out"]).alias("out"),
-        )
+    def placed(parts: Column) -> Column:
+        lengths = F.transform(parts, F.length)
+        starts = _scanned(F.transform(lengths, lambda n: n + 1), 0, lambda a, x: a + x)
+        places = F.zip_with(starts, lengths, lambda at, n: _place(at, at + n))
+        return F.filter(places, lambda p: p["end"] > p["start"])
 
-    return F.aggregate(F.split(run, SEPARATORS, -1), start, add, lambda acc: acc["out"])
+    return _let(F.split(run, SEPARATORS, -1), placed)
 
 
 def _random_places(run: Column, model: Model) -> Column:
@@ -274,18 +318,25 @@ def _random_places(run: Column, model: Model) -> Column:
     return F.when(random(run), whole).otherwise(_let(_let(_bigrams(run), hits), touched))
 
 
-def _blanked(text: Column, spans: Column) -> Column:
-    """``text`` with spaces in place of the spans, which come in order."""
+def _replaced(text: Column, spans: Column, mark: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with ``mark(span, end of the spans before it)`` in place of the spans, which come in order."""
+
+    def written(chunks: Column, ends: Column) -> Column:
+        def part(s: Column, before: Column) -> Column:
+            return F.concat(_piece(chunks, before, F.greatest(s["start"] - before, F.lit(0))), mark(s, before))
 
-    def add(acc: Column, s: Column) -> Column:
-        begin = F.greatest(acc["at"], s["start"])
-        piece = F.substring(text, acc["at"] + 1, begin - acc["at"])
-        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - begin, F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece, blank).alias("out"))
+        last = F.greatest(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
+        rest = _piece(chunks, last, F.greatest(F.length(text) - last, F.lit(0)))
+        return F.concat(F.array_join(F.zip_with(spans, ends, part), ""), rest)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(
-        spans, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    ends = _scanned(F.transform(spans, lambda s: s["end"]), 0, lambda a, x: F.greatest(a, x))
+    return _let(_cut(text), lambda chunks: _let(ends, lambda e: written(chunks, e)))
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of the spans."""
+    return _replaced(
+        text, spans, lambda s, before: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(before, s["start"]), F.lit(0)))
     )
 
 
@@ -293,25 +344,25 @@ def _spans(text: Column, pattern: str, kind: int, places: Callable[[Column], Col
     """(start, kind, end) of the places in each match, from the pieces around the matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     between = F.transform(F.split(text, pattern, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["match"])
-        spans = F.transform(
-            places(x["match"]),
-            lambda p: F.struct(
-                (begin + p["start"]).alias("start"), F.lit(kind).alias("kind"), (begin + p["end"]).alias("end")
-            ),
-        )
-        return F.struct(end.alias("at"), F.concat(acc["out"], spans).alias("out"))
 
-    both = F.zip_with(
-        found,
-        F.slice(between, 1, F.size(found)),
-        lambda m, g: F.struct(m.alias("match"), g.alias("gap")),
-    )
-    return F.aggregate(both, start, add, lambda acc: acc["out"])
+    def moved(both: Column) -> Column:
+        begins = _scanned(F.transform(both, lambda x: x["gap"] + F.length(x["match"])), 0, lambda a, x: a + x)
+
+        def spans(x: Column, at: Column) -> Column:
+            begin = at + x["gap"]
+            return F.transform(
+                places(x["match"]),
+                lambda p: F.struct(
+                    (begin + p["start"]).alias("start"), F.lit(kind).alias("kind"), (begin + p["end"]).alias("end")
+                ),
+            )
+
+        return F.flatten(F.zip_with(both, begins, spans))
+
+    matches = _let(found, lambda f: F.zip_with(
+        f, F.slice(between, 1, F.size(f)), lambda m, g: F.struct(m.alias("match"), g.alias("gap"))
+    ))
+    return _let(matches, moved)
 
 
 NO_SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -332,14 +383,16 @@ def find(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             whole = F.array(_place(F.lit(0), F.length(match)))
             return F.when(passes, whole).otherwise(F.array().cast(PLACES))
         fixed.append(F.when(text.rlike(HINTS[name]), _spans(text, pattern, kind, places)).otherwise(none))
-    found = df.withColumn("_fixed", F.array_sort(F.concat(*fixed)))
-    found = found.withColumn("_rest", F.when(F.size("_fixed") > 0, _blanked(text, F.col("_fixed"))).otherwise(text))
+    own = fresh_name(df.columns, "_fixed")
+    rest = fresh_name(df.columns, "_rest")
+    found = df.withColumn(own, F.array_sort(F.concat(*fixed)))
+    found = found.withColumn(rest, F.when(F.size(own) > 0, _blanked(text, F.col(own))).otherwise(text))
     random = F.when(
-        F.col("_rest").rlike(CANDIDATE),
-        _spans(F.col("_rest"), CANDIDATE, len(KINDS), lambda run: _random_places(run, model)),
+        F.col(rest).rlike(CANDIDATE),
+        _spans(F.col(rest), CANDIDATE, len(KINDS), lambda run: _random_places(run, model)),
     ).otherwise(none)
-    found = found.withColumn("spans", F.array_sort(F.concat("_fixed", random)))
-    return found.drop("_fixed", "_rest")
+    found = found.withColumn("spans", F.array_sort(F.concat(own, random)))
+    return found.drop(own, rest)
 
 
 def described(spans: Column) -> Column:
@@ -357,14 +410,7 @@ def described(spans: Column) -> Column:
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``df`` (with ``spans``) with every span of the text replaced by ``mark``."""
     text = F.col(text_col)
-
-    def add(acc: Column, s: Column) -> Column:
-        piece = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        marked = F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), marked.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cleaned = F.aggregate(
-        "spans", start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    cleaned = _replaced(
+        text, F.col("spans"), lambda s, before: F.when(s["start"] >= before, F.lit(mark)).otherwise(F.lit(""))
     )
     return df.withColumn(text_col, F.when(F.size("spans") > 0, cleaned).otherwise(text))

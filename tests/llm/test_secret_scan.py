@@ -4,6 +4,7 @@ import base64
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from smudgelab.llm import secret_scan
 
@@ -16,8 +17,6 @@ def model(spark):
 
 def _found(spark, model, *texts):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    from pyspark.sql import functions as F
-
     rows = secret_scan.find(df, model).select("id", secret_scan.described(F.col("spans")).alias("s")).collect()
     return [r["s"] for r in sorted(rows, key=lambda r: r["id"])]
 
@@ -89,3 +88,37 @@ def test_a_key_joined_to_words_is_reported_whole(spark, model):
             whole += any(s["start"] <= start and s["end"] >= end for s in rows[i + at]["spans"])
         assert whole >= 27
     assert _found(spark, model, path, path.replace("/", "_")) == ["", ""]
+
+
+def test_running_values_over_many_runs(spark):
+    values = [(i * 7919) % 23 for i in range(1000)]
+    df = spark.createDataFrame([(values,), (values[:64],), (values[:1],), ([],)], "v array<int>")
+    got = [
+        (r["v"], r["sums"], r["tops"])
+        for r in df.select(
+            "v",
+            secret_scan._scanned(F.col("v"), 0, lambda a, x: a + x).alias("sums"),
+            secret_scan._scanned(F.col("v"), 0, lambda a, x: F.greatest(a, x)).alias("tops"),
+        ).collect()
+    ]
+    for v, sums, tops in got:
+        assert sums == [sum(v[:i]) for i in range(len(v))]
+        assert tops == [max(v[:i], default=0) for i in range(len(v))]
+
+
+def test_text_of_very_many_spans(spark, model):
+    parts = []
+    for i in range(6000):
+        secret = hashlib.sha256(str(i).encode()).hexdigest()
+        parts.append(("password=" + secret[:20], f"🙂 {secret[:24]}", "AKIA" + secret[:18].upper(), "plain words")[i % 4])
+    text = "\n".join(parts)
+    df = spark.createDataFrame([(text,)], "text string").withColumns({"_fixed": F.lit(1), "_rest": F.lit(2)})
+    found = secret_scan.redact(secret_scan.find(df, model).withColumn("whole", F.col("text")))
+    row = found.select("text", "whole", "spans", "_fixed", "_rest").first()
+    assert (row["_fixed"], row["_rest"]) == (1, 2) and len(row["spans"]) >= 4500
+    out, at = [], 0
+    for s in row["spans"]:
+        if s["start"] >= at:
+            out += [row["whole"][at : s["start"]], "[SECRET]"]
+        at = max(at, s["end"])
+    assert row["text"] == "".join(out) + row["whole"][at:]
