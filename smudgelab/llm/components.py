@@ -3,8 +3,8 @@
 Rounds of two star operations: every node hands its larger (then its smaller)
 neighbours to the smallest node it knows, until all edges point to the smallest node of
 their component. A node's minimum is a pre-aggregated ``min``; neighbours are never
-gathered, so a node with a third of all edges is only a skewed join, which adaptive
-execution splits. The edges of a round are written to the shared folder.
+gathered. The few nodes with more than a ``HUBS``-th of all edges get their minimum by broadcast, so a
+node with a third of them is no hot key of a join. The edges of a round are written to the shared folder.
 
 Defined results: no edges give no rows; loops, repeated edges and edges with a null end
 change nothing.
@@ -19,22 +19,28 @@ from smudgelab.llm.common import stored
 
 #: Each round at least halves the length of paths, so this covers any graph in practice.
 MOST_ROUNDS = 60
+#: A node with more than this part of all edges is a hub.
+HUBS = 1000
 
 
-def _to_minimum(edges: DataFrame) -> DataFrame:
-    """(a, b) with each a's smallest b added as column ``least``."""
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
-    return edges.join(least, "a")
+def _to_minimum(edges: DataFrame, total: int) -> DataFrame:
+    """(a, b) with each a's smallest b added as column ``least``; ``total``: the number of edges."""
+    found = edges.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
+    is_hub = F.col("n") * HUBS > total  # so there are fewer than HUBS of them
+    hubs = F.broadcast(found.where(is_hub).select("a", "least"))
+    of_hubs = edges.join(hubs, "a")
+    others = edges.join(hubs.select("a"), "a", "left_anti").join(found.where(~is_hub).select("a", "least"), "a")
+    return of_hubs.unionByName(others)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-    linked = _to_minimum(both).withColumn("least", F.least("least", "a"))
+    linked = _to_minimum(both, 2 * total).withColumn("least", F.least("least", "a"))
     return linked.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    linked = _to_minimum(edges)
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    linked = _to_minimum(edges, total)
     pairs = F.array(
         F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b"))
     )
@@ -57,5 +63,6 @@ def roots(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
-        current = stored(_small_star(_large_star(current)), "edges")
+        # The large star keeps the number of edges.
+        current = stored(_small_star(_large_star(current, state[0]), state[0]), "edges")
     raise RuntimeError(f"components not found after {MOST_ROUNDS} rounds")
