@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from smudgelab import spec as S
 from smudgelab.operators.lookup import lookup_join
-from smudgelab.operators.columns import column_modes, label_codes, one_hot
+from smudgelab.operators.columns import column_modes, label_codes
 from smudgelab.operators.planar import mirror, project_2d
 from smudgelab.operators.subsets import flag_corrupted, keep_first, test_side
 
@@ -21,7 +21,6 @@ FLIPS = {"FLIP_HOR": (True, False), "FLIP_VER": (False, True), "FLIP_BOTH": (Tru
 def raw_vectors(test_rows: DataFrame, dataset: S.DatasetSpec) -> DataFrame:
     """(row_id, embedding): mode-filled features, categories one-hot encoded."""
     modes = {r["column"]: r["mode"] for r in column_modes(test_rows, dataset.features).collect()}
-    columns: list[Column] = []
     filled = test_rows.withColumns(
         {
             c: F.coalesce(F.col(c).cast(kind), F.lit(modes.get(c)).cast(kind))
@@ -29,14 +28,19 @@ def raw_vectors(test_rows: DataFrame, dataset: S.DatasetSpec) -> DataFrame:
             for c in names
         }
     )
-    columns += [F.col(c) for c in dataset.numeric]
+    parts = [F.array(*[F.col(c) for c in dataset.numeric]).cast("array<double>")]
     for c in dataset.categorical:
-        values = sorted(r[0] for r in filled.select(c).distinct().where(F.col(c).isNotNull()).collect())
-        filled = one_hot(filled.withColumn(f"{c}__raw", F.col(c)), f"{c}__raw", values)
-        columns += [F.col(f"`{c}__raw_{v}`").cast("double") for v in values]
-    return filled.select(
-        F.col(dataset.key).cast("string").alias("row_id"), F.array(*columns).alias("embedding")
-    )
+        code = f"code__{c}"
+        codes = label_codes(filled, c, code)
+        size = codes.count()  # the values themselves stay where they are
+        filled = lookup_join(filled, codes, [c])
+        if size:
+            parts.append(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), _is_code(F.col(code))))
+    return filled.select(F.col(dataset.key).cast("string").alias("row_id"), F.concat(*parts).alias("embedding"))
+
+
+def _is_code(code: Column) -> Callable[[Column], Column]:
+    return lambda i: F.coalesce((i == code).cast("double"), F.lit(0.0))
 
 
 def planar_view(
