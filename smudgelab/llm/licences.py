@@ -1,7 +1,9 @@
 """Licence scans: a trained paragraph classifier, confirmed by licence templates.
 
-A paragraph is a line with a word. Its features are hashed word n-grams (words and pairs of
-neighbours) that occur in licence templates; a multinomial logistic regression over them tells
+A paragraph is a line with a word, or several neighbouring lines put together, comment marks taken
+off: notices are often wrapped. Lines are told one by one; around a line with a licence word that is no
+notice of a family by itself, the lines near it are told together. Features are hashed word n-grams (words
+and pairs of neighbours) that occur in licence templates; a multinomial logistic regression over them tells
 the licence family, another licence, or that the paragraph is none. It is trained on variants of the
 templates (words dropped, holders and neighbours added) and on paragraphs of a bounded sample of
 documents that hold no licence word. A paragraph that is a licence but whose best family is less
@@ -12,7 +14,8 @@ only if the paragraph holds most words of one of its templates, else it is ``unk
 Everything is SQL functions over each text where it lies: no shuffle. Weights are one array per
 family, of the size of the hash table, whatever the input.
 
-Defined results: null and empty texts have no paragraphs; repeated paragraphs all count; without
+Defined results: null and empty texts have no paragraphs; repeated paragraphs all count, but a family that
+lines near by tell together counts once within ``NEAR`` lines, and their fragments don't count; without
 documents the classifier learns from its own sentences. Columns that clash with the added ones
 are replaced.
 """
@@ -27,7 +30,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smudgelab.llm.common import sampled, stored, whole_texts, without
+from smudgelab.llm.common import fresh_name, sampled, stored, whole_texts, without
 
 #: Licence notices by family (fixed values).
 TEMPLATES = {
@@ -122,6 +125,15 @@ CONFIRMED = 0.7
 LICENCE_WORDS = r"(?i)licen[cs]e|copyright|rights reserved|public domain|creative commons|spdx|redistribut"
 
 
+#: Lines around which others are told together, lines before and lines in all, and how near by
+#: two notices are one.
+HINTS = r"(?i)licen[cs]|copyright|hereby granted|redistribut|warrant|public domain|without restriction"
+BEFORE, TOGETHER = 4, 14
+NEAR = TOGETHER - 1
+#: Marks of comments at the ends of a line.
+MARKS = r"^[\s/#*;!%>\-]+|[\s*/]+$"
+
+
 @dataclass(frozen=True)
 class Model:
     """Weights per class (families, unknown, none) over the table, and the family threshold."""
@@ -255,15 +267,8 @@ def _told(places: Column, model: Model) -> Column:
     return _let(logits, shares)
 
 
-def scan(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` with ``licences``: (paragraph, family, probability, likeness) of each notice.
-
-    Paragraphs count from 0 over the lines with a word; family is one of ``FAMILIES`` or
-    ``unknown``; likeness is the share of a template's words that the paragraph holds.
-    """
-    df = without(df, "licences")
-    used = sorted({i for row in model.weights for i in row})
-    flags = _literal([int(i in set(used)) for i in range(TABLE)], "int")
+def _notices(candidates: Column, model: Model) -> Column:
+    """(paragraph, family, probability, likeness) of candidates (paragraph, words, at) that are no plain text."""
     templates = F.array(
         *[
             F.array(*[F.array_distinct(words_of(F.lit(t))) for t in TEMPLATES[family]])
@@ -271,21 +276,6 @@ def scan(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         ]
     )
     names = F.array(*map(F.lit, FAMILIES))
-    # First every paragraph's features that have a weight: hardly any paragraph has many.
-    lines = F.transform(
-        paragraphs(whole_texts(F.col(text_col))),
-        lambda p, i: _let(
-            words_of(p),
-            lambda w: F.struct(
-                i.cast("int").alias("paragraph"),
-                w.alias("words"),
-                F.array_distinct(F.filter(features(w), lambda f: F.get(flags, f) == 1)).alias("at"),
-            ),
-        ),
-    )
-    found = df.withColumn("_lines", F.filter(lines, lambda x: F.size(x["at"]) > 0))
-    told = F.transform("_lines", lambda x: F.struct(x["paragraph"], x["words"], _told(x["at"], model).alias("t")))
-    found = found.withColumn("_told", F.filter(told, lambda x: x["t"]["none"] < 0.5))
 
     def likeness(x: Column) -> Column:
         return F.array_max(
@@ -295,9 +285,8 @@ def scan(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             )
         )
 
-    notices = F.transform(
-        "_told",
-        lambda x: _let(
+    def notice(x: Column) -> Column:
+        return _let(
             likeness(x),
             lambda like: F.struct(
                 x["paragraph"],
@@ -306,6 +295,66 @@ def scan(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 (1 - x["t"]["none"]).alias("probability"),
                 like.alias("likeness"),
             ),
+        )
+
+    told = F.transform(candidates, lambda x: F.struct(x["paragraph"], x["words"], _told(x["at"], model).alias("t")))
+    return F.transform(F.filter(told, lambda x: x["t"]["none"] < 0.5), notice)
+
+
+def scan(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``df`` with ``licences``: (paragraph, family, probability, likeness) of each notice, in order.
+
+    Paragraphs count from 0 over the lines with a word, and a notice of several lines has the number of the
+    line that hinted at it; family is one of ``FAMILIES`` or ``unknown``; likeness is the share of a template's
+    words that the paragraph holds.
+    """
+    text = whole_texts(F.col(text_col))
+    df = without(df, "licences")
+    used = sorted({i for row in model.weights for i in row})
+    flags = _literal([int(i in set(used)) for i in range(TABLE)], "int")
+
+    def candidate(place: Column, words: Column) -> Column:
+        at = F.array_distinct(F.filter(features(words), lambda f: F.get(flags, f) == 1))
+        return F.struct(place.cast("int").alias("paragraph"), words.alias("words"), at.alias("at"))
+
+    lines, single, wide = (fresh_name(df.columns, f"_{n}") for n in ("lines", "single", "wide"))
+    found = df.withColumn(lines, paragraphs(text))
+    # First every line's features that have a weight: hardly any line has many.
+    each = F.transform(lines, lambda p, i: _let(words_of(p), lambda w: candidate(i, w)))
+    found = found.withColumn(single, F.filter(each, lambda x: F.size(x["at"]) > 0))
+    found = found.withColumn(single, _notices(F.col(single), model))
+
+    def told_alone(place: Column) -> Column:
+        return F.exists(single, lambda n: (n["paragraph"] == place) & (n["family"] != UNKNOWN))
+
+    def together(place: Column) -> Column:
+        near = F.slice(F.col(lines), F.greatest(place - BEFORE, F.lit(0)) + 1, F.lit(TOGETHER))
+        joined = F.array_join(F.transform(near, lambda p: F.regexp_replace(p, MARKS, " ")), " ")
+        return _let(words_of(joined), lambda w: candidate(place, w))
+
+    places = F.filter(
+        F.transform(lines, lambda p, i: F.when(p.rlike(HINTS), i).otherwise(F.lit(-1))),
+        lambda i: (i >= 0) & ~told_alone(i),
+    )
+    none = F.filter(single, lambda n: F.lit(False))
+    around = F.when(text.rlike(HINTS), _notices(F.transform(places, together), model)).otherwise(none)
+    found = found.withColumn(wide, F.filter(around, lambda n: n["family"] != UNKNOWN))
+
+    def near_by(a: Column, b: Column) -> Column:
+        return F.abs(a["paragraph"] - b["paragraph"]) <= NEAR
+
+    # Of the notices that say the same near by, the first; none where a line says so by itself.
+    alone = F.filter(
+        wide,
+        lambda n: ~F.exists(single, lambda x: (x["family"] == n["family"]) & near_by(x, n)),
+    )
+    found = found.withColumn(wide, alone)
+    firsts = F.filter(
+        wide,
+        lambda n, k: ~F.exists(
+            F.slice(F.col(wide), 1, k), lambda x: (x["family"] == n["family"]) & near_by(x, n)
         ),
     )
-    return found.withColumn("licences", notices).drop("_lines", "_told")
+    found = found.withColumn(wide, firsts)
+    whole = F.filter(single, lambda n: (n["family"] != UNKNOWN) | ~F.exists(wide, lambda x: near_by(x, n)))
+    return found.withColumn("licences", F.array_sort(F.concat(whole, wide))).drop(lines, single, wide)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -244,3 +245,74 @@ def test_internal_names_may_be_columns(spark, awkward):
     model = langid.fit(awkward)
     got = langid.identify(awkward.selectExpr("*", "1 AS _found"), model).collect()
     assert {r["_found"] for r in got} == {1}
+
+
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.""",
+    "gpl": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+}
+PROSE = "The ship left in the morning\nand nobody on the pier\nhad an idea of the weather\nthat the next day would bring\n"
+
+
+def test_wrapped_notices_are_told_together(spark, documents):
+    rows, want = [], {}
+    for family, text in WRAPPED.items():
+        for mark, end in (("", ""), ("# ", ""), (" * ", ""), ("// ", ""), ("/* ", " */")):
+            for before in ("", PROSE * 5):
+                body = "\n".join(f"{mark}{line}{end}" for line in text.split("\n"))
+                rows.append((len(rows), f"{before}{body}\n{PROSE * 5}", "en", "a"))
+                want[rows[-1][0]] = [family]
+    rows.append((500, PROSE * 4 + "He had no licence to sail.\nThe copyright of the map was his.\n" + PROSE, "en", "a"))
+    rows.append((501, "\n".join([WRAPPED["mit"], PROSE * 6, "Licensed under CC BY 4.0.", PROSE * 6, WRAPPED["gpl"]]), "en", "a"))
+    rows.append((502, ("copyright and licences of ships\n" + PROSE) * 300, "en", "a"))
+    docs = documents(*rows).selectExpr("*", "1 AS _lines", "2 AS _wide", "3 AS _single")
+    found = {r["doc_id"]: r for r in licences.scan(docs, licences.train(docs)).collect()}
+    got = {i: [x["family"] for x in r["licences"]] for i, r in found.items()}
+    assert {i: got[i] for i in want} == want
+    assert got[500] == [] and got[502] == []
+    assert got[501] == ["mit", "cc-by", "gpl"]
+    places = [x["paragraph"] for x in found[501]["licences"]]
+    assert places == sorted(places)
+    assert {(r["_lines"], r["_wide"], r["_single"]) for r in found.values()} == {(1, 2, 3)}
+
+
+def _slow_told(model, words):
+    """Features, softmax and likeness of one paragraph in plain Python; the hash is Spark's own."""
+    z = [b + sum(row.get(i, 0.0) for i in words[1]) for row, b in zip(model.weights, model.bias, strict=True)]
+    powers = np.exp(np.array(z) - max(z))
+    n = len(licences.FAMILIES)
+    best = int(np.argmax(powers[:n]))
+    likeness = max(
+        len(t & set(words[0])) / len(t)
+        for t in (set(re.findall(r"[^\W_]+", x.lower())) for x in licences.TEMPLATES[licences.FAMILIES[best]])
+    )
+    share, none = powers[best] / powers[: n + 1].sum(), powers[n + 1] / powers.sum()
+    family = licences.FAMILIES[best] if share >= model.threshold and likeness >= licences.CONFIRMED else licences.UNKNOWN
+    return (none < 0.5, family, 1 - none, likeness)
+
+
+def test_notices_by_a_slow_version(spark, documents):
+    lines = [t for texts in licences.TEMPLATES.values() for t in texts] + list(licences.OTHER_NOTICES + licences.NO_NOTICES)
+    docs = documents(*[(i, t, "en", "a") for i, t in enumerate(lines)])
+    model = licences.train(docs)
+    words = licences.words_of(F.col("text"))
+    hashed = docs.select("doc_id", words.alias("w"), F.array_distinct(licences.features(words)).alias("at")).collect()
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(docs, model).collect()}
+    for r in hashed:
+        is_notice, family, probability, likeness = _slow_told(model, (r["w"], r["at"]))
+        found = [x for x in got[r["doc_id"]] if x["family"] != licences.UNKNOWN or is_notice]
+        assert [x["family"] for x in found] == ([family] if is_notice else [])
+        if is_notice:
+            assert np.isclose(found[0]["probability"], probability) and np.isclose(found[0]["likeness"], likeness)
