@@ -7,8 +7,8 @@ pooling), and a logistic layer gives the logit. All of it is trained in numpy on
 bounded, documented sample of labelled rows, drawn evenly over languages.
 
 Thresholds by language come from all labelled rows that did not teach: histograms of their logits by
-language and label, which merge by adding counts. A language's cut makes the fewest errors over its
-own rows and, as if ``PRIOR`` more rows lay there, those of all languages; so it counts by its size, and one
+language and label, which merge by adding counts. A language's cut gets the least shares of both labels
+wrong over its own rows and, as if ``PRIOR`` more rows lay there, those of all languages; so it counts by its size, and one
 without rows has the cut of all. Scores are shifted so that 0.5 is the cut. The language is read from the text: word
 counts of the sample, by language, in the same hashed rows. Language columns are never an input.
 
@@ -292,10 +292,12 @@ def rated(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFra
 
 
 def _cut(counts: np.ndarray) -> float:
-    """The logit of fewest errors of a histogram (label, cell); the middle of its range."""
-    below = np.concatenate((np.zeros((2, 1)), np.cumsum(counts, axis=1)), axis=1)
+    """The logit of a histogram (label, cell) where the shares of both labels on the wrong side add up
+    to least; the middle of its range."""
+    totals = np.maximum(counts.sum(axis=1, keepdims=True), 1e-9)
+    below = np.concatenate((np.zeros((2, 1)), np.cumsum(counts, axis=1)), axis=1) / totals
     errors = below[1] + below[0][-1] - below[0]
-    best = np.flatnonzero(errors <= errors.min() + 1e-9 * max(1.0, errors.max()))
+    best = np.flatnonzero(errors <= errors.min() + 1e-9)
     run = best[: 1 + int(np.argmax(np.append(np.diff(best) > 1, True)))]
     # Beyond the rows that were seen, no further than a step.
     some = np.flatnonzero(counts.sum(axis=0))

@@ -136,12 +136,12 @@ def test_languages_held_out(spark):
 
 
 def test_toxicity_of_held_out_documents(spark):
-    folder = SMALL.replace("0.001", "0.01")
+    folder = SMALL.replace("0.001", "0.1")  # smaller ones hold out a handful of toxic documents
     rows = QUERIES["op9_toxicity"](spark, folder).collect()
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     held = [(truth[r["doc_id"]], r["predicted"]) for r in rows if r["held_out"] and r["doc_id"] in truth]
-    for label, share in ((0, 0.9), (1, 0.6)):  # a constant answer misses one of them
+    for label, share in ((0, 0.97), (1, 0.75)):  # a constant answer misses one of them
         mine = [p for y, p in held if y == label]
         assert mine and sum(p == label for p in mine) >= share * len(mine)
