@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from smudgelab.functions.hashing import digest
-from smudgelab.operators.ranking import digest_rank
+from smudgelab.operators.ranking import biggest_group, digest_rank
 
 PART_ROWS = 10_000
 
 
 def in_parts(df: DataFrame, group: Sequence[str], key: Sequence[str], rows: int = PART_ROWS) -> DataFrame:
-    """Adds ``part``: at most ``rows`` rows of a group share one."""
+    """Adds ``part``: at most ``rows`` rows of a group share one. Rows are ranked only if some group needs parts."""
+    if biggest_group(df, group) <= rows:
+        return df.withColumn("part", F.lit(0).cast("bigint"))
     ranked = digest_rank(df.withColumn("d", digest(0, "part", *key)), "d", group)
     return ranked.withColumn("part", F.floor(F.col("pos") / rows).cast("bigint")).drop("d", "pos")
 

@@ -153,3 +153,13 @@ def test_lists_are_stored_in_bounded_parts(spark):
     assert {r["g"]: r["n"] for r in stored.groupBy("g").agg(F.count("*").alias("n")).collect()} == {"hot": 8, "cold": 2}
     back = stored.select("g", F.explode(text.test_side_rows(F.col("document"))).alias("id"))
     assert keys(back.where("g = 'hot'")) == list(range(1, 80, 2)) and keys(back.where("g = 'cold'")) == list(range(80, 95))
+
+
+def test_lists_that_fit_a_part_are_not_ranked(spark):
+    from smudgelab.operators import documents
+
+    df = spark.range(40).withColumn("g", F.col("id") % 4)
+    stored = documents.row_documents(df, ["g"], "id", F.lit(False), F.lit(False), rows=10)
+    assert "Window" not in stored._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["document"] for r in stored.collect()) == sorted(str(list(range(g, 40, 4))).replace(" ", "") for g in range(4))
+    assert {r["part"] for r in stored.collect()} == {0}
