@@ -93,3 +93,16 @@ def test_synthetic_rows_follow_the_columns(spark):
     assert made["a"].between(a.min(), a.max()).all()
     tight = synthesis.synthesize(df, ["a", "b"], 4, spread=0.5).toPandas()
     assert tight["a"].std() < 0.7 * made["a"].std()
+
+
+@pytest.mark.parametrize("used", [None, lambda c: F.col("id") % 2 == int(c == "b")])
+def test_projection_spelled_out_is_the_other_form(spark, monkeypatch, used):
+    df = spark.range(40).withColumns({"a": F.sin("id"), "b": F.cos("id"), "t": F.when(F.col("id") % 3 > 0, F.col("id") % 5).cast("string")})
+    known = F.coalesce(F.col("t") != "2", F.lit(False))
+    found = []
+    for terms in (256, 0):
+        monkeypatch.setattr(encoders, "SPELLED_TERMS", terms)
+        vector = encoders.projected({"a": F.col("a"), "b": F.col("b")}, {"t": (F.col("t"), known)}, 40, 3, used)
+        found.append([r[0] for r in df.select(vector).collect()])
+        assert ("lambda" in df.select(vector)._jdf.queryExecution().toString()) == (terms == 0)
+    assert found[0] == found[1]

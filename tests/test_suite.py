@@ -177,3 +177,14 @@ def test_damaged_cells_are_those_of_corrupt(spark, tmp_path):
         assert sorted(map(str, got.select("k", "split", *features).collect())) == sorted(
             map(str, expected.data.select("k", "split", *features).collect())
         )
+
+
+def test_exploded_rows_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suite, "TASK_ROWS", 100)
+    started = suite.OpenSweeps.start(
+        spark, [(toy(spark), TOY)], str(tmp_path), SEEDS, SETTINGS, suite.Caps(), suite.fit_groups, "embeddings_experiments"
+    )
+    sweep_ = started.sweeps[0]
+    rows = sweep_.side("test", sweep_.meaningful)
+    assert rows.count() == 48 * len(sweep_.meaningful)
+    assert rows.rdd.getNumPartitions() >= 48 * len(sweep_.meaningful) // 100
