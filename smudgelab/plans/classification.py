@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from smudgelab import spec as S
 from smudgelab.operators.encoders import FitPredictor
-from smudgelab.operators.lookup import join_pinned, lookup_join
+from smudgelab.operators.lookup import join_on, join_pinned, lookup_join
 from smudgelab.operators.newton import NO_FOLD, Fit, fit_many, pack
 from smudgelab.operators.probe import CODE_ROWS, probabilities
 from smudgelab.operators.sampling import prepare
@@ -40,10 +40,12 @@ WIDTH = 32
 #: Weight of half the squared coefficients (not the intercept) against the mean loss.
 STRENGTH = 0.01
 STATE = ["random_seed", "state"]
+#: Code of a test label that the train side does not show.
+UNKNOWN = -1
 
 
 def _scored(shared: Broadcast):
-    """Probabilities of the classes of a row's train side."""
+    """The code foretold by a row's train side, and the probabilities of the classes that are judged from ``first`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,15 +55,18 @@ def _scored(shared: Broadcast):
             for g in np.unique(gid):
                 at = np.flatnonzero(gid == g)
                 p = probabilities(np.vstack([flat[ends[i] : ends[i + 1]] for i in at]), shared.value[g])
+                predicted, first = p.argmax(axis=1), int(p.shape[1] == 2)
+                p = p[:, first:]
                 cuts = pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("experiment_id").take(pa.array(at)),
-                        batch.column("label").take(pa.array(at)),
-                        pa.array(np.full(len(at), g, dtype=np.int32)),
+                        batch.column("run").take(pa.array(at)),
+                        batch.column("code").take(pa.array(at)),
+                        pa.array(predicted, pa.int32()),
+                        pa.array(np.full(len(at), first, dtype=np.int32)),
                         pa.ListArray.from_arrays(cuts, pa.array(p.ravel())),
                     ],
-                    ["experiment_id", "label", "gid", "p"],
+                    ["run", "code", "predicted", "first", "p"],
                 )
 
     return run
@@ -98,30 +103,31 @@ def scores_of_table(sweep: TableSweep) -> DataFrame:
     for fit, own in zip(fits, fit_many(packed, fits, {f.gid: WIDTH + 1 for f in fits}), strict=True):
         weights.setdefault(fit.gid, []).append(own)
     shared = spark.sparkContext.broadcast({g: np.array(w) for g, w in weights.items()})
+    # Settings and classes go by number: their names would be most of what is stored and sorted.
+    gids = {(r["random_seed"], r["state"]): r["gid"] for r in numbered.to_pylist()}
+    judged = [(s, gids.get((s.seed, ":".join(map(str, s.on("train")))))) for s in sweep.meaningful]
+    judged = [(i, s.experiment_id, gid) for i, (s, gid) in enumerate(judged) if gid is not None]
+    runs = spark.createDataFrame(judged, "run int, experiment_id string, gid int")
     tested = encoder.transform(sweep.side("test", sweep.meaningful), sweep.used)
-    tested = tested.select("experiment_id", *STATE, label, F.col("embedding").alias("v")).where("label IS NOT NULL")
-    judged = lookup_join(tested, sides, STATE, "inner").select("experiment_id", "label", "gid", "v")
-    scored = judged.mapInArrow(_scored(shared), "experiment_id string, label string, gid int, p array<double>")
-    names = codes.join(sides.select(*STATE, "gid"), STATE).groupBy("gid").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("code", "label"))), lambda x: x["label"]).alias("names")
-    )
-    predicted = sweep.keep(lookup_join(scored, names, ["gid"], "inner"), "predictions")
-    return _scores(predicted)
-
-
-def _scores(predicted: DataFrame) -> DataFrame:
-    """From (experiment_id, label, p, names); see ``scores_of_table``."""
-    best = F.element_at("names", F.array_position("p", F.array_max("p")).cast("int"))
-    rows = predicted.withColumns({"prediction": best, "binary": F.size("names") == 2})
-    shown = F.filter(F.arrays_zip(F.col("names").alias("name"), F.col("p").alias("s")), lambda x: ~F.col("binary") | (x["name"] == F.get("names", F.lit(1))))
-    spread = rows.select("experiment_id", "label", F.explode(shown).alias("x")).select(
-        "experiment_id", F.col("x.name").alias("name"), F.col("x.s").alias("s"), (F.col("label") == F.col("x.name")).cast("int").alias("hit")
-    )
-    each = roc_auc(spread, ["experiment_id", "name"], "hit", "s")
-    auc = each.groupBy("experiment_id").agg(F.avg("roc_auc").alias("roc_auc"))
-    two = class_scores(rows.where("binary"), ["experiment_id"], "label", "prediction", F.get("names", F.lit(1)))
-    more = class_scores(rows.where("NOT binary"), ["experiment_id"], "label", "prediction")
-    return two.unionByName(more).join(auc, "experiment_id", "left")
+    tested = tested.select("experiment_id", label, F.col("embedding").alias("v")).where("label IS NOT NULL")
+    numbers = join_on(codes, sides, STATE).select("gid", "label", F.col("code").cast("int").alias("code"))
+    known = join_pinned(lookup_join(tested, runs, ["experiment_id"], "inner"), numbers, ["gid", "label"], CODE_ROWS, "left")
+    coded = known.select("run", "gid", F.coalesce("code", F.lit(UNKNOWN)).alias("code"), "v")
+    scored = coded.mapInArrow(_scored(shared), "run int, code int, predicted int, first int, p array<double>")
+    found = _scores(sweep.keep(scored, "predictions"))
+    return lookup_join(found, runs.drop("gid"), ["run"], "inner").drop("run")
+
+
+def _scores(rows: DataFrame) -> DataFrame:
+    """From (run, code, predicted, first, p); see ``scores_of_table``. The second of two classes has p alone."""
+    spread = rows.select("run", "code", "first", F.posexplode("p").alias("place", "s"))
+    spread = spread.withColumn("target", F.col("first") + F.col("place"))
+    spread = spread.select("run", "target", "s", (F.col("code") == F.col("target")).cast("int").alias("hit"))
+    each = roc_auc(spread, ["run", "target"], "hit", "s")
+    auc = each.groupBy("run").agg(F.avg("roc_auc").alias("roc_auc"))
+    two = class_scores(rows.where("first = 1"), ["run"], "code", "predicted", F.lit(1))
+    more = class_scores(rows.where("first = 0"), ["run"], "code", "predicted")
+    return two.unionByName(more).join(auc, "run", "left")
 
 
 def run_classification(
