@@ -140,6 +140,20 @@ def test_view_has_all_panels(spark, stored):
     assert flat.loc[flat.panel == "RAW", "is_corrupted"].sum() == 18 and set(flat.label_code) == {0, 1}
 
 
+def test_stored_lists_are_not_broadcast(spark, stored):
+    runs, vectors, manifest = read(spark, stored, "embeddings_experiments", "embeddings", "corrupted_rows")
+    keys = ["experiment_id", "row_id"]
+    links, _ = subsets.clean_reference(runs)
+    for joined in (
+        subsets.flag_corrupted(vectors, manifest, keys),
+        subsets.clean_rows(vectors, manifest, keys),
+        subsets.missing_from_test(manifest, vectors, keys),
+    ):
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    paired = subsets.pair_by_position(vectors, vectors, links)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in paired
+
+
 def metric_rows(spark, rows):
     return spark.createDataFrame(
         rows, "experiment_id string, evaluation_type string, metric_name string, metric_value double, row_corruption_percent int"
