@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,8 @@ from smudgelab import spec as S
 from smudgelab.operators.lookup import lookup_join
 from smudgelab.operators.columns import column_modes, label_codes
 from smudgelab.operators.planar import mirror, project_2d
-from smudgelab.operators.subsets import flag_corrupted, keep_first, test_side
+from smudgelab.operators.subsets import flag_corrupted, keep_first, not_broadcast, test_side
+from smudgelab.session import work_folder
 
 # Panel names and mirror directions.
 RAW, CLEAN = "RAW", "CLEAN"
@@ -43,6 +45,13 @@ def _is_code(code: Column) -> Callable[[Column], Column]:
     return lambda i: F.coalesce((i == code).cast("double"), F.lit(0.0))
 
 
+def _by_run(rows: DataFrame) -> DataFrame:
+    """Rows written to the work place once, a folder for each run."""
+    path = f"{work_folder(rows.sparkSession)}/views-{uuid.uuid4().hex}"
+    rows.write.partitionBy("experiment_id").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
 def planar_view(
     experiment_id: str,
     experiments: DataFrame,
@@ -70,14 +79,17 @@ def planar_view(
             & (F.col("row_corruption_percent") == percent)
         )
     kept = keep_first(embeddings, experiments.where(same), ["experiment_id"], "test_size")
+    matches = {panel: experiments.where(same & condition).orderBy("experiment_id").first() for panel, condition in wanted.items()}
+    needed = {experiment_id} | {m["experiment_id"] for m in matches.values() if m is not None}
+    # The runs' rows lie mixed among those of all others; each panel is then read several times.
+    kept = _by_run(kept.where(F.col("experiment_id").isin(sorted(needed))))
     flagged = flag_corrupted(
         kept.where(F.col("experiment_id") == experiment_id).select("experiment_id", "row_id", "label"),
         test_side(manifest),
         ["experiment_id", "row_id"],
     ).drop("experiment_id")
     panels = {}
-    for panel, condition in wanted.items():
-        match = experiments.where(same & condition).orderBy("experiment_id").first()
+    for panel, match in matches.items():
         if match is not None:
             panels[panel] = kept.where(F.col("experiment_id") == match["experiment_id"])
     if raw is not None:
@@ -89,4 +101,4 @@ def planar_view(
         flat = mirror(flat, ["panel"], horizontally, vertically)
         result = flat if result is None else result.unionByName(flat)
     coded = lookup_join(flagged, label_codes(flagged, "label", "label_code"), ["label"])
-    return result.join(coded, "row_id").select("panel", "row_id", "x", "y", "label", "label_code", "is_corrupted")
+    return result.join(not_broadcast(coded), "row_id").select("panel", "row_id", "x", "y", "label", "label_code", "is_corrupted")

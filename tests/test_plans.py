@@ -140,6 +140,13 @@ def test_view_has_all_panels(spark, stored):
     assert flat.loc[flat.panel == "RAW", "is_corrupted"].sum() == 18 and set(flat.label_code) == {0, 1}
 
 
+def test_view_reads_the_embeddings_of_its_runs_only(spark, stored, tmp_path):
+    runs, vectors, manifest = read(spark, stored, "embeddings_experiments", "embeddings", "corrupted_rows")
+    chosen = runs.where("tag = 'DIRTY_DIRTY' AND error_type = 'SCAR' AND row_corruption_percent = 40").first()[0]
+    flat = views.planar_view(chosen, runs, vectors, manifest)
+    assert not any("/embeddings/" in f for f in flat.inputFiles())
+
+
 def test_stored_lists_are_not_broadcast(spark, stored):
     runs, vectors, manifest = read(spark, stored, "embeddings_experiments", "embeddings", "corrupted_rows")
     keys = ["experiment_id", "row_id"]
