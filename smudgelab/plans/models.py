@@ -140,6 +140,11 @@ def classification_run(
     return row
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows for many passes, over all tasks that run at once: a small file is read by one or two."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def probe_accuracy(embeddings: DataFrame, label: str, is_test: str, regularization: float = 0.0) -> DataFrame:
     """Accuracy on the test rows of a logistic regression on vectors."""
     rows = embeddings.select(
@@ -149,7 +154,7 @@ def probe_accuracy(embeddings: DataFrame, label: str, is_test: str, regularizati
     )
     train, test = rows.where("NOT is_test"), rows.where("is_test")
     indexer = StringIndexer(inputCol="label", outputCol="label_index", handleInvalid="keep").fit(train)
-    with held(indexer.transform(train)) as indexed:
+    with held(dealt(indexer.transform(train))) as indexed:
         model = LogisticRegression(labelCol="label_index", regParam=regularization).fit(indexed)
     predicted = model.transform(indexer.transform(test))
     return predicted.agg(F.avg((F.col("prediction") == F.col("label_index")).cast("double")).alias("accuracy"))

@@ -161,6 +161,12 @@ def test_stored_lists_are_not_broadcast(spark, stored):
     assert "SortMergeJoin" in paired
 
 
+def test_rows_for_many_passes_are_dealt_out(spark):
+    one = spark.range(1000).coalesce(1)
+    tasks = models.dealt(one).rdd.getNumPartitions()
+    assert tasks == spark.sparkContext.defaultParallelism > 1
+
+
 def metric_rows(spark, rows):
     return spark.createDataFrame(
         rows, "experiment_id string, evaluation_type string, metric_name string, metric_value double, row_corruption_percent int"
