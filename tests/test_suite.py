@@ -10,7 +10,7 @@ from smudgelab.functions.hashing import digest
 from smudgelab.operators import corruption, sampling
 from smudgelab.operators.group_cuts import GroupCuts
 from smudgelab.operators.ranking import DigestCuts
-from smudgelab.plans import grid, suite, sweep
+from smudgelab.plans import classification, grid, suite, sweep
 from smudgelab.sources import checks, schemas, tables
 
 TOY = S.DatasetSpec("toy", "k", "y", ("n", "m"), ("c", "w"))
@@ -188,3 +188,11 @@ def test_exploded_rows_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
     rows = sweep_.side("test", sweep_.meaningful)
     assert rows.count() == 48 * len(sweep_.meaningful)
     assert rows.rdd.getNumPartitions() >= 48 * len(sweep_.meaningful) // 100
+
+
+def test_predictions_are_stored_by_number(spark, tmp_path):
+    clean = [c for c in SETTINGS if c[0] == S.CLEAN_CLEAN or c[1] == S.NONE][:1]
+    classification.run_classification(spark, [(toy(spark), TOY)], str(tmp_path), (11,), clean)
+    stored = spark.read.parquet(f"{next(tmp_path.glob('work/*/toy/predictions'))}")
+    assert stored.count() == 48
+    assert {f.dataType.simpleString() for f in stored.schema} == {"int", "array<double>"}
