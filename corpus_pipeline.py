@@ -26,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, resemblance 0.8
-    or more): the one with the smallest id."""
+    """One document of each group of near-duplicates (SimHash at 4 or fewer of 64 bits, or five-word
+    shingles at a resemblance of 0.8 or more): the one with the smallest id."""
     return resemblance.first_of_groups(docs.select(*COLUMNS))
 
 

@@ -1,6 +1,7 @@
-"""Near-duplicates by the exact resemblance of word shingles, found through MinHash bands.
+"""Near-duplicates by SimHash fingerprints and by the exact resemblance of word shingles.
 
-A text is the set of its shingles (hashes of ``words`` neighbouring words); texts of one
+Fingerprints are linked as ``simhash`` does it: all pairs at a few differing bits or fewer.
+Near copies beyond that are linked by resemblance, found through MinHash bands: a text is the set of its shingles (hashes of ``words`` neighbouring words); texts of one
 set are one node. ``BANDS`` times ``ROWS`` least values under different orders make a
 node's band keys, and nodes that share a key are compared: the resemblance (Jaccard) of
 their whole sets is computed exactly, and a bucket returns a tree for each connected part,
@@ -191,6 +192,27 @@ def _links(texts: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words
     return dealt.mapInArrow(_compared(least), "a long, b long")
 
 
+def _fingerprint_links(texts: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) of nodes to their SimHash fingerprints, and of fingerprints at ``distance`` or fewer bits.
+
+    Fingerprints take part as nodes under a digest of their own. One that no second node has and
+    that is linked to none connects nothing and is left out.
+    """
+    filed = stored(
+        texts.select(F.col("_fingerprint").alias("node"), F.col("_simhash").alias("fingerprint")).distinct(), "filed"
+    )
+    counted = stored(filed.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")), "fingerprints")
+    near = stored(simhash.links(counted.select("fingerprint"), distance), "fingerprint-links")
+    ends = near.select(F.explode(F.array("a", "b")).alias("fingerprint"))
+    wanted = counted.where("n > 1").select("fingerprint").unionByName(ends).distinct()
+
+    def as_node(fingerprint: str):
+        return F.xxhash64(fingerprint, F.lit("fingerprint"))
+
+    held = filed.join(wanted, "fingerprint", "left_semi").select(F.col("node").alias("a"), as_node("fingerprint").alias("b"))
+    return held.unionByName(near.select(as_node("a").alias("a"), as_node("b").alias("b")))
+
+
 def first_of_groups(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -199,19 +221,23 @@ def first_of_groups(
     least: float = 0.8,
     seed: int = 42,
     block: int = BLOCK,
+    distance: int = 4,
 ) -> DataFrame:
     """The row with the smallest id of each group of near-duplicates, with its own columns.
 
-    A group is what chains of texts connect whose shingle sets resemble each other by
+    A group is what chains of texts connect whose SimHash fingerprints (``simhash``, its own
+    shingles) differ in ``distance`` or fewer bits, or whose shingle sets resemble each other by
     ``least`` or more. Texts without a word are one group. Ids of null come after all others.
     """
-    texts = stored(_with_nodes(df, text_col, words, seed), "with-bands")
+    marked = simhash.fingerprints(df, text_col, "_simhash", seed=seed)
+    texts = stored(_with_nodes(marked, text_col, words, seed), "with-bands")
     rows = texts.groupBy(
         F.col("_fingerprint").alias("node"), F.col("_bands").alias("bands"), F.col(id_col).alias("id")
     ).agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))
     nodes = stored(rows.groupBy("node", "bands").agg(first.alias("first")), "nodes")
-    links = stored(_links(texts, nodes, id_col, text_col, words, seed, least, block), "links")
+    alike = _links(texts, nodes, id_col, text_col, words, seed, least, block)
+    links = stored(alike.unionByName(_fingerprint_links(texts, distance)), "links")
     root_of = components.roots(links).withColumnRenamed("node", "_node")
     placed = nodes.join(root_of, nodes["node"] == root_of["_node"], "left").select(
         F.col("first.id").alias("id"),

@@ -42,6 +42,34 @@ def test_stage_drops_near_copies_beyond_four_bits(spark, documents):
     assert kept == {i for i in range(len(texts)) if i % 3 != 1}
 
 
+def test_stage_links_near_fingerprints_of_unlike_sets(spark, documents):
+    """Texts of one often repeated passage with ends of their own: few shingles in common, near fingerprints."""
+    body = " ".join(["seven words are said here once more"] * 60)
+    ends = [" ".join(f"own{i}n{k}" for k in range(20)) for i in range(3)]
+    texts = [f"{body} {end}" for end in ends] + [ends[0], ends[1]]
+    bits = [simhash.fingerprint_of(t) for t in texts]
+    assert all((bits[0] ^ b).bit_count() <= 4 for b in bits[1:3])
+    assert all((bits[0] ^ b).bit_count() > 4 for b in bits[3:])
+    assert all(_resemblance(texts[0], t) < 0.8 for t in texts[1:])
+    docs = documents(*[(i, t, "en", "a") for i, t in enumerate(texts)])
+    kept = {r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, docs, "").collect()}
+    assert kept == {0, 3, 4}
+
+
+def test_groups_go_through_either_link(spark, documents):
+    """Near fingerprints lead to a text that a third one resembles: one group of all."""
+    passage = "seven words are said here once more"
+    ends = [" ".join(_words(np.random.default_rng(k), 60)) for k in (9, 10)]
+    often = " ".join([passage] * 60)
+    texts = [f"{often} {ends[0]}", f"{often} {ends[1]}", f"{passage} {ends[1]}"]
+    bits = [simhash.fingerprint_of(t) for t in texts]
+    assert (bits[0] ^ bits[1]).bit_count() <= 4 < min((bits[2] ^ b).bit_count() for b in bits[:2])
+    assert _resemblance(texts[0], texts[2]) < 0.8 <= _resemblance(texts[1], texts[2])
+    docs = documents(*[(i, t, "en", "a") for i, t in enumerate(texts)])
+    kept = {r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, docs, "").collect()}
+    assert kept == {0}
+
+
 @pytest.mark.parametrize("block", [6, 512])
 def test_chains_and_copies_for_any_block(documents, block):
     words = _words(np.random.default_rng(5), 400)
