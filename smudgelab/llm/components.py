@@ -4,7 +4,9 @@ Rounds of two star operations: every node hands its larger (then its smaller)
 neighbours to the smallest node it knows, until all edges point to the smallest node of
 their component. A node's minimum is a pre-aggregated ``min``; neighbours are never
 gathered. The few nodes with more than a ``HUBS``-th of all edges get their minimum by broadcast, so a
-node with a third of them is no hot key of a join. The edges of a round are written to the shared folder.
+node with a third of them is no hot key of a join. The edges are written to the shared folder after each
+star operation: a plan that holds two of them repeats the first wherever the second reads its edges, and
+its size on the driver is that of the product.
 
 Defined results: no edges give no rows; loops, repeated edges and edges with a null end
 change nothing.
@@ -27,10 +29,13 @@ def _to_minimum(edges: DataFrame, total: int) -> DataFrame:
     """(a, b) with each a's smallest b added as column ``least``; ``total``: the number of edges."""
     found = edges.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
     is_hub = F.col("n") * HUBS > total  # so there are fewer than HUBS of them
-    hubs = F.broadcast(found.where(is_hub).select("a", "least"))
-    of_hubs = edges.join(hubs, "a")
-    others = edges.join(hubs.select("a"), "a", "left_anti").join(found.where(~is_hub).select("a", "least"), "a")
-    return of_hubs.unionByName(others)
+    hubs = found.where(is_hub).select("a", F.col("least").alias("least_of_hub"))
+    marked = edges.join(F.broadcast(hubs), "a", "left")
+    # The edges of hubs go anywhere: what they may meet there is not looked at.
+    place = F.when(F.col("least_of_hub").isNull(), F.col("a")).otherwise(F.xxhash64("b"))
+    others = found.where(~is_hub).select(F.col("a").alias("place"), "least")
+    least = F.coalesce("least_of_hub", "least").alias("least")
+    return marked.withColumn("place", place).join(others, "place", "left").select("a", "b", least)
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -64,5 +69,6 @@ def roots(edges: DataFrame) -> DataFrame:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
         # The large star keeps the number of edges.
-        current = stored(_small_star(_large_star(current, state[0]), state[0]), "edges")
+        for star in (_large_star, _small_star):
+            current = stored(star(current, state[0]), "edges")
     raise RuntimeError(f"components not found after {MOST_ROUNDS} rounds")

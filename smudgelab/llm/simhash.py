@@ -124,8 +124,7 @@ def plan_search(sample: np.ndarray, n: int, distance: int) -> Plan:
     """The cheapest plan for ``n`` fingerprints like those of the sample (unsigned)."""
     sample = np.unique(sample.astype(np.uint64)) if len(sample) else np.zeros(1, dtype=np.uint64)
     pairs = max(1, len(sample) * (len(sample) - 1) // 2)
-    upper = np.triu_indices(len(sample), 1)
-    differ = sample[upper[0]] ^ sample[upper[1]]
+    differ = np.concatenate([sample[i] ^ sample[i + 1 :] for i in range(len(sample))])
     best: tuple[float, Plan] | None = None
     for parts in range(max(1, distance // 2), min(2 * distance + 2, BITS) + 1):
         masks = _groups(sample, parts)

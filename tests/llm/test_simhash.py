@@ -85,3 +85,26 @@ def test_roots_of_paths_and_stars(spark):
         **{i: 100 for i in range(101, 160)},
     }
     assert components.roots(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_plans_of_stars_stay_small(spark, monkeypatch):
+    """A round's plan once held 90 exchanges, as one star read the other's edges three times over."""
+    plans = []
+
+    def noted(df, name, keep=components.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(components, "stored", noted)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r["root"] for r in components.roots(edges).collect()} == {0}
+    assert len(plans) > 2
+    assert max(p.count("Exchange") for p in plans) <= 12
+
+
+def test_roots_with_hubs_and_edges_of_null_or_loops(spark):
+    """Hubs get their minimum by broadcast; all edges have their least neighbour, whichever way."""
+    edges = [(0, i) for i in range(2, 1500)] + [(5000 + i, 5001 + i) for i in range(0, 200, 2)] + [(None, 3), (7, 7), (1, 1499)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["root"] for r in components.roots(df).collect()}
+    assert got == {i: 0 for i in range(1, 1500)} | {5001 + i: 5000 + i for i in range(0, 200, 2)}
