@@ -307,3 +307,29 @@ def test_codes_of_domains_in_ranges(spark, monkeypatch, kind):
         mine = sorted((r["code"], r["x"]) for r in by_group if r["g"] == g)
         assert [c for c, _ in mine] == list(range(len(mine))) and [x for _, x in mine] == sorted(x for _, x in mine)
     assert columns.label_codes(df.limit(0), "x").count() == 0
+
+
+def test_sums_of_a_step_never_scatter_row_by_row(monkeypatch):
+    """Counts and sums by nearest centre, as a loop finds them; a centre without rows, one row, no gaps."""
+
+    class Add:
+        def __getattr__(self, name):
+            assert name != "at", "rows are scattered one by one"
+            return getattr(np.add, name)
+
+    class Numpy:
+        add = Add()
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    monkeypatch.setattr(clusters, "np", Numpy())
+    rng = np.random.default_rng(4)
+    for rows, k in ((500, 7), (1, 3), (40, 1)):
+        x, centres = rng.normal(size=(rows, 5)), rng.normal(size=(k, 5))
+        centres[k // 2] += 100 * (k > 1)  # no row is near
+        counts, sums = clusters._sums(x, centres)
+        nearest = [int(np.argmin(((row - centres) ** 2).sum(axis=1))) for row in x]
+        assert counts.tolist() == [nearest.count(c) for c in range(k)]
+        for c in range(k):
+            np.testing.assert_allclose(sums[c], sum((r for r, n in zip(x, nearest, strict=True) if n == c), np.zeros(5)))
