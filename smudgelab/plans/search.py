@@ -14,12 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smudgelab import spec as S
 from smudgelab.operators.newton import LOG, MODIFIED_HUBER, NO_FOLD, Fit, fit_many, pack, probability
+from smudgelab.operators.packed_auc import pack_scores
 from smudgelab.operators.sampling import assign_folds
 from smudgelab.operators.scores import roc_auc
 from smudgelab.operators.suite_encoder import category_counts, own_moments
@@ -165,7 +166,7 @@ class LinearModel:
 
 
 def _judged(shared: Broadcast):
-    """Probabilities of a fold's rows under all settings fitted without it."""
+    """Probabilities of a fold's rows under all settings fitted without it, packed by block of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, losses = shared.value
@@ -178,13 +179,13 @@ def _judged(shared: Broadcast):
                     at = fold == f
                     z = x[at] @ weights[int(f)].T
                     p = np.column_stack([probability(loss, z[:, k]) for k, loss in enumerate(losses)])
-                    n, settings = p.shape
+                    settings = len(losses)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(p.size, f, dtype=np.int32)),
-                            pa.array(np.tile(np.arange(settings, dtype=np.int32), n)),
-                            pa.array(np.repeat(y[at], settings)),
-                            pa.array(p.ravel()),
+                            pa.array(np.full(settings, f, dtype=np.int32)),
+                            pa.array(np.arange(settings, dtype=np.int32)),
+                            pa.array([y[at].tobytes()] * settings, pa.binary()),
+                            pa.array([np.ascontiguousarray(p[:, k]).tobytes() for k in range(settings)], pa.binary()),
                         ],
                         ["fold", "setting", "hit", "p"],
                     )
@@ -212,7 +213,17 @@ def search(
         return None
     raw = facts.raw(dataset)
     rows = folded.select(F.lit(0).alias("gid"), raw.vector().alias("v"), F.col(label).cast("int").alias("code"), "fold")
-    packed = pack(rows)
+    packed = pack(rows).persist(StorageLevel.MEMORY_AND_DISK)  # for the fits and the judging of the folds
+    try:
+        return _best(packed, facts, raw, losses, alphas)
+    finally:
+        packed.unpersist()
+
+
+def _best(
+    packed: DataFrame, facts: TrainFacts, raw: RawColumns, losses: Sequence[str], alphas: Sequence[float]
+) -> tuple[LinearModel, dict[tuple[str, float], float]]:
+    """The search over packed rows."""
     changes = {f: facts.change(raw, f) for f in facts.folds}
     settings = [(loss, alpha) for loss in losses for alpha in alphas]
     fits = [
@@ -220,8 +231,8 @@ def search(
     ]
     found = iter(fit_many(packed, fits, {0: raw.width}, changes))
     weights = {f: np.array([changes[f] @ next(found) for _ in settings]) for f in facts.folds}
-    shared = train.sparkSession.sparkContext.broadcast((weights, [loss for loss, _ in settings]))
-    judged = packed.mapInArrow(_judged(shared), "fold int, setting int, hit int, p double")
+    shared = packed.sparkSession.sparkContext.broadcast((weights, [loss for loss, _ in settings]))
+    judged = packed.mapInArrow(_judged(shared), "fold int, setting int, hit binary, p binary")
     scores: dict[int, list[float]] = {}
     for r in roc_auc(judged, ["fold", "setting"], "hit", "p").collect():
         scores.setdefault(r["setting"], []).append(r["roc_auc"])
@@ -248,11 +259,14 @@ def search_report(
     if found is None:
         return None
     model, means = found
-    scored = data.where("split = 'test'").select(
+    judged = data.where("split = 'test'").select(
+        F.col(dataset.target).cast("int").alias("hit"), model.probability().alias("p")
+    )
+    scored = pack_scores(judged, "hit", "p").select(
         F.lit(model.loss).alias("loss"),
         F.lit(model.alpha).alias("alpha"),
         F.lit(means[model.loss, model.alpha]).alias("cv_roc_auc"),
-        F.col(dataset.target).cast("int").alias("hit"),
-        model.probability().alias("p"),
+        "hit",
+        "p",
     )
     return roc_auc(scored, ["loss", "alpha", "cv_roc_auc"], "hit", "p")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from smudgelab.operators import columns, profiles, scores
+from smudgelab.operators import columns, packed_auc, profiles, scores
 
 
 def auc(spark, rows):
@@ -31,6 +31,43 @@ def test_auc_against_pairs_with_a_hot_group(spark):
         assert got[g] == pytest.approx(want) and turned[g] == pytest.approx(1 - want)
 
 
+def by_pairs(rows):
+    up = np.array([s for y, s in rows if y == 1])[:, None]
+    down = np.array([s for y, s in rows if y == 0])[None, :]
+    beaten = (up > down) | (np.isnan(up) & ~np.isnan(down))
+    return np.mean(beaten + 0.5 * ((up == down) | (np.isnan(up) & np.isnan(down))))
+
+
+@pytest.mark.parametrize(("piece", "held"), [(10**6, 10**6), (100, 150), (1, 1)])
+def test_auc_of_packed_scores(spark, monkeypatch, piece, held):
+    """Groups cut into pieces or not: ties across rows and tasks, NaN, 0 and -0, a null group, other labels, one class."""
+    monkeypatch.setattr(packed_auc, "PIECE_SCORES", piece)
+    monkeypatch.setattr(packed_auc, "HELD_SCORES", held)
+    draw = np.random.default_rng(7)
+    blocks, rows = [], {}
+    for i in range(24):
+        group, n = ("hot", "hot", None, "same", "one", "none")[i % 6], int(draw.integers(1, 200))
+        s = np.full(n, 0.3) if group == "same" else np.round(draw.normal(size=n), 1)
+        s[draw.random(n) < 0.05] = np.nan if group == "hot" else -0.0
+        y = draw.integers(0, 3, n).astype(np.int32) if group != "one" else np.ones(n, np.int32)
+        s, y = (s[:0], y[:0]) if group == "none" else (s, y)
+        blocks.append((group, i % 2, bytearray(y.tobytes()), bytearray(s.tobytes())))
+        rows.setdefault((group, i % 2), []).extend(zip(y, s, strict=True))
+    df = spark.createDataFrame(blocks, "g string, k int, y binary, s binary").repartition(5)
+    got = {(r["g"], r["k"]): r["roc_auc"] for r in scores.roc_auc(df, ["g", "k"], "y", "s").collect()}
+    want = {key: by_pairs(found) for key, found in rows.items() if key[0] not in ("one", "none")}
+    assert len(want) == 4 and got == pytest.approx(want, abs=1e-12)
+
+
+def test_packed_scores_are_those_with_both(spark):
+    rows = [(1, 0.5), (0, None), (None, 0.9), (0, 0.2), (1, 0.2)] * 20
+    df = spark.createDataFrame(rows, "y int, s double").repartition(3)
+    packed = packed_auc.pack_scores(df, "y", "s").withColumn("g", F.lit("a"))
+    assert packed.count() <= 3 and scores.roc_auc(packed, ["g"], "hit", "p").first()["roc_auc"] == 0.75
+    none = packed_auc.pack_scores(df.limit(0), "y", "s").withColumn("g", F.lit("a"))
+    assert scores.roc_auc(none, ["g"], "hit", "p").count() == 0
+
+
 def test_one_vs_rest_of_two_classes_is_the_binary_auc(spark):
     rows = [(y, [1 - p, p]) for y, p in [(0, 0.2), (1, 0.4), (0, 0.6), (1, 0.9)]]
     df = spark.createDataFrame(rows, "y int, p array<double>").withColumn("g", F.lit(1))
