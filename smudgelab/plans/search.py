@@ -30,13 +30,22 @@ LOSSES = (LOG, MODIFIED_HUBER)
 ALPHAS = (0.00001, 0.00003, 0.0001, 0.0003, 0.001, 0.003, 0.01, 0.03)
 #: Columns of the features up to which curvature matrices are summed.
 MOST_COLUMNS = 2_000
+#: Columns of a category up to which each is an expression of its own, which Spark compiles.
+SPELLED_OUT = 32
 
 
-def _one_hot(text: Column, values: Sequence[str]) -> Column:
-    """One 0/1 component per value, and one for null."""
-    place = F.when(text.isNull(), F.lit(len(values) + 1)).otherwise(
+def _place(text: Column, values: Sequence[str]) -> Column:
+    """Place of a value from 1, past the last for null, 0 for any other."""
+    return F.when(text.isNull(), F.lit(len(values) + 1)).otherwise(
         F.array_position(F.array(*[F.lit(v) for v in values]).cast("array<string>"), text).cast("int")
     )
+
+
+def _one_hot(text: Column, values: Sequence[str]) -> Column:
+    """One 0/1 component per value, and one for null."""
+    place = _place(text, values)
+    if len(values) < SPELLED_OUT:
+        return F.array(*[(place == i).cast("double") for i in range(1, len(values) + 2)])
     return F.transform(F.sequence(F.lit(1), F.lit(len(values) + 1)), lambda i: (i == place).cast("double"))
 
 
@@ -57,14 +66,31 @@ class RawColumns:
 
     def vector(self) -> Column:
         """The raw columns of a row, less the constant one."""
-        parts = []
-        for c in self.dataset.numeric:
-            value = (F.col(c).cast("double") - F.lit(self.centre[c])) / F.lit(self.scale[c])
-            parts.append(F.array(F.coalesce(value, F.lit(0.0)), F.col(c).isNotNull().cast("double")))
+        parts = [F.array(*self._number(c)) for c in self.dataset.numeric]
         for c, values in self.values.items():
             parts.append(_one_hot(F.col(c).cast("string"), values))
         return F.concat(*parts) if parts else F.array().cast("array<double>")
 
+    def _number(self, c: str) -> tuple[Column, Column]:
+        value = (F.col(c).cast("double") - F.lit(self.centre[c])) / F.lit(self.scale[c])
+        return F.coalesce(value, F.lit(0.0)), F.col(c).isNotNull().cast("double")
+
+    def weighed(self, weights: Sequence[float]) -> Column:
+        """Sum of the raw columns times their weights, the constant one's last.
+
+        Of a category's columns only the one that is set is looked up.
+        """
+        total, row = F.lit(float(weights[-1])), 0
+        for c in self.dataset.numeric:
+            for part in self._number(c):
+                total, row = total + part * F.lit(float(weights[row])), row + 1
+        for c, values in self.values.items():
+            own = [0.0, *(float(w) for w in weights[row : row + len(values) + 1])]
+            place = _place(F.col(c).cast("string"), values)
+            total = total + F.element_at(F.array(*[F.lit(w) for w in own]), place + 1)
+            row += len(values) + 1
+        return total
+
 
 @dataclass(frozen=True)
 class TrainFacts:
@@ -153,9 +179,7 @@ class LinearModel:
     alpha: float
 
     def margin(self) -> Column:
-        weights = F.array(*[F.lit(float(w)) for w in self.coefficients[:-1]]).cast("array<double>")
-        products = F.zip_with(self.raw.vector(), weights, lambda x, w: x * w)
-        return F.aggregate(products, F.lit(float(self.coefficients[-1])), lambda a, x: a + x)
+        return self.raw.weighed(self.coefficients)
 
     def probability(self) -> Column:
         """Of the hit, as the loss defines it."""

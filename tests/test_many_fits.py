@@ -244,6 +244,51 @@ def test_search_offers_both_losses_and_finds_a_signal(spark):
     assert set(means) == {(loss, alpha) for loss in search.LOSSES for alpha in search.ALPHAS}
 
 
+@pytest.mark.parametrize("at_once", [(2_048, 64), (7, 3)])
+def test_sums_of_fits_that_share_rows(monkeypatch, at_once):
+    """As each fit's own sums; a fit never works on rows of the fold that it leaves out."""
+    seen = []
+
+    def counted(terms):
+        return lambda z, hit: seen.append(z.size) or terms(z, hit)
+
+    draw, left = np.random.default_rng(3), (0, 1, 2, 7, newton.NO_FOLD)
+    x, y, fold = draw.normal(size=(300, 4)), draw.integers(0, 3, 300), draw.integers(0, 5, 300)
+    fits = [newton.Fit(0, t, loss, 1.0, False, f) for f in left for loss in newton.TERMS for t in (0, 2)]
+    at = draw.normal(size=(len(fits), 4))
+    want = [newton.upper_sums(x, y, fold, [f], at[i : i + 1])[0] for i, f in enumerate(fits)]
+    monkeypatch.setattr(newton, "TERMS", {k: counted(v) for k, v in newton.TERMS.items()})
+    monkeypatch.setattr(newton, "ROWS_AT_ONCE", at_once[0])
+    monkeypatch.setattr(newton, "FITS_AT_ONCE", at_once[1])
+    got = newton.upper_sums(x, y, fold, fits, at)
+    assert np.array(got) == pytest.approx(np.array(want), rel=1e-10, abs=1e-10)
+    assert sum(seen) == sum(int((fold != f.without_fold).sum()) for f in fits)
+
+
+def test_log_terms_far_from_the_margin():
+    z = np.array([-800.0, -40.0, -1.0, 0.0, 1.0, 40.0, 800.0])
+    for hit in (z > 0, z <= 0):
+        loss, slope, bend = newton.log_terms(z, hit)
+        p = newton.sigmoid(z)
+        assert loss == pytest.approx(np.logaddexp(0, z) - z * hit) and slope == pytest.approx(p - hit)
+        assert bend == pytest.approx(p * (1 - p), abs=1e-15)
+
+
+@pytest.mark.parametrize("spelled", [32, 0])
+def test_margin_of_raw_columns(spark, monkeypatch, spelled):
+    """Sums of looked-up weights are those of all columns: null, unknown and known values, no category at all."""
+    monkeypatch.setattr(search, "SPELLED_OUT", spelled)
+    df = table_for_search(spark, 40)
+    for spec in (SPEC, S.DatasetSpec("s", "k", "y", ("a", "b"), ()), S.DatasetSpec("s", "k", "y", (), ("c",))):
+        values = {c: ["once", "x", "y"] for c in spec.categorical}
+        raw = search.RawColumns(spec, {"a": 49.0, "b": 0.5}, {"a": 9.0, "b": 2.0}, values)
+        weights = np.random.default_rng(1).normal(size=raw.width)
+        rows = df.select(raw.vector().alias("v"), raw.weighed(weights).alias("z"), "c").collect()
+        assert {r["c"] for r in rows} == {"once", "x", "y", "z", None}
+        for r in rows:
+            assert len(r["v"]) == raw.width - 1 and r["z"] == pytest.approx(np.dot(r["v"], weights[:-1]) + weights[-1])
+
+
 def test_folds_are_judged_by_blocks_of_rows(spark, monkeypatch, capsys):
     """No row per row and setting: a shuffle of all of them outgrows the rows sixteenfold. Rows are packed once for all passes."""
     seen = []
