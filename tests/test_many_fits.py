@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from smudgelab import spec as S
-from smudgelab.operators import clusters, columns, newton, probe, ranking, sampling, scores
+from smudgelab.operators import clusters, columns, keyed_sums, newton, probe, ranking, sampling, scores
 from smudgelab.plans import search
 
 
@@ -394,3 +396,65 @@ def test_sums_of_a_step_never_scatter_row_by_row(monkeypatch):
         assert counts.tolist() == [nearest.count(c) for c in range(k)]
         for c in range(k):
             np.testing.assert_allclose(sums[c], sum((r for r, n in zip(x, nearest, strict=True) if n == c), np.zeros(5)))
+
+
+# ---------------------------------------------------------------- several probes from one copy of the rows
+
+
+def test_probes_of_a_group_share_its_packed_rows(spark, monkeypatch):
+    draw = np.random.default_rng(12)
+    rows = []
+    for g, classes in (("two", "ab"), ("three", "abc"), ("flat", "a")):
+        for i in range(90):
+            y = classes[i % len(classes)]
+            v = draw.normal(size=2) + [ord(y) - 97, 0.4 * (i % 5 == 0)]
+            rows.append((g, v.tolist(), None if i % 17 == 0 else y, i % 5 == 0))
+    df = spark.createDataFrame(rows, "g string, v array<double>, y string, bad boolean")
+    probes = [
+        probe.Probe("all", (0, 1), (0, 1)), probe.Probe("bad", (1,), (1,)), probe.Probe("over", (0,), (1,)),
+        probe.Probe("origin", (0, 1), (0, 1), by_fold=True),
+    ]
+    fold = F.when(F.col("bad"), 1).otherwise(0)
+    packs, pack = [], probe.pack
+
+    def counted(frame):
+        packs.append(frame)
+        return pack(frame)
+
+    monkeypatch.setattr(probe, "pack", counted)
+
+    def found(local_rows):
+        at = probe.probe_folds(df, ["g"], "v", "y", fold, probes, local_rows)
+        return {(r["g"], r["probe"]): (r["roc_auc"], json.loads(r["coefficients"])) for r in at.collect()}
+
+    together, alone = found(10), found(1000)
+    assert len(packs) == 1  # whatever the number of probes
+    wanted = {(g, p) for g in ("two", "three") for p in ("all", "bad", "over", "origin")} | {("flat", "origin")}
+    assert set(together) == set(alone) == wanted
+    single = {
+        "all": probe.probe_auc(df, ["g"], "v", "y"),
+        "bad": probe.probe_auc(df.where("bad"), ["g"], "v", "y"),
+        "over": probe.probe_auc(df, ["g"], "v", "y", fit=~F.col("bad"), score=F.col("bad")),
+        "origin": probe.probe_auc(df.withColumn("y", F.col("bad").cast("string")), ["g"], "v", "y"),
+    }
+    for name, frame in single.items():
+        for r in frame.collect():
+            for got in (together, alone):
+                auc, weights = got[r["g"], name]
+                assert auc == pytest.approx(r["roc_auc"]) and np.allclose(weights, json.loads(r["coefficients"]), atol=1e-6)
+
+
+def test_sums_meet_by_buckets_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(keyed_sums, "BUCKET_BYTES", 64)
+    df = spark.range(0, 400, 1, 7).select(F.col("id").cast("int").alias("n"))
+
+    def terms(batch):
+        for n in batch["n"]:
+            yield int(n % 30), np.arange(1.0 + n % 3) + n
+
+    got = keyed_sums.keyed_sums(df, terms, 30 * 24)
+    assert {k: v.tolist() for k, v in got.items()} == {
+        k: sum(np.arange(1.0 + k % 3) + n for n in range(k, 400, 30)).tolist() for k in range(30)
+    }
+    # tasks of the first level times buckets, not times keys
+    assert keyed_sums._packed({k: np.ones(2) for k in range(1000)}, 0, 4).num_rows == 4
