@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from smudgelab import spec as S
+from smudgelab.functions.vectors import argmax
+from smudgelab.operators.blocks import vectors_at
 from smudgelab.operators.encoders import FitPredictor
 from smudgelab.operators.lookup import join_on, join_pinned, lookup_join
 from smudgelab.operators.newton import NO_FOLD, Fit, fit_many, pack
@@ -50,11 +52,9 @@ def _scored(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gid = batch.column("gid").to_numpy()
-            lists = batch.column("v")
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             for g in np.unique(gid):
                 at = np.flatnonzero(gid == g)
-                p = probabilities(np.vstack([flat[ends[i] : ends[i + 1]] for i in at]), shared.value[g])
+                p = probabilities(vectors_at(batch.column("v"), at), shared.value[g])
                 predicted, first = p.argmax(axis=1), int(p.shape[1] == 2)
                 p = p[:, first:]
                 cuts = pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32())
@@ -95,7 +95,7 @@ def scores_of_table(sweep: TableSweep) -> DataFrame:
     numbered = numbered.append_column("gid", pa.array(np.arange(numbered.num_rows, dtype=np.int32)))
     sides = spark.createDataFrame(numbered)
     learn = join_pinned(lookup_join(train, sides, STATE, "inner"), codes.drop("n"), [*STATE, "label"], CODE_ROWS)
-    packed = pack(learn.select("gid", "v", "code", F.lit(NO_FOLD).alias("fold")).sortWithinPartitions("gid"))
+    packed = pack(learn.select("gid", "v", "code", F.lit(NO_FOLD).alias("fold")))
     fits = []
     for gid, n, rows in zip(numbered["gid"].to_pylist(), numbered["classes"].to_pylist(), numbered["rows"].to_pylist(), strict=True):
         fits += [Fit(gid, t, penalty=STRENGTH * rows, penalise_last=False) for t in ([1] if n == 2 else range(n))]
@@ -114,16 +114,45 @@ def scores_of_table(sweep: TableSweep) -> DataFrame:
     known = join_pinned(lookup_join(tested, runs, ["experiment_id"], "inner"), numbers, ["gid", "label"], CODE_ROWS, "left")
     coded = known.select("run", "gid", F.coalesce("code", F.lit(UNKNOWN)).alias("code"), "v")
     scored = coded.mapInArrow(_scored(shared), "run int, code int, predicted int, first int, p array<double>")
-    found = _scores(sweep.keep(scored, "predictions"))
+    found = _scores_by_number(sweep.keep(scored, "predictions"))
     return lookup_join(found, runs.drop("gid"), ["run"], "inner").drop("run")
 
 
 def _scores(rows: DataFrame) -> DataFrame:
+    """From (experiment_id, label, p, names), a label that is not named counts as unknown; see ``scores_of_table``."""
+    first = (F.size("p") == 2).cast("int")
+    numbered = rows.select(
+        F.col("experiment_id").alias("run"),
+        F.coalesce((F.array_position("names", F.col("label")) - 1).cast("int"), F.lit(UNKNOWN)).alias("code"),
+        argmax(F.col("p")).alias("predicted"),
+        first.alias("first"),
+        F.slice("p", first + 1, F.size("p")).alias("p"),
+    )
+    return _scores_by_number(numbered).withColumnRenamed("run", "experiment_id")
+
+
+def _by_target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hits and scores of each run and judged class, packed."""
+    for batch in batches:
+        codes, runs = batch.column("code").to_numpy(), batch.column("run").dictionary_encode()
+        places, firsts = runs.indices.to_numpy(), batch.column("first").to_numpy()
+        order = np.argsort(places, kind="stable")
+        found = {"at": [], "target": [], "hit": [], "s": []}
+        for at in np.split(order, np.flatnonzero(np.diff(places[order])) + 1) if len(order) else ():
+            for target, scores in enumerate(vectors_at(batch.column("p"), at).T, firsts[at[0]]):
+                found["at"].append(places[at[0]])
+                found["target"].append(target)
+                found["hit"].append((codes[at] == target).astype(np.int32).tobytes())
+                found["s"].append(scores.tobytes())
+        columns = [runs.dictionary.take(pa.array(found.pop("at"), pa.int32()))]
+        kinds = (("target", pa.int32()), ("hit", pa.binary()), ("s", pa.binary()))
+        yield pa.RecordBatch.from_arrays(columns + [pa.array(found[c], t) for c, t in kinds], ["run", "target", "hit", "s"])
+
+
+def _scores_by_number(rows: DataFrame) -> DataFrame:
     """From (run, code, predicted, first, p); see ``scores_of_table``. The second of two classes has p alone."""
-    spread = rows.select("run", "code", "first", F.posexplode("p").alias("place", "s"))
-    spread = spread.withColumn("target", F.col("first") + F.col("place"))
-    spread = spread.select("run", "target", "s", (F.col("code") == F.col("target")).cast("int").alias("hit"))
-    each = roc_auc(spread, ["run", "target"], "hit", "s")
+    schema = f"run {rows.schema['run'].dataType.simpleString()}, target int, hit binary, s binary"
+    each = roc_auc(rows.select("run", "code", "first", "p").mapInArrow(_by_target, schema), ["run", "target"], "hit", "s")
     auc = each.groupBy("run").agg(F.avg("roc_auc").alias("roc_auc"))
     two = class_scores(rows.where("first = 1"), ["run"], "code", "predicted", F.lit(1))
     more = class_scores(rows.where("first = 0"), ["run"], "code", "predicted")

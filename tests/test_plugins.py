@@ -210,3 +210,15 @@ def test_interrupted_evaluation_adds_nothing_twice(spark, tmp_path):
     assert evaluate.run_evaluation(spark, folder) == whole.count() - 5
     found = tables.read_table(spark, folder, "embedding_evaluation_metrics")
     assert checks.duplicate_keys(found, ["evaluation_id"]).isEmpty() and found.count() == whole.count()
+
+
+def test_areas_of_a_sweep_come_from_packed_scores(spark, tmp_path, monkeypatch):
+    kinds, ranked = [], classification.roc_auc
+
+    def watched(df, group, label, score):
+        kinds.append((df.schema[label].dataType.simpleString(), df.schema[score].dataType.simpleString()))
+        return ranked(df, group, label, score)
+
+    monkeypatch.setattr(classification, "roc_auc", watched)
+    assert classification.run_classification(spark, [(toy(spark), DATASET)], str(tmp_path), (4,), SETTINGS[:3]) == 3
+    assert kinds == [("binary", "binary")]
